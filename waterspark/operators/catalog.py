@@ -126,6 +126,43 @@ def ordered_tiles(pairs: DataFrame, key: str, tile: str, best: list[Column]) ->
     return pairs.groupBy(key).agg(F.array_join(F.transform(listed, lambda e: e["t"]), ",").alias("tiles"))
 
 
+def match_targets(
+    water: DataFrame, grid: DataFrame | None, index: DataFrame | None, refs: DataFrame, key: str = "lake_uid"
+) -> DataFrame:
+    """All matches of the build in one cell join and one aggregation.
+
+    The bodies are cut and shuffled once, against the union of grid tiles, imagery
+    footprints and distinct reference shapes, instead of once per source. Per key:
+    ``grid_tiles``, ``image_tiles``, ``image_first`` and ``ref`` (id and overlap).
+    """
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def targets(df: DataFrame, kind: str, pos: Column, tile: Column, ratio: Column) -> DataFrame:
+        fields = [F.lit(kind).alias("kind"), pos.cast("long").alias("pos"), tile.alias("tile"), ratio.alias("ratio")]
+        return df.select(F.struct(*fields).alias("target"), "geometry")
+
+    every = targets(distinct_shapes(refs, "hylak_id"), "ref", F.col("hylak_id"), text, number)
+    if grid is not None:
+        every = every.unionAll(targets(grid, "tile", F.lit(None), F.col("tile"), number))
+    if index is not None:
+        every = every.unionAll(targets(index, "image", F.col("pos"), F.col("tile"), F.col("valid_ratio")))
+    pairs = S.touching_pairs(water, every, key, "target").select(key, "target.*", "overlap_m2")
+    over, kind = F.col("overlap_m2"), F.col("kind")
+    image = F.struct((-over).alias("o"), (-F.col("ratio")).alias("v"), F.col("pos").alias("p"), F.col("tile").alias("t"))
+    grid_entry = F.struct((-over).alias("o"), F.col("tile").alias("t"))
+
+    def listed(which: str, entry: Column) -> Column:
+        found = F.sort_array(F.collect_list(F.when((kind == which) & (over > 0), entry)))
+        return F.array_join(F.transform(found, lambda e: e["t"]), ",")
+
+    return pairs.groupBy(key).agg(
+        listed("tile", grid_entry).alias("grid_tiles"),
+        listed("image", image).alias("image_tiles"),
+        F.min(F.when((kind == "image") & (over > 0), image))["t"].alias("image_first"),
+        F.min(F.when(kind == "ref", F.struct((-over).alias("o"), F.col("pos").alias("id")))).alias("ref"),
+    )
+
+
 def attach_tiles(water: DataFrame, grid: DataFrame, key: str = "lake_uid") -> DataFrame:
     """Tiles under each body, largest overlap first, then by name; "" if none."""
     pairs = S.overlap_pairs(water, grid, key, "tile", balance=False)
@@ -162,10 +199,7 @@ def attach_imagery(water: DataFrame, index: DataFrame, key: str = "lake_uid") ->
         F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["t"]), ",").alias("_tiles"),
         F.min_by("tile", order).alias("_first"),
     )
-    last = index.groupBy(F.col("tile").alias("_first")).agg(
-        F.max_by(F.struct("date", "product", "valid_ratio", "tci_path"), F.col("pos")).alias("_best")
-    )
-    found = listed.join(last, "_first")
+    found = listed.join(last_per_tile(index), F.col("_first") == F.col("_tile")).drop("_tile")
     base = water.drop(
         "sentinel_tiles", "best_tci_tile", "best_tci_date", "best_tci_product", "best_tci_valid_ratio", "best_tci_path", "has_tci"
     )
@@ -186,6 +220,13 @@ def attach_imagery(water: DataFrame, index: DataFrame, key: str = "lake_uid") ->
     )
 
 
+def last_per_tile(index: DataFrame) -> DataFrame:
+    """Last index row of each tile: ``_tile, _best``."""
+    return index.groupBy(F.col("tile").alias("_tile")).agg(
+        F.max_by(F.struct("date", "product", "valid_ratio", "tci_path"), F.col("pos")).alias("_best")
+    )
+
+
 # ------------------------------------------------------------ reference lakes
 def best_reference(
     water: DataFrame, refs: DataFrame, key: str = "lake_uid", ref_key: str = "hylak_id", touching: bool = True
@@ -195,9 +236,19 @@ def best_reference(
     Copies of one reference shape tie with each other, so only the smallest id of a shape
     can win; matching distinct shapes keeps stacked copies from multiplying pairs.
     """
-    shapes = refs.groupBy(F.xxhash64("geometry").alias("_h"), "geometry").agg(F.min(ref_key).alias(ref_key))
     join = S.touching_pairs if touching else S.overlap_pairs
-    pairs = join(water, shapes, key, ref_key)
+    return top_reference(join(water, distinct_shapes(refs, ref_key), key, ref_key), key, ref_key)
+
+
+def distinct_shapes(df: DataFrame, key: str) -> DataFrame:
+    """One row per exact geometry, with the smallest id that carries it."""
+    keep = [c for c in df.columns if c.startswith("bbox_")]
+    return df.groupBy(F.xxhash64("geometry").alias("_h"), "geometry").agg(
+        F.min(key).alias(key), *[F.first(c).alias(c) for c in keep]
+    )
+
+
+def top_reference(pairs: DataFrame, key: str, ref_key: str) -> DataFrame:
     return pairs.groupBy(key).agg(
         F.max_by(F.struct(F.col(ref_key), F.col("overlap_m2")), F.struct(F.col("overlap_m2"), -F.col(ref_key))).alias("m")
     ).select(key, F.col(f"m.{ref_key}").alias(ref_key), F.col("m.overlap_m2").alias("overlap_m2"))
@@ -251,7 +302,7 @@ def union_boxes(boxes: DataFrame, key: str, cell_m: float = S.CELL_M) -> DataFra
     Duplicates go first, then every (key, cell) is merged on its own, so one key with
     very many images is many small groups.
     """
-    cut = S.fragments(boxes.select(key, "geometry").distinct(), key, cell_m=cell_m).drop("rings").distinct()
+    cut = S.fragments(boxes.select(key, "geometry").distinct(), key, cell_m=cell_m).drop("edges").distinct()
     out_schema = cut.schema
 
     def merge(group: pa.Table) -> pa.Table:
@@ -286,7 +337,7 @@ def match_image_areas(
     overlap; the second is used only when the first has none and needs more than the
     minimum area.
     """
-    area = union_boxes(images, key, cell_m).withColumn("rings", F.lit(None).cast(G.RINGS_TYPE)).withColumnRenamed(key, "id_a")
+    area = union_boxes(images, key, cell_m).withColumn("edges", F.lit(None).cast("binary")).withColumnRenamed(key, "id_a")
     both = osm.select(F.lit(0).alias("prio"), "id", "area_km2", "geometry").unionByName(
         refs.select(F.lit(1).alias("prio"), "id", "area_km2", "geometry")
     ).withColumn("id_b", F.struct("prio", "id", "area_km2"))
@@ -355,27 +406,41 @@ def build_water(
     min_area_km2: float = C.DEFAULT_MIN_AREA_KM2,
 ) -> DataFrame:
     """The batch build for all regions in one plan."""
-    water = clean_water(osm, key, prefix, min_area_km2)
-    if grid is not None:
-        water = attach_tiles(water, grid)
-    else:
-        water = water.withColumns(
-            {
-                "sentinel_tiles": F.lit(""), "best_tci_tile": _null(), "best_tci_date": _null(),
-                "best_tci_product": _null(), "best_tci_valid_ratio": _null("double"), "best_tci_path": _null(),
-                "has_tci": F.lit(0),
-            }
-        )
+    base = clean_water(osm, key, prefix, min_area_km2)
+    out = base.join(match_targets(base, grid, index, refs), "lake_uid", "left")
+    tiles = F.coalesce("grid_tiles", F.lit(""))
     if index is not None:
-        water = attach_imagery(water, index)
-    return finalise(attach_reference(water, refs))
+        out = out.join(last_per_tile(index), F.col("image_first") == F.col("_tile"), "left")
+        tiles = F.coalesce("image_tiles", F.lit(""))
+    best = {c: F.col(f"_best.{c}") if index is not None else _null() for c in ("date", "product", "valid_ratio", "tci_path")}
+    lakes = refs.select(
+        F.col("hylak_id").alias("_rid"),
+        C.clean_text(F.col("lake_name")).alias("hylak_name"),
+        C.clean_text(F.col("country")).alias("hylak_country"),
+        F.col("lake_area").cast("double").alias("hylak_area_km2"),
+    )
+    out = out.join(lakes, F.col("ref.id") == F.col("_rid"), "left").withColumns(
+        {
+            "hylak_id": F.col("_rid"),
+            "hydrolakes_overlap_m2": -F.col("ref.o"),
+            "has_hydrolakes_polygon": F.col("ref").isNotNull().cast("int"),
+            "sentinel_tiles": tiles,
+            "best_tci_tile": F.col("image_first"),
+            "best_tci_date": best["date"],
+            "best_tci_product": best["product"],
+            "best_tci_valid_ratio": best["valid_ratio"].cast("double"),
+            "best_tci_path": best["tci_path"],
+            "has_tci": F.col("image_first").isNotNull().cast("int"),
+        }
+    )
+    return finalise(out)
 
 
 def build_summary(water: DataFrame) -> DataFrame:
     """Counts of the build: one row per water type next to the totals."""
     base = water.select("water_type", "name", "has_tci", "has_hydrolakes_polygon")
     return base.groupingSets([[F.col("water_type")], []], F.col("water_type")).agg(
-        F.when(F.grouping_id() == 1, "total").otherwise("water_type").alias("kind"),
+        F.when(F.grouping_id() == 1, "total").otherwise(F.col("water_type")).alias("kind"),
         F.count(F.lit(1)).alias("n_rows"),
         F.count("name").alias("named"),
         F.sum("has_tci").alias("has_tci"),

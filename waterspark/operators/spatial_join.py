@@ -31,7 +31,7 @@ SALT_ROWS = 4_096
 _FRAGMENT = [
     *[T.StructField(c, T.LongType()) for c in ("cx", "cy")],
     *[T.StructField(c, T.DoubleType()) for c in ("x0", "y0", "x1", "y1")],
-    T.StructField("rings", G.RINGS_TYPE),
+    T.StructField("edges", T.BinaryType()),
 ]
 _POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 _RINGS_ARROW = pa.list_(pa.list_(_POINT))
@@ -108,10 +108,11 @@ def project_points(pts: np.ndarray) -> np.ndarray:
 
 # ------------------------------------------------------------------ fragments
 def fragments(df: DataFrame, key: str, geom: str = "geometry", cell_m: float = CELL_M, project: bool = True) -> DataFrame:
-    """Cut geometries into grid cells: ``key, cx, cy, x0, y0, x1, y1, rings``.
+    """Cut geometries into grid cells: ``key, cx, cy, x0, y0, x1, y1, edges``.
 
-    ``rings`` is NULL where the fragment is exactly its box, which is also what the
-    inside of a large body looks like.
+    ``edges`` packs the directed outline as float64 quadruples, which crosses shuffles
+    and the Arrow boundary as plain bytes; it is NULL where the fragment is exactly its
+    box, which is also what the inside of a large body looks like.
     """
     source = df.select(key, F.col(geom).alias("_g")).where(~G.is_empty(F.col("_g")))
     key_type = source.schema[key].dataType
@@ -124,9 +125,9 @@ def fragments(df: DataFrame, key: str, geom: str = "geometry", cell_m: float = C
                     batch_column(batch, key).take(pa.array(take, pa.int64())),
                     *[pa.array(cells[:, i], pa.int64()) for i in range(2)],
                     *[pa.array(boxes[:, i], pa.float64()) for i in range(4)],
-                    rings_array(rings),
+                    pa.array([None if r is None else K.ring_edges(r).tobytes() for r in rings], pa.binary()),
                 ],
-                names=[key, "cx", "cy", "x0", "y0", "x1", "y1", "rings"],
+                names=[key, "cx", "cy", "x0", "y0", "x1", "y1", "edges"],
             )
 
     schema = T.StructType([T.StructField(key, key_type), *_FRAGMENT])
@@ -257,10 +258,18 @@ def _spread(a: DataFrame, b: DataFrame, hot: DataFrame, cell_m: float) -> tuple[
 
 
 def candidate_pairs(
-    a: DataFrame, b: DataFrame, cell_m: float, reach: Column | None = None, hot: DataFrame | None = None
+    a: DataFrame,
+    b: DataFrame,
+    cell_m: float,
+    reach: Column | None = None,
+    hot: DataFrame | None = None,
+    spread_work: bool = False,
 ) -> DataFrame:
     """Fragment pairs whose boxes overlap, or lie within ``reach`` of each other.
 
+    ``spread_work`` keeps the join shuffled by cell where pairs outnumber rows by far;
+    a broadcast would leave the measuring to the few tasks that read the input.
+
     ``a`` and ``b`` carry id_a/id_b and fragment columns; ``reach`` is a column of ``a``
     in metres and makes its rows visit every cell in range.
     """
@@ -284,10 +293,10 @@ def candidate_pairs(
         left, right, keys, once = _spread(left, b, hot, cell_m)
     else:
         right = b
-    box = ["x0", "y0", "x1", "y1", "rings"]
+    box = ["x0", "y0", "x1", "y1", "edges"]
     left = left.withColumnsRenamed({c: f"a_{c}" for c in box})
     right = right.withColumnsRenamed({c: f"b_{c}" for c in box})
-    joined = left.join(right, keys)
+    joined = left.join(right.hint("shuffle_hash") if spread_work else right, keys)
     side = cell_m / SUBCELLS
     if once is not None:
         def sub(v: Column, base: str) -> Column:
@@ -312,47 +321,38 @@ def candidate_pairs(
 
 
 # ---------------------------------------------------------------- refinement
-def _edge_batch(rings: pa.Array, boxes: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges and offsets of the active rows; a NULL ring list stands for the box."""
-    inner = rings.flatten()
-    row_off, ring_off = _offsets(rings), _offsets(inner)
-    pts = point_array(inner.flatten())
-    null = np.asarray(pa.compute.is_null(rings))
-    parts, sizes = [], np.zeros(len(rings), dtype=np.int64)
-    for i in np.nonzero(active)[0]:
-        if null[i]:
-            x0, y0, x1, y1 = boxes[i]
-            e = np.array([[x0, y0, x1, y0], [x1, y0, x1, y1], [x1, y1, x0, y1], [x0, y1, x0, y0]])
-            parts.append(e)
-            sizes[i] = 4
-        else:
-            for r in range(row_off[i], row_off[i + 1]):
-                ring = pts[ring_off[r] : ring_off[r + 1]]
-                parts.append(np.hstack([ring[:-1], ring[1:]]))
-                sizes[i] += len(ring) - 1
-    edges = np.concatenate(parts) if parts else np.empty((0, 4))
-    return edges, np.concatenate([[0], np.cumsum(sizes)])
+def _edge_batch(packed: pa.Array, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges and offsets of every row; a NULL outline stands for the row's box."""
+    null = np.asarray(pa.compute.is_null(packed))
+    sizes = np.where(null, 4, pa.compute.fill_null(pa.compute.binary_length(packed), 0).to_numpy(zero_copy_only=False) // 32)
+    off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    edges = np.empty((off[-1], 4))
+    from_box = np.repeat(null, sizes)
+    x0, y0, x1, y1 = boxes[null].T
+    sides = [np.column_stack(c) for c in ((x0, y0, x1, y0), (x1, y0, x1, y1), (x1, y1, x0, y1), (x0, y1, x0, y0))]
+    edges[from_box] = np.stack(sides, axis=1).reshape(-1, 4)
+    raw = b"".join(packed.drop_null().to_pylist())
+    edges[~from_box] = np.frombuffer(raw, dtype=np.float64).reshape(-1, 4)
+    return edges, off
 
 
 def _measure_udf(distance: bool):
     @F.arrow_udf("struct<overlap:double,distance:double>")
     def measure(pair: pa.Array) -> pa.Array:
-        a_rings, b_rings = pair.field("a_rings"), pair.field("b_rings")
-        skip = np.asarray(pair.field("plain"))
-        n = len(pair)
-        overlap, dist = np.zeros(n), np.full(n, np.inf)
-        active = ~skip.astype(bool)
-        if active.any():
-            boxes = [
-                np.column_stack([pair.field(f"{s}_{c}").to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")])
-                for s in "ab"
-            ]
-            ea, oa = _edge_batch(a_rings, boxes[0], active)
-            eb, ob = _edge_batch(b_rings, boxes[1], active)
-            rows = np.nonzero(active)[0]
-            pick = np.concatenate([rows, [n]])
-            ov, sq = K.pair_measures(ea, oa[pick], eb, ob[pick], distance)
-            overlap[rows], dist[rows] = ov, np.where(ov > 0, 0.0, np.sqrt(sq))
+        # Rows of two plain boxes arrive as NULL and are measured outside.
+        live = pa.compute.is_valid(pair)
+        rows = np.nonzero(np.asarray(live))[0]
+        overlap, dist = np.zeros(len(pair)), np.full(len(pair), np.inf)
+        if len(rows):
+            part = pair.filter(live)
+            sides = []
+            for s in "ab":
+                box = np.column_stack(
+                    [part.field(f"{s}_{c}").to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")]
+                )
+                sides += _edge_batch(part.field(f"{s}_edges"), box)
+            area, square = K.pair_measures(*sides, distance)
+            overlap[rows], dist[rows] = area, np.where(area > 0, 0.0, np.sqrt(square))
         return pa.StructArray.from_arrays([pa.array(overlap), pa.array(dist)], names=["overlap", "distance"])
 
     return measure
@@ -362,12 +362,11 @@ def measured_pairs(candidates: DataFrame, distance: bool) -> DataFrame:
     """Overlap (m2) and distance (m) per fragment pair.
 
     Two boxes are measured in code generation; only pairs with real outlines send their
-    rings to the kernel.
+    edges to the kernel.
     """
-    plain = F.col("a_rings").isNull() & F.col("b_rings").isNull()
-    fields = [F.when(~plain, F.col(f"{s}_rings")).alias(f"{s}_rings") for s in "ab"]
-    fields += [F.col(f"{s}_{c}") for s in "ab" for c in ("x0", "y0", "x1", "y1")]
-    exact = _measure_udf(distance)(F.struct(plain.alias("plain"), *fields))
+    plain = F.col("a_edges").isNull() & F.col("b_edges").isNull()
+    fields = [F.col(f"{s}_{c}") for s in "ab" for c in ("x0", "y0", "x1", "y1", "edges")]
+    exact = _measure_udf(distance)(F.when(~plain, F.struct(*fields)))
     w = F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")
     h = F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0")
     zero = F.lit(0.0)
@@ -431,7 +430,7 @@ def near_pairs(
     fa = fa.withColumnRenamed(key_a, "id_a")
     fb = fragments(b, key_b, geom_b, cell_m).withColumnRenamed(key_b, "id_b")
     hot = _hot_or_none(a, b, geom_a, geom_b, cell_m) if balance else None
-    pairs = measured_pairs(candidate_pairs(fa, fb, cell_m, limit, hot), distance=True)
+    pairs = measured_pairs(candidate_pairs(fa, fb, cell_m, limit, hot, spread_work=hot is None), distance=True)
     pairs = pairs.where(F.col("distance") <= F.col("reach"))
     return (
         pairs.groupBy("id_a", "id_b")
