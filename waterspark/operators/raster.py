@@ -13,3 +13,10 @@ def output_size(width: Column, height: Column, size: Column, most: int = 1400) -
         F.when(tall > size, limit(size * aspect)).otherwise(size).alias("width"),
         F.least(tall, size).alias("height"),
     )
+
+
+def valid_ratio(pixels, by, bands):
+    hit = F.lit(False)
+    for b in bands:
+        hit = hit | (F.coalesce(F.col(b), F.lit(0)) != 0)
+    return pixels.groupBy(*by).agg((F.count_if(hit) / F.count(F.lit(1))).alias("valid_ratio"))
