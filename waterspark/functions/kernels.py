@@ -483,3 +483,25 @@ def simplify_ring(ring: np.ndarray, tolerance: float) -> np.ndarray:
             stack += [(a, a + 1 + k), (a + 1 + k, b)]
     out = line[keep]
     return out if len(out) >= 4 else ring
+
+
+def squares_touched(centres: np.ndarray, hx: float, hy: float, edges: np.ndarray) -> np.ndarray:
+    """Whether any edge meets each axis-parallel square (closed)."""
+    out = np.zeros(len(centres), dtype=bool)
+    if not len(edges):
+        return out
+    x1, y1, x2, y2 = edges.T
+    step = max(1, EDGE_PAIR_CHUNK // len(edges))
+    for s in range(0, len(centres), step):
+        px, py = centres[s : s + step, :1], centres[s : s + step, 1:]
+        enter, leave = np.zeros((len(px), len(edges))), np.ones((len(px), len(edges)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for p, half, a, b in ((px, hx, x1, x2), (py, hy, y1, y2)):
+                d = b - a
+                t0, t1 = (p - half - a) / d, (p + half - a) / d
+                within = (a >= p - half) & (a <= p + half)
+                lo = np.where(d == 0, np.where(within, -np.inf, np.inf), np.minimum(t0, t1))
+                hi = np.where(d == 0, np.where(within, np.inf, -np.inf), np.maximum(t0, t1))
+                enter, leave = np.maximum(enter, lo), np.minimum(leave, hi)
+        out[s : s + step] = (enter <= leave).any(axis=1)
+    return out

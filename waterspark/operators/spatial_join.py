@@ -106,6 +106,13 @@ def project_points(pts: np.ndarray) -> np.ndarray:
     return out
 
 
+def unproject_points(pts: np.ndarray) -> np.ndarray:
+    out = np.empty_like(pts)
+    out[:, 0] = pts[:, 0] * (180.0 / G.MERCATOR_LIMIT)
+    out[:, 1] = np.degrees(np.arctan(np.exp(pts[:, 1] / G.EARTH_RADIUS))) * 2 - 90.0
+    return out
+
+
 # ------------------------------------------------------------------ fragments
 def fragments(df: DataFrame, key: str, geom: str = "geometry", cell_m: float = CELL_M, project: bool = True) -> DataFrame:
     """Cut geometries into grid cells: ``key, cx, cy, x0, y0, x1, y1, edges``.
