@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waterspark.functions import clean as C
 from waterspark.functions import geometry as G
 from waterspark.operators import spatial_join as S
+from waterspark.operators.grouped import map_groups
 from waterspark.operators.numbering import with_position
 
 WATER_COLUMNS = (
@@ -303,29 +301,24 @@ def union_boxes(boxes: DataFrame, key: str, cell_m: float = S.CELL_M) -> DataFra
     very many images is many small groups.
     """
     cut = S.fragments(boxes.select(key, "geometry").distinct(), key, cell_m=cell_m).drop("edges").distinct()
-    out_schema = cut.schema
+    box = ["x0", "y0", "x1", "y1"]
 
-    def merge(group: pa.Table) -> pa.Table:
-        x0, y0, x1, y1 = (group.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1"))
+    def merge(head: dict, v: dict[str, np.ndarray]) -> list[np.ndarray]:
+        x0, y0, x1, y1 = (v[c] for c in box)
         levels = np.unique(np.concatenate([y0, y1]))
         found: list[tuple[float, float, float, float]] = []
         for lo, hi in zip(levels[:-1], levels[1:]):
             on = (y0 <= lo) & (y1 >= hi)
+            if not on.any():
+                continue
             order = np.argsort(x0[on], kind="stable")
-            left, right = x0[on][order], np.maximum.accumulate(x1[on][order]) if on.any() else x1[:0]
-            fresh = np.concatenate([[True], left[1:] > right[:-1]]) if len(left) else np.zeros(0, bool)
-            heads = np.nonzero(fresh)[0]
+            left, right = x0[on][order], np.maximum.accumulate(x1[on][order])
+            heads = np.nonzero(np.concatenate([[True], left[1:] > right[:-1]]))[0]
             tails = np.concatenate([heads[1:], [len(left)]]) - 1
             found += [(left[h], lo, right[t], hi) for h, t in zip(heads, tails)]
-        first = group.slice(0, 1)
-        n = len(found)
-        cols = {c: pa.concat_arrays([first.column(c).combine_chunks()] * n) for c in (key, "cx", "cy")}
-        data = np.array(found)
-        for i, c in enumerate(("x0", "y0", "x1", "y1")):
-            cols[c] = pa.array(data[:, i])
-        return pa.table({f.name: cols[f.name] for f in out_schema})
-
-    return cut.groupBy(key, "cx", "cy").applyInArrow(merge, out_schema)
+        return list(np.array(found).T)
+
+    return map_groups(cut, [key, "cx", "cy"], box, [cut.schema[c] for c in box], merge)
 
 
 def match_image_areas(

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waterspark.operators.grouped import map_groups
+
 # --- fixed values -----------------------------------------------------------
 WATER_CLASS = 80
 OCCURRENCE_MAX = 100
@@ -199,9 +200,6 @@ def morphology(
         return F.sequence(F.floor((F.col(c) - halo) / block), F.floor((F.col(c) + halo) / block))
 
     spread = fine.withColumn("brow", F.explode(span("prow"))).withColumn("bcol", F.explode(span("pcol")))
-    schema = T.StructType([*[spread.schema[c] for c in by], T.StructField("prow", T.LongType()), T.StructField("pcol", T.LongType())])
-    key_names = [*by, "brow", "bcol"]
-
     def shift(a: np.ndarray, i: int, j: int) -> np.ndarray:
         out = np.zeros_like(a)
         h, w = a.shape
@@ -214,22 +212,16 @@ def morphology(
     def shrink(a: np.ndarray) -> np.ndarray:
         return np.logical_and.reduce([shift(a, i, j) for i, j in disk])
 
-    def work(group: pa.Table) -> pa.Table:
-        first = {c: group.column(c)[0] for c in key_names}
-        r0, c0 = first["brow"].as_py() * block - halo, first["bcol"].as_py() * block - halo
+    def work(head: dict, v: dict[str, np.ndarray]) -> list[np.ndarray]:
+        r0, c0 = head["brow"] * block - halo, head["bcol"] * block - halo
         # The border beyond the halo is empty ground; it never reaches the inner block.
         pad = int(np.floor(r)) + 1
         size = block + 2 * halo
         grid = np.zeros((size + 2 * pad, size + 2 * pad), dtype=bool)
-        grid[group.column("prow").to_numpy() - r0 + pad, group.column("pcol").to_numpy() - c0 + pad] = True
+        grid[v["prow"] - r0 + pad, v["pcol"] - c0 + pad] = True
         out = grow(shrink(grid)) if operation == "open" else shrink(grow(grid))
-        inner = out[pad + halo : pad + halo + block, pad + halo : pad + halo + block]
-        i, j = np.nonzero(inner)
-        cols = {c: pa.array([first[c].as_py()] * len(i), type=first[c].type) for c in by}
-        cols["prow"] = pa.array(i + r0 + halo, pa.int64())
-        cols["pcol"] = pa.array(j + c0 + halo, pa.int64())
-        return pa.table(cols)
-
-    return spread.groupBy(*key_names).applyInArrow(work, schema)
-
+        i, j = np.nonzero(out[pad + halo : pad + halo + block, pad + halo : pad + halo + block])
+        return [i + r0 + halo, j + c0 + halo]
 
+    fields = [T.StructField("prow", T.LongType()), T.StructField("pcol", T.LongType())]
+    return map_groups(spread, [*by, "brow", "bcol"], ["prow", "pcol"], fields, work).drop("brow", "bcol")

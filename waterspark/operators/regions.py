@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from waterspark.functions import geometry as G
 from waterspark.functions import kernels as K
 from waterspark.operators import spatial_join as S
+from waterspark.operators.grouped import map_groups
 from waterspark.session import cut_lineage
 
 BLOCK = 256
@@ -60,16 +61,18 @@ def _label_block(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
 
 
 def label_blocks(mask: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
-    """Block-local labels: ``by, prow, pcol, label`` plus any extra columns of the mask."""
+    """Block-local labels: ``by, brow, bcol, prow, pcol, label`` plus the extra columns of
+    the mask."""
+    extra = [c for c in mask.columns if c not in (*by, "prow", "pcol")]
     keyed = mask.withColumns({"brow": F.floor(F.col("prow") / block), "bcol": F.floor(F.col("pcol") / block)})
-    schema = T.StructType([*keyed.schema.fields, T.StructField("label", T.LongType())])
+    out = [*[keyed.schema[c] for c in ("prow", "pcol", *extra)], T.StructField("label", T.LongType())]
 
-    def work(group: pa.Table) -> pa.Table:
-        r, c = group.column("prow").to_numpy().astype(np.int64), group.column("pcol").to_numpy().astype(np.int64)
+    def work(head: dict, v: dict[str, np.ndarray]) -> list[np.ndarray]:
+        r, c = v["prow"].astype(np.int64), v["pcol"].astype(np.int64)
         first = _label_block(r, c)
-        return group.append_column("label", pa.array(r[first] * LABEL_STRIDE + c[first], pa.int64()))
+        return [r, c, *[v[x] for x in extra], r[first] * LABEL_STRIDE + c[first]]
 
-    return keyed.groupBy(*by, "brow", "bcol").applyInArrow(work, schema)
+    return map_groups(keyed, [*by, "brow", "bcol"], ["prow", "pcol", *extra], out, work)
 
 
 def border_links(labelled: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
@@ -145,50 +148,44 @@ def block_edges(labelled: DataFrame, by: list[str], block: int = BLOCK) -> DataF
 
     Corners are in pixel units with y down the rows negated, so that areas are positive.
     """
-    names = [*by, "brow", "bcol"]
-    schema = T.StructType(
-        [
-            *[labelled.schema[c] for c in names],
-            T.StructField("label", T.LongType()),
-            *[T.StructField(c, T.IntegerType()) for c in ("x1", "y1", "x2", "y2")],
-            T.StructField("border", T.BooleanType()),
-        ]
-    )
-
-    def work(group: pa.Table) -> pa.Table:
-        first = {c: group.column(c)[0] for c in names}
-        r, c = group.column("prow").to_numpy().astype(np.int64), group.column("pcol").to_numpy().astype(np.int64)
-        lab = group.column("label").to_numpy()
-        r0, c0 = first["brow"].as_py() * block, first["bcol"].as_py() * block
-        grid = np.zeros((block + 2, block + 2), dtype=bool)
-        i, j = r - r0 + 1, c - c0 + 1
-        grid[i, j] = True
+    out = [
+        T.StructField("label", T.LongType()),
+        *[T.StructField(c, T.IntegerType()) for c in ("x1", "y1", "x2", "y2")],
+        T.StructField("border", T.BooleanType()),
+    ]
+
+    def work(head: dict, v: dict[str, np.ndarray]) -> list[np.ndarray]:
+        r, c, lab = v["prow"].astype(np.int64), v["pcol"].astype(np.int64), v["label"]
+        i, j = r - head["brow"] * block + 1, c - head["bcol"] * block + 1
+        low, high = (i.min() - 1, j.min() - 1), (i.max() + 1, j.max() + 1)
+        grid = np.zeros((high[0] - low[0] + 1, high[1] - low[1] + 1), dtype=bool)
+        grid[i - low[0], j - low[1]] = True
         found = []
         # neighbour offset, then the edge from corner to corner (column, row offsets)
         for di, dj, a, b in ((1, 0, (0, 1), (1, 1)), (0, 1, (1, 1), (1, 0)), (-1, 0, (1, 0), (0, 0)), (0, -1, (0, 0), (0, 1))):
-            on = ~grid[i + di, j + dj]
+            on = ~grid[i + di - low[0], j + dj - low[1]]
             outside = (i + di < 1) | (i + di > block) | (j + dj < 1) | (j + dj > block)
             found.append((lab[on], c[on] + a[0], -(r[on] + a[1]), c[on] + b[0], -(r[on] + b[1]), outside[on]))
-        parts = [np.concatenate(v) for v in zip(*found)]
-        cols = {n: pa.array([first[n].as_py()] * len(parts[0]), type=first[n].type) for n in names}
-        cols["label"] = pa.array(parts[0], pa.int64())
-        for n, v in zip(("x1", "y1", "x2", "y2"), parts[1:5]):
-            cols[n] = pa.array(v, pa.int32())
-        cols["border"] = pa.array(parts[5])
-        return pa.table(cols)
+        return [np.concatenate(part) for part in zip(*found)]
+
+    return map_groups(labelled, [*by, "brow", "bcol"], ["prow", "pcol", "label"], out, work)
+
 
-    return labelled.groupBy(*names).applyInArrow(work, schema)
+def region_outlines(mask: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
+    """Polygons of all regions of a mask in pixel units: ``by, region, part, geometry``."""
+    labelled = cut_lineage(label_blocks(mask.select(*by, "prow", "pcol"), by, block))
+    return outlines(labelled, region_map(labelled, by, block), by, None, block)
 
 
-def region_outlines(mask: DataFrame, by: list[str], keep: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
-    """Polygons of the regions in pixel units: ``by, region, part, geometry``.
+def outlines(
+    labelled: DataFrame, mapping: DataFrame | None, by: list[str], keep: DataFrame | None, block: int = BLOCK
+) -> DataFrame:
+    """Polygons of labelled regions: ``by, region, part, geometry``.
 
     ``keep`` optionally lists the regions wanted. Edges that two blocks both report along
     their common border cancel. Regions with more outline than one task should hold are
     cut along a coarse grid into parts that tile the region exactly.
     """
-    labelled = cut_lineage(label_blocks(mask.select(*by, "prow", "pcol"), by, block))
-    mapping = region_map(labelled, by, block)
     edges = with_region(block_edges(labelled, by, block), mapping, by).drop("label")
     if keep is not None:
         edges = edges.join(keep.select(*by, "region").distinct(), [*by, "region"], "left_semi")
@@ -209,16 +206,18 @@ def region_outlines(mask: DataFrame, by: list[str], keep: DataFrame | None = Non
     final = sized.where(~F.col("seam") | F.col("big")).withColumn(
         "part", F.when(F.col("big"), F.col("coarse.r") * 1_000_000 + F.col("coarse.c")).otherwise(F.lit(0)).cast("long")
     )
-    keys = [*by, "region", "part"]
-    schema = T.StructType([*[final.schema[c] for c in keys], T.StructField("geometry", G.GEOMETRY_TYPE)])
+    pack = F.collect_list(F.struct(*ends)).alias("edges")
+    return final.groupBy(*by, "region", "part").agg(pack).withColumn("geometry", _traced("edges")).drop("edges")
 
-    def trace(group: pa.Table) -> pa.Table:
-        pts = np.column_stack([group.column(c).to_numpy() for c in ends]).astype(np.float64)
-        polygons = K.rings_to_polygons(K.link_rings(pts))
-        head = {c: group.column(c).slice(0, 1).combine_chunks() for c in keys}
-        return pa.table({**head, "geometry": S.geometry_array([polygons])})
 
-    return final.select(*keys, *ends).groupBy(*keys).applyInArrow(trace, schema)
+@F.arrow_udf(G.GEOMETRY_TYPE)
+def _traced(edges: pa.Array) -> pa.Array:
+    """Unit edges of one outline part to polygons."""
+    flat, off = edges.flatten(), S.list_offsets(edges)
+    pts = np.column_stack([flat.field(c).to_numpy() for c in ("x1", "y1", "x2", "y2")]).astype(np.float64)
+    return S.geometry_array(
+        [K.rings_to_polygons(K.link_rings(pts[off[i] : off[i + 1]])) for i in range(len(edges))]
+    )
 
 
 # ------------------------------------------------------------- layers per body
@@ -257,7 +256,7 @@ def pixels_near(
             boxes = np.column_stack([S.batch_column(batch, c).to_numpy() for c in ("x0", "y0", "x1", "y1")])
             edges, e_off = S._edge_batch(S.batch_column(batch, "edges"), boxes)
             packs_col = S.batch_column(batch, "pack")
-            flat, p_off = packs_col.flatten(), S._offsets(packs_col)
+            flat, p_off = packs_col.flatten(), S.list_offsets(packs_col)
             pts = np.column_stack([flat.field("px").to_numpy(), flat.field("py").to_numpy()])
             take_row, take_px, touch = [], [], []
             for i in range(batch.num_rows):
@@ -286,15 +285,22 @@ def pixels_near(
     return found.groupBy(key, "raster_id", "prow", "pcol").agg(F.first("value").alias("value"), F.bool_or("touches").alias("touches"))
 
 
-def water_regions(
-    clip: DataFrame, key: str, masks: DataFrame, merge_seams: bool = False, block: int = BLOCK
-) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Regions of each body's mask that meet the body. Regions of different rasters stay
-    apart unless ``merge_seams``; pixels must then share one grid."""
+def label_water(
+    masks: DataFrame, key: str, merge_seams: bool = False, block: int = BLOCK
+) -> tuple[DataFrame, DataFrame | None, list[str]]:
+    """Labels of each body's mask. Regions of different rasters stay apart unless
+    ``merge_seams``; pixels must then share one grid. Checkpointed: both the choice of
+    regions and their outlines read it."""
     by = [key, "threshold"] if merge_seams else [key, "threshold", "raster_id"]
-    regions = mask_regions(masks, by, block)
-    kept = regions.groupBy(*by, "region").agg(F.count(F.lit(1)).alias("n_pixels"), F.bool_or("touches").alias("touches"))
-    return regions, kept.where("touches").drop("touches"), by
+    labelled = cut_lineage(label_blocks(masks.select(*by, "prow", "pcol", "touches"), by, block))
+    return labelled, region_map(labelled, by, block), by
+
+
+def regions_on_body(labelled: DataFrame, mapping: DataFrame | None, by: list[str]) -> DataFrame:
+    """Regions that meet their body, with their pixel counts."""
+    regions = with_region(labelled, mapping, by)
+    counts = regions.groupBy(*by, "region").agg(F.count(F.lit(1)).alias("n_pixels"), F.bool_or("touches").alias("touches"))
+    return counts.where("touches").drop("touches")
 
 
 @F.arrow_udf(G.GEOMETRY_TYPE)
@@ -350,7 +356,6 @@ def smooth_water(geom: Column, area_km2: Column) -> Column:
 
 def water_layers(
     bodies: DataFrame,
-    clip: DataFrame,
     masks: DataFrame,
     key: str,
     thresholds: list[int],
@@ -363,8 +368,8 @@ def water_layers(
     ``origin`` is a struct ``(x0, y0, dx, dy)`` per raster that maps pixel corners to
     lon/lat. There is no size limit: large bodies are many blocks.
     """
-    _, kept, by = water_regions(clip, key, masks, block=block)
-    shapes = region_outlines(masks, by, keep=kept, block=block).withColumn("o", origin)
+    labelled, mapping, by = label_water(masks, key, block=block)
+    shapes = outlines(labelled, mapping, by, regions_on_body(labelled, mapping, by), block).withColumn("o", origin)
     placed = G.map_points(
         F.col("geometry"),
         lambda p: G.point(F.col("o.x0") + p["x"] * F.col("o.dx"), F.col("o.y0") + p["y"] * F.col("o.dy")),

@@ -50,9 +50,9 @@ def geometry_polygons(column: pa.Array) -> Iterator[list[list[np.ndarray]]]:
     polys = column.flatten()
     rings = polys.flatten()
     pts = point_array(rings.flatten())
-    g_off = _offsets(column)
-    p_off = _offsets(polys)
-    r_off = _offsets(rings)
+    g_off = list_offsets(column)
+    p_off = list_offsets(polys)
+    r_off = list_offsets(rings)
     for i in range(len(column)):
         out = []
         for p in range(g_off[i], g_off[i + 1]):
@@ -63,7 +63,7 @@ def geometry_polygons(column: pa.Array) -> Iterator[list[list[np.ndarray]]]:
         yield out
 
 
-def _offsets(column: pa.Array) -> np.ndarray:
+def list_offsets(column: pa.Array) -> np.ndarray:
     """Offsets relative to ``flatten``, robust to slices and NULL rows."""
     sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0)
     return np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))])
@@ -152,7 +152,7 @@ def _cut_batch(column: pa.Array, cell_m: float, project: bool):
     pts = point_array(rings.flatten())
     if project:
         pts = project_points(pts)
-    g_off, p_off, r_off = _offsets(column), _offsets(polys), _offsets(rings)
+    g_off, p_off, r_off = list_offsets(column), list_offsets(polys), list_offsets(rings)
     owner = np.repeat(np.arange(len(column)), np.diff(g_off))
     first = p_off[:-1]
     single = np.diff(p_off) == 1

@@ -235,18 +235,18 @@ def layer_clip(spark: SparkSession, sf: str) -> DataFrame:
     + """SELECT k, threshold, raster_id, region, count(*) AS n_pixels FROM comp GROUP BY k, threshold, raster_id, region HAVING bool_or(touches)""",
 )
 def layer_regions(spark: SparkSession, sf: str) -> DataFrame:
-    _, clip, masks = layer_inputs(spark, sf)
-    return regions.water_regions(clip, "k", masks)[1]
+    _, _, masks = layer_inputs(spark, sf)
+    return regions.regions_on_body(*regions.label_water(masks, "k"))
 
 
 @query("water_layers")
 def water_layers(spark: SparkSession, sf: str) -> DataFrame:
     """Smoothed layers for every body and threshold (rows only: no closed form)."""
-    bodies, clip, masks = layer_inputs(spark, sf)
+    bodies, _, masks = layer_inputs(spark, sf)
     origin = F.struct(
         (F.lit(WEST) + 3.0 * F.col("raster_id")).alias("x0"), F.lit(NORTH).alias("y0"), F.lit(PX).alias("dx"), F.lit(PY).alias("dy")
     )
-    layers = regions.water_layers(bodies, clip, masks, "k", [50, 90], origin)
+    layers = regions.water_layers(bodies, masks, "k", [50, 90], origin)
     return layers.select("k", "threshold", "state", F.round(G.area_km2(F.col("geometry")), 4).alias("area_km2"), F.size("geometry").alias("parts"))
 
 
