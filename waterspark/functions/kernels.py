@@ -242,11 +242,15 @@ def rings_to_polygons(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
 
 
 # ------------------------------------------------------------------- fragments
-def cell_pieces(rings: list[np.ndarray], cell: float) -> list[tuple[int, int, list[np.ndarray] | None, tuple]]:
+def cell_pieces(
+    rings: list[np.ndarray], cell: float, even_odd: bool = False
+) -> list[tuple[int, int, list[np.ndarray] | None, tuple]]:
     """Split one oriented polygon along the grid.
 
-    Yields (cx, cy, rings or None for a plain box, box). Columns are clipped first, then
-    the rows of each column, so the work follows the length of the outline.
+    Gives (cx, cy, rings or None for a plain box, box). Columns are clipped first, then
+    the rows of each column, so the work follows the length of the outline. An outline
+    that crosses itself shows up as a crossing inside some piece; the polygon is then cut
+    again by the even-odd rule, which box clipping does not disturb.
     """
     allpts = np.concatenate(rings)
     (xmin, ymin), (xmax, ymax) = allpts.min(axis=0), allpts.max(axis=0)
@@ -271,20 +275,23 @@ def cell_pieces(rings: list[np.ndarray], cell: float) -> list[tuple[int, int, li
                 out.append((cx, cy, None, (bx0, by0, bx1, by1)))
                 continue
             limits = (cx * cell, cy * cell, (cx + 1) * cell, (cy + 1) * cell)
-            if cx0 == cx1 and cy0 == cy1:
-                piece = column
-            else:
-                piece = clip_rings(column, -np.inf, limits[1], np.inf, limits[3]) if cy0 != cy1 else column
+            whole = cx0 == cx1 and cy0 == cy1
+            piece = column
+            if not whole and cy0 != cy1:
+                piece = clip_rings(column, -np.inf, limits[1], np.inf, limits[3])
                 if not piece:
                     continue
+            if even_odd:
+                piece = even_odd_trapezoids(ring_edges(piece))
+            if not whole:
                 total = sum(signed_area(r) for r in piece)
                 if abs(total - cell * cell) <= 1e-9 * cell * cell:
                     out.append((cx, cy, None, limits))
                     continue
-                piece = tidy_border(piece, *limits)
-            edges = ring_edges(piece)
-            if crosses_itself(edges):
-                piece = even_odd_trapezoids(edges)
+                if not even_odd:
+                    piece = tidy_border(piece, *limits)
+            if not even_odd and crosses_itself(ring_edges(piece)):
+                return cell_pieces(rings, cell, even_odd=True)
             if not piece:
                 continue
             if is_box(piece):
