@@ -243,14 +243,15 @@ def rings_to_polygons(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
 
 # ------------------------------------------------------------------- fragments
 def cell_pieces(
-    rings: list[np.ndarray], cell: float, even_odd: bool = False
+    rings: list[np.ndarray], cell: float, even_odd: bool = False, tidy: bool = True
 ) -> list[tuple[int, int, list[np.ndarray] | None, tuple]]:
     """Split one oriented polygon along the grid.
 
     Gives (cx, cy, rings or None for a plain box, box). Columns are clipped first, then
     the rows of each column, so the work follows the length of the outline. An outline
     that crosses itself shows up as a crossing inside some piece; the polygon is then cut
-    again by the even-odd rule, which box clipping does not disturb.
+    again by the even-odd rule, which box clipping does not disturb. Without ``tidy``
+    pieces may keep border edges that cancel out: fine for areas, not for distances.
     """
     allpts = np.concatenate(rings)
     (xmin, ymin), (xmax, ymax) = allpts.min(axis=0), allpts.max(axis=0)
@@ -288,10 +289,10 @@ def cell_pieces(
                 if abs(total - cell * cell) <= 1e-9 * cell * cell:
                     out.append((cx, cy, None, limits))
                     continue
-                if not even_odd:
+                if tidy and not even_odd:
                     piece = tidy_border(piece, *limits)
             if not even_odd and crosses_itself(ring_edges(piece)):
-                return cell_pieces(rings, cell, even_odd=True)
+                return cell_pieces(rings, cell, True, tidy)
             if not piece:
                 continue
             if is_box(piece):

@@ -68,9 +68,10 @@ def clean_water(
     key: str,
     prefix: Column,
     min_area_km2: float = C.DEFAULT_MIN_AREA_KM2,
-    bbox: bool = True,
 ) -> DataFrame:
-    """Cleaned attributes of raw water polygons; ``key`` names a unique input column."""
+    """Cleaned attributes of raw water polygons; ``key`` names a unique input column.
+
+    Stored box columns are used where the input has them."""
     kept = water_filter(df, min_area_km2).withColumns(
         {
             "osm_id_text": C.clean_id(F.col("osm_id")),
@@ -103,7 +104,7 @@ def clean_water(
             "other_tags_json": F.to_json(C.tag_map(tags)),
         }
     )
-    if bbox:
+    if "bbox_west" not in out.columns:
         out = out.withColumns(G.bbox_columns(F.col("geometry")))
     return out.withColumns(
         {

@@ -50,21 +50,59 @@ def coverage_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, **kw) ->
     return pairs.where("_m2 > 0").withColumn("coverage", F.col("overlap_m2") / F.col("_m2")).drop("_m2")
 
 
+def shape_key(geom: Column) -> Column:
+    """Digest that is equal for equal geometries."""
+    return F.md5(F.to_json(geom))
+
+
 def _neighbours(
-    bodies: DataFrame, others: DataFrame, key: str, other_key: str, excluded: Column, padding: float, limit: int
+    bodies: DataFrame,
+    others: DataFrame,
+    key: str,
+    other_key: str,
+    own_id: Column,
+    same_shape: Column,
+    padding: float,
+    limit: int,
 ) -> DataFrame:
-    """Rows of ``others`` that reach a body's area of interest, the largest first."""
+    """Rows of ``others`` that reach a body's area of interest, the largest first.
+
+    The join runs over *distinct shapes* on both sides, so stacked copies do not multiply
+    pairs. A body's own ids drop at most two rows, so the largest ``limit + 2`` shapes, and
+    the first ``limit + 2`` ids of each, hold every row of the answer.
+    """
     box = [F.col(c) for c in _BOX]
-    targets = bodies.withColumn("_reach_m", G.aoi_distance(*box, padding))
-    pairs = S.near_pairs(targets.select(key, "geometry", "_reach_m", *_BOX), others, key, other_key, "_reach_m")
-    left = targets.select(
+    spare = limit + 2
+    mine = bodies.withColumn("a_shape", shape_key(F.col("geometry")))
+    theirs = others.withColumn(
+        "b_shape", F.concat_ws(":", shape_key(F.col("geometry")), G.stable_area(F.col("area_km2")).cast("string"))
+    )
+    shapes_a = mine.groupBy("a_shape").agg(*[F.first(c).alias(c) for c in ("geometry", *_BOX)], F.first("area_km2").alias("own_area"))
+    shapes_b = theirs.groupBy("b_shape").agg(*[F.first(c).alias(c) for c in ("geometry", *_BOX)], F.first("area_km2").alias("other_area"))
+    targets = shapes_a.withColumn("_reach_m", G.aoi_distance(*box, padding))
+    pairs = S.near_pairs(targets, shapes_b, "a_shape", "b_shape", "_reach_m")
+    sized = pairs.join(shapes_a.select("a_shape", "own_area"), "a_shape").join(shapes_b.select("b_shape", "other_area"), "b_shape")
+    by_area = Window.partitionBy("a_shape").orderBy(G.stable_area(F.col("other_area")).desc())
+    near = (
+        sized.where(~F.coalesce(same_shape, F.lit(False)))
+        .withColumn("_r", F.rank().over(by_area))
+        .where(F.col("_r") <= spare)
+        .select("a_shape", "b_shape", "overlap_m2", "distance_m")
+    )
+    first_ids = Window.partitionBy("b_shape").orderBy(other_key)
+    members = (
+        theirs.select("b_shape", other_key, F.col("area_km2").alias("other_area"), *[c for c in others.columns if c.startswith("x_")])
+        .withColumn("_r", F.row_number().over(first_ids))
+        .where(F.col("_r") <= spare)
+        .drop("_r")
+    )
+    left = mine.select(
         key,
-        F.col("area_km2").alias("own_area"),
+        "a_shape",
         *[F.col(c).alias(f"own_{c}") for c in bodies.columns if c.endswith("_text") or c == "hylak_id"],
         G.aoi_bounds(*box, padding).alias("aoi"),
     )
-    right = others.select(other_key, F.col("area_km2").alias("other_area"), *[c for c in others.columns if c.startswith("x_")])
-    kept = pairs.join(left, key).join(right, other_key).where(~F.coalesce(excluded, F.lit(False)))
+    kept = left.join(near, "a_shape").join(members, "b_shape").where(~F.coalesce(own_id, F.lit(False)))
     order = Window.partitionBy(key).orderBy(G.stable_area(F.col("other_area")).desc(), other_key)
     top = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return top.select(key, other_key, "rank", F.col("other_area").alias("area_km2"), "overlap_m2", "distance_m", "aoi")
@@ -87,13 +125,13 @@ def context_water(
     others = osm.where(C.is_still_water(F.col("other_tags")) & (F.col("area_km2") >= min_area_km2)).withColumns(
         {"x_osm": C.clean_id(F.col("osm_id")), "x_way": C.clean_id(F.col("osm_way_id"))}
     )
-    own = F.array(C.clean_id(F.col("own_osm_id_text")), C.clean_id(F.col("own_osm_way_id_text")))
-    same_id = F.coalesce(F.array_contains(F.array_compact(own), F.col("x_osm")), F.lit(False)) | F.coalesce(
-        F.array_contains(F.array_compact(own), F.col("x_way")), F.lit(False)
+    own = F.array_compact(F.array(C.clean_id(F.col("own_osm_id_text")), C.clean_id(F.col("own_osm_way_id_text"))))
+    same_id = F.coalesce(F.array_contains(own, F.col("x_osm")), F.lit(False)) | F.coalesce(
+        F.array_contains(own, F.col("x_way")), F.lit(False)
     )
     share = SAME_BODY_COVERAGE * 1e6
     same_shape = (F.col("overlap_m2") > F.col("own_area") * share) & (F.col("overlap_m2") > F.col("other_area") * share)
-    return _neighbours(bodies, others, key, other_key, same_id | same_shape, padding, limit)
+    return _neighbours(bodies, others, key, other_key, same_id, same_shape, padding, limit)
 
 
 def context_reference(
@@ -107,9 +145,8 @@ def context_reference(
 ) -> DataFrame:
     """Reference lakes around each body, without the one it is matched to."""
     others = refs.where(F.coalesce(F.col("area_km2"), F.lit(0.0)) >= min_area_km2)
-    return _neighbours(
-        bodies, others, key, other_key, F.col("own_hylak_id") == F.col(other_key), padding, limit
-    )
+    same_id = F.col("own_hylak_id") == F.col(other_key)
+    return _neighbours(bodies, others, key, other_key, same_id, F.lit(False), padding, limit)
 
 
 def with_clipped_shape(context: DataFrame, shapes: DataFrame, other_key: str = "other_id") -> DataFrame:

@@ -227,7 +227,8 @@ def pixels_near(
     """Pixels of each body's clip: centre within ``share`` of the body's longest side.
 
     ``pixels`` has ``raster_id, prow, pcol, value, px, py`` (centre). Bodies are cut into
-    cells, grown cells meet pixel blocks by an equi-join. ``touches`` says whether the
+    cells, grown cells meet pixel blocks by an equi-join. ``cell`` should be some 256
+    pixels wide: it bounds the pixels packed into one row. ``touches`` says whether the
     pixel's square meets the body.
     """
     box = ("bbox_west", "bbox_south", "bbox_east", "bbox_north")

@@ -114,7 +114,9 @@ def unproject_points(pts: np.ndarray) -> np.ndarray:
 
 
 # ------------------------------------------------------------------ fragments
-def fragments(df: DataFrame, key: str, geom: str = "geometry", cell_m: float = CELL_M, project: bool = True) -> DataFrame:
+def fragments(
+    df: DataFrame, key: str, geom: str = "geometry", cell_m: float = CELL_M, project: bool = True, tidy: bool = True
+) -> DataFrame:
     """Cut geometries into grid cells: ``key, cx, cy, x0, y0, x1, y1, edges``.
 
     ``edges`` packs the directed outline as float64 quadruples, which crosses shuffles
@@ -126,7 +128,7 @@ def fragments(df: DataFrame, key: str, geom: str = "geometry", cell_m: float = C
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, cells, boxes, rings = _cut_batch(batch_column(batch, "_g"), cell_m, project)
+            take, cells, boxes, rings = _cut_batch(batch_column(batch, "_g"), cell_m, project, tidy)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch_column(batch, key).take(pa.array(take, pa.int64())),
@@ -141,7 +143,7 @@ def fragments(df: DataFrame, key: str, geom: str = "geometry", cell_m: float = C
     return source.mapInArrow(cut, schema)
 
 
-def _cut_batch(column: pa.Array, cell_m: float, project: bool):
+def _cut_batch(column: pa.Array, cell_m: float, project: bool, tidy: bool):
     """Fragments of a batch: owning row, cell, box, and rings where the box is not all.
 
     Axis-parallel boxes are cut with array arithmetic for the whole batch; only real
@@ -184,7 +186,7 @@ def _cut_batch(column: pa.Array, cell_m: float, project: bool):
         poly = [pts[r_off[r] : r_off[r + 1]] for r in range(p_off[p], p_off[p + 1])]
         poly = [r for r in poly if len(r) >= 4]
         if poly:
-            extra += [(owner[p], *piece) for piece in K.cell_pieces(K.oriented(poly), cell_m)]
+            extra += [(owner[p], *piece) for piece in K.cell_pieces(K.oriented(poly), cell_m, tidy=tidy)]
     if extra:
         take = np.concatenate([take, np.array([e[0] for e in extra], dtype=np.int64)])
         cells = np.vstack([cells, np.array([e[1:3] for e in extra], dtype=np.int64)])
@@ -405,8 +407,8 @@ def overlap_pairs(
     The overlap is rounded to the square centimetre so that equal shapes tie exactly,
     whatever order their fragments were added in.
     """
-    fa = fragments(a, key_a, geom_a, cell_m).withColumnRenamed(key_a, "id_a")
-    fb = fragments(b, key_b, geom_b, cell_m).withColumnRenamed(key_b, "id_b")
+    fa = fragments(a, key_a, geom_a, cell_m, tidy=False).withColumnRenamed(key_a, "id_a")
+    fb = fragments(b, key_b, geom_b, cell_m, tidy=False).withColumnRenamed(key_b, "id_b")
     hot = _hot_or_none(a, b, geom_a, geom_b, cell_m) if balance else None
     pairs = measured_pairs(candidate_pairs(fa, fb, cell_m, None, hot), distance=False)
     total = pairs.groupBy("id_a", "id_b").agg(F.round(F.sum("overlap"), OVERLAP_DIGITS).alias("overlap_m2"))

@@ -92,13 +92,24 @@ GROUP BY CASE WHEN lake_id = '' THEN tile ELSE concat(lake_id, ':', tile) END"""
 )
 
 
+SPREAD = {"part", "customer", "orders", "lineitem", "events"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _input(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table; the one-file ones are spread, as one file is one task otherwise.
+
+    Real inputs come as many files and need no such step."""
+    df = table(spark, sf, name)
+    return df.repartition(spark.sparkContext.defaultParallelism) if name in SPREAD else df
+
+
 def fixture(spark: SparkSession, sf: str, name: str) -> DataFrame:
     needs, sql = FIXTURES[name]
-    frames = {n: fixture(spark, sf, n) if n in FIXTURES else table(spark, sf, n) for n in needs}
+    frames = {n: fixture(spark, sf, n) if n in FIXTURES else _input(spark, sf, n) for n in needs}
     return spark.sql(sql, **frames)
 
 
