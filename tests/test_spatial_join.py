@@ -116,3 +116,35 @@ def test_projection_area_and_utm(spark):
     assert 138 < got.area < 142
     assert got.back.lon == pytest.approx(112.345, abs=1e-9) and got.back.lat == pytest.approx(28.765, abs=1e-9)
     assert 600_000 < got.u.easting < 650_000
+
+
+def test_context_keeps_its_limit_with_copies_and_repeated_ids(spark):
+    k = 1000.0
+    own = [[box(0, 0, 2 * k, 2 * k)]]
+    big, mid = [[box(2.2 * k, 0, 4.2 * k, 3 * k)]], [[box(0, 2.2 * k, 2 * k, 4.2 * k)]]
+    rows = [(1, own), (2, own), *[(10 + i, big) for i in range(6)], *[(20 + i, mid) for i in range(6)]]
+    df = metric(frame(spark, rows, "k")).withColumns(
+        {
+            "area_km2": G.area_km2(F.col("geometry")),
+            **G.bbox_columns(F.col("geometry")),
+            "other_tags": F.lit(""),
+            # Four of the large copies carry the body's own id.
+            "osm_id": F.when(F.col("k").between(10, 13), "1").otherwise(F.col("k").cast("string")),
+            "osm_way_id": F.lit(None).cast("string"),
+        }
+    ).cache()
+    body = df.where("k = 1").withColumns({"osm_id_text": F.lit("1"), "osm_way_id_text": F.lit(None).cast("string")})
+    near = context.context_water(body, df.withColumn("other_id", F.col("k")), key="k", limit=5)
+    assert [r.other_id for r in near.orderBy("rank").collect()] == [14, 15, 20, 21, 22]
+
+
+def test_box_filter_and_columns_reach_the_scan(spark, tmp_path):
+    from waterspark.sources.readers import read_features
+
+    df = frame(spark, [(1, [[box(0, 0, 1, 1)]]), (2, [[box(5, 5, 6, 6)]])], "lake_uid").withColumns(G.bbox_columns(F.col("geometry")))
+    df.withColumn("extra", F.lit("x")).write.parquet(str(tmp_path / "w"))
+    found = read_features(spark, str(tmp_path / "w"), ["lake_uid"], (4.0, 4.0, 7.0, 7.0))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(bbox_east,4.0)" in plan and "extra" not in plan
+    assert [r.lake_uid for r in found.collect()] == [2]

@@ -64,15 +64,16 @@ def _neighbours(
     same_shape: Column,
     padding: float,
     limit: int,
+    own_rows: int,
 ) -> DataFrame:
     """Rows of ``others`` that reach a body's area of interest, the largest first.
 
     The join runs over *distinct shapes* on both sides, so stacked copies do not multiply
-    pairs. A body's own ids drop at most two rows, so the largest ``limit + 2`` shapes, and
-    the first ``limit + 2`` ids of each, hold every row of the answer.
+    pairs. ``own_rows`` bounds the rows a body's own ids can drop: the largest
+    ``limit + own_rows`` shapes, and as many first ids of each, hold the whole answer.
     """
     box = [F.col(c) for c in _BOX]
-    spare = limit + 2
+    spare = limit + own_rows
     mine = bodies.withColumn("a_shape", shape_key(F.col("geometry")))
     theirs = others.withColumn(
         "b_shape", F.concat_ws(":", shape_key(F.col("geometry")), G.stable_area(F.col("area_km2")).cast("string"))
@@ -131,7 +132,11 @@ def context_water(
     )
     share = SAME_BODY_COVERAGE * 1e6
     same_shape = (F.col("overlap_m2") > F.col("own_area") * share) & (F.col("overlap_m2") > F.col("other_area") * share)
-    return _neighbours(bodies, others, key, other_key, same_id, same_shape, padding, limit)
+    # Two own ids against two id columns; ids listed more than once drop that many rows.
+    ids = F.array_compact(F.array(F.struct(F.lit(0).alias("c"), F.col("x_osm").alias("i")), F.struct(F.lit(1).alias("c"), F.col("x_way").alias("i"))))
+    listed = others.select(F.explode(ids).alias("e")).where("e.i IS NOT NULL").groupBy("e").agg(F.count(F.lit(1)).alias("n"))
+    most = listed.agg(F.max("n")).first()[0] or 1
+    return _neighbours(bodies, others, key, other_key, same_id, same_shape, padding, limit, 4 * most)
 
 
 def context_reference(
@@ -146,7 +151,7 @@ def context_reference(
     """Reference lakes around each body, without the one it is matched to."""
     others = refs.where(F.coalesce(F.col("area_km2"), F.lit(0.0)) >= min_area_km2)
     same_id = F.col("own_hylak_id") == F.col(other_key)
-    return _neighbours(bodies, others, key, other_key, same_id, F.lit(False), padding, limit)
+    return _neighbours(bodies, others, key, other_key, same_id, F.lit(False), padding, limit, 1)
 
 
 def with_clipped_shape(context: DataFrame, shapes: DataFrame, other_key: str = "other_id") -> DataFrame:
