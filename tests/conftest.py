@@ -9,9 +9,10 @@ sys.path.insert(0, ROOT)
 
 @pytest.fixture(scope="session")
 def spark():
-    from waterspark.session import local_session
+    from waterspark.session import local_session, ship_package
 
     session = local_session(4, "waterspark-tests", shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     yield session
     session.stop()

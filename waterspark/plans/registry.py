@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 from pathlib import Path
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waterspark.session import ship_package
+
 HERE = Path(__file__).parent
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = ["scalar_queries", "spatial_queries", "catalog_queries", "imagery_queries", "raster_queries", "sample_queries", "source_queries"]
@@ -20,7 +23,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

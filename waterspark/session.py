@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,21 @@ def local_session(cores: str | int = "*", app: str = "waterspark", shuffle_parti
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once per application.
+
+    Spark serves the archive from the driver to every executor; an application that was
+    submitted with the package already on its path needs no call, and one more does no harm.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_waterspark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='waterspark-')}/waterspark-package", "zip", root.parent, root.name)
+    context.addPyFile(archive)
+    context._waterspark_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's checkpoint folder.
 
