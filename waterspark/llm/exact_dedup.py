@@ -46,7 +46,8 @@ def frequent_digests(slim: DataFrame) -> DataFrame:
     part = slim.groupBy((F.spark_partition_id() % SKETCH_GROUPS).alias("_g")).agg(
         F.expr(f"approx_top_k_accumulate(text_sha256, {TRACKED})").alias("_s")
     )
-    top = part.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_s, {TRACKED}), {HEAVY})").alias("_top"))
+    # One group by key, as a sketch of an empty partition cannot be merged.
+    top = part.groupBy(F.lit(0).alias("_g")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_s, {TRACKED}), {HEAVY})").alias("_top"))
     return top.select(F.explode("_top").alias("_t")).select(F.col("_t.item").alias("text_sha256")).filter("text_sha256 is not null")
 
 
