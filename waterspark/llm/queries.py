@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from waterspark.llm.exact_dedup import exact_duplicates
+from waterspark.llm.pieces import encode
 from waterspark.llm.registry import ORACLES, QUERIES, query
 from waterspark.llm.shared import table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def tokenizer_path() -> str:
+    """The public model; another path can be given to the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @query(
     "op5_exact_dedup",
     """
@@ -27,3 +36,14 @@ __all__ = ["ORACLES", "QUERIES"]
 )
 def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_duplicates(table(spark, sf, "documents"))
+
+
+@query("op1_sentencepiece")
+def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    made = encode(table(spark, sf, "documents"), tokenizer_path())
+    return made.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
