@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waterspark.llm.exact_dedup import exact_duplicates
+from waterspark.llm.mixing import mix
 from waterspark.llm.pieces import encode
 from waterspark.llm.registry import ORACLES, QUERIES, query
 from waterspark.llm.shared import table
+from waterspark.llm.simhash import near_duplicates
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -47,3 +49,14 @@ def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op6_source_mix")
+def op6_source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(table(spark, sf, "documents"))
+
+
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    made = near_duplicates(table(spark, sf, "documents"))
+    return made.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
