@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waterspark.llm import url_filter
 from waterspark.llm.exact_dedup import exact_duplicates
 from waterspark.llm.mixing import mix
 from waterspark.llm.pieces import encode
@@ -60,3 +61,8 @@ def op6_source_mix(spark: SparkSession, sf: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     made = near_duplicates(table(spark, sf, "documents"))
     return made.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op9_url_filter", url_filter.oracle_sql())
+def op9_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf, "pages"))
