@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waterspark.llm import url_filter
 from waterspark.llm.exact_dedup import exact_duplicates
+from waterspark.llm.knn import top_k
 from waterspark.llm.mixing import mix
 from waterspark.llm.pieces import encode
 from waterspark.llm.registry import ORACLES, QUERIES, query
@@ -66,3 +67,23 @@ def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_url_filter", url_filter.oracle_sql())
 def op9_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf, "pages"))
+
+
+@query(
+    "op3_voronoi_knn",
+    """
+    WITH v AS (
+        SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+        SELECT a.row, a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+        FROM v a JOIN v b ON a.row <> b.row WHERE a.vec_id % 50 = 0
+    ), r AS (
+        SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s
+    )
+    SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+)
+def op3_voronoi_knn(spark: SparkSession, sf: str) -> DataFrame:
+    return top_k(table(spark, sf, "embeddings"), F.col("id") % 50 == 0)
