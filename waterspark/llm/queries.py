@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waterspark.llm import url_filter
+from waterspark.llm import quality, url_filter
 from waterspark.llm.exact_dedup import exact_duplicates
 from waterspark.llm.knn import top_k
 from waterspark.llm.mixing import mix
 from waterspark.llm.pieces import encode
 from waterspark.llm.registry import ORACLES, QUERIES, query
-from waterspark.llm.shared import table
+from waterspark.llm.shared import crc_fold, table
 from waterspark.llm.simhash import near_duplicates
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -87,3 +87,23 @@ def op9_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op3_voronoi_knn(spark: SparkSession, sf: str) -> DataFrame:
     return top_k(table(spark, sf, "embeddings"), F.col("id") % 50 == 0)
+
+
+#: Documents of this fold are held out from learning.
+FOLDS = 5
+
+
+def quality_model(spark: SparkSession, sf: str) -> quality.LineModel:
+    labels = table(spark, sf, "labels").filter(crc_fold("doc_id", FOLDS) != 0)
+    return quality.train(table(spark, sf, "documents"), labels)
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    made = quality.score_quality(table(spark, sf, "documents"), quality_model(spark, sf))
+    return made.select(
+        "doc_id",
+        (crc_fold("doc_id", FOLDS) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
