@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waterspark.llm import quality, url_filter
 from waterspark.llm.exact_dedup import exact_duplicates
+from waterspark.llm.html_text import extract_text
 from waterspark.llm.knn import top_k
 from waterspark.llm.mixing import mix
 from waterspark.llm.pieces import encode
@@ -107,3 +108,9 @@ def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
         "score",
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query("op10_html_text")
+def op10_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    made = extract_text(table(spark, sf, "pages"))
+    return made.select("page_id", "text", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
