@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waterspark.llm.shared import SPACE, stored, text_of
@@ -102,6 +102,11 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> D
     return placed.withColumn("target", F.least(F.col("_weight") * level, limit)).drop("_place", "_weight")
 
 
+def words(text_col: str) -> Column:
+    """Number of words of a text, null 0."""
+    return F.regexp_count(text_of(text_col), F.lit(f"[^{SPACE}]+")).cast("long")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -125,9 +130,8 @@ def mix(
     bounded by its distinct sizes. Equally long documents are ranked in ``PARTS`` parts
     with a running count over the parts, so a size with a third of all rows is dealt out.
     """
-    size = F.regexp_count(text_of(text_col), F.lit(f"[^{SPACE}]+")).cast("long")
     slim = stored(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size"))
         .withColumn("_hash", F.xxhash64(F.lit(seed), F.col("doc_id")))
         .withColumn("_key", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))))
         .withColumn("_part", F.pmod(F.col("_hash"), F.lit(PARTS))),
@@ -163,3 +167,20 @@ def mix(
     return chosen.withColumn("copies", copies).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source"
     )
+
+
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
+    """The mix itself: every document as often as ``mix`` says, whole rows.
+
+    Rows that agree in id, source and size share their copies evenly.
+    """
+    def key(name: str, source: str, size: Column) -> Column:
+        parts = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (name, source)]
+        return F.concat_ws("\n", *parts, size.cast("string"))
+
+    made = mix(docs, id_col, text_col, source_col, **options)
+    made = made.groupBy(key("doc_id", "source", F.col("size")).alias("_key")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    own = Window.partitionBy("_key").orderBy(text_of(text_col))
+    keyed = docs.withColumn("_key", key(id_col, source_col, words(text_col))).join(made.filter("_copies > 0"), "_key")
+    share = F.floor(F.col("_copies") / F.col("_rows")) + (F.row_number().over(own) <= F.col("_copies") % F.col("_rows")).cast("long")
+    return keyed.withColumn("_take", share).filter("_take > 0").withColumn("_take", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_take")))).select(*docs.columns)
