@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waterspark.llm import quality, url_filter
+from waterspark.llm import pii, quality, url_filter
 from waterspark.llm.exact_dedup import exact_duplicates
 from waterspark.llm.html_text import extract_text
 from waterspark.llm.knn import top_k
@@ -114,3 +114,18 @@ def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
 def op10_html_text(spark: SparkSession, sf: str) -> DataFrame:
     made = extract_text(table(spark, sf, "pages"))
     return made.select("page_id", "text", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op4_pii")
+def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    made = pii.find_pii(docs, pii.train(docs))
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in pii.BASE]
+    return made.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
