@@ -11,6 +11,7 @@ from waterspark.llm.html_text import extract_text
 from waterspark.llm.knn import top_k
 from waterspark.llm.mixing import mix
 from waterspark.llm.pieces import encode
+from waterspark.llm.pitman_yor import language_scores
 from waterspark.llm.registry import ORACLES, QUERIES, query
 from waterspark.llm.shared import crc_fold, table
 from waterspark.llm.simhash import near_duplicates
@@ -129,3 +130,8 @@ def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
 
     counts = [number(kind) for kind in pii.BASE]
     return made.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query("op7_pitman_yor")
+def op7_pitman_yor(spark: SparkSession, sf: str) -> DataFrame:
+    return language_scores(table(spark, sf, "documents"), crc_fold("doc_id", 7) == 2)
