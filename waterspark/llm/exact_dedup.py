@@ -90,13 +90,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, whole rows; of repeated rows one."""
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     kept = (
         exact_duplicates(docs, id_col, text_col)
         .filter("kept")
         .select(F.concat_ws(":", "text_sha256", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("_key"))
     )
-    # The key names the row, so the join and the choice among repeated rows share one shuffle.
-    keyed = docs.withColumn("_key", F.concat_ws(":", F.sha2(normalised(text_col), 256), name))
-    once = Window.partitionBy("_key").orderBy(F.desc(F.length(text_of(text_col))))
-    return keyed.join(kept, "_key", "left_semi").withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*docs.columns)
+    # The key names the row, so the join and the choice among repeated rows share one
+    # shuffle. The row travels as one struct, whatever its columns are called.
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    keyed = docs.select(
+        F.concat_ws(":", F.sha2(normalised(text_col), 256), name).alias("_key"), F.length(text_of(text_col)).alias("_length"), F.struct("*").alias("_row")
+    )
+    once = Window.partitionBy("_key").orderBy(F.desc("_length"))
+    return keyed.join(kept, "_key", "left_semi").withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("_row.*")

@@ -174,13 +174,15 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     Rows that agree in id, source and size share their copies evenly.
     """
+
     def key(name: str, source: str, size: Column) -> Column:
         parts = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (name, source)]
-        return F.concat_ws("\n", *parts, size.cast("string"))
+        return F.concat_ws("\n", *parts, size.cast("string")).alias("_key")
 
     made = mix(docs, id_col, text_col, source_col, **options)
-    made = made.groupBy(key("doc_id", "source", F.col("size")).alias("_key")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    own = Window.partitionBy("_key").orderBy(text_of(text_col))
-    keyed = docs.withColumn("_key", key(id_col, source_col, words(text_col))).join(made.filter("_copies > 0"), "_key")
+    made = made.groupBy(key("doc_id", "source", F.col("size"))).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    own = Window.partitionBy("_key").orderBy("_hash")
+    keyed = docs.select(key(id_col, source_col, words(text_col)), F.xxhash64(text_of(text_col)).alias("_hash"), F.struct("*").alias("_row"))
     share = F.floor(F.col("_copies") / F.col("_rows")) + (F.row_number().over(own) <= F.col("_copies") % F.col("_rows")).cast("long")
-    return keyed.withColumn("_take", share).filter("_take > 0").withColumn("_take", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_take")))).select(*docs.columns)
+    taken = keyed.join(made.filter("_copies > 0"), "_key").withColumn("_take", share).filter("_take > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_take")))).select("_row.*")

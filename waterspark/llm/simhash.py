@@ -175,6 +175,8 @@ def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key"))
         .distinct()
     )
-    keyed = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    once = Window.partitionBy("_key").orderBy(F.desc(F.length(text_of(text_col))), text_of(text_col))
-    return keyed.join(kept, "_key", "left_semi").withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*docs.columns)
+    keyed = docs.select(
+        F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_key"), F.xxhash64(text_of(text_col)).alias("_hash"), F.struct("*").alias("_row")
+    )
+    once = Window.partitionBy("_key").orderBy("_hash")
+    return keyed.join(kept, "_key", "left_semi").withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("_row.*")
