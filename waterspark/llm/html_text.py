@@ -29,6 +29,7 @@ BLOCK = frozenset(
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr menu dir fieldset xmp".split())
 #: A start tag that ends an open paragraph.
 ENDS_P = BLOCK - frozenset("body html li dd dt td th tr tbody thead tfoot caption legend option optgroup".split()) | frozenset(["li", "dd", "dt"])
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 #: Start tag -> open tags that it ends, and the tags beyond which they stay open.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -106,12 +107,18 @@ class Tree:
             self.start(tag, {}, True)
         elif self.count.get(tag):
             held = {"table"} if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else set() if tag in ("table", "body", "html") else {"td", "th", "caption", "template"}
+            crossed = False
             for place in range(len(self.open) - 1, 0, -1):
                 if self.open[place].tag == tag:
-                    self.pop_to(place)
+                    if not crossed or tag in BLOCK:
+                        self.pop_to(place)
+                    elif tag in FORMATTING:  # the blocks opened inside stay open without it
+                        self.count[tag] -= 1
+                        del self.open[place]
                     break
                 if self.open[place].tag in held:
                     break
+                crossed = crossed or self.open[place].tag in BLOCK
 
     def text(self, raw: str) -> None:
         if raw:
