@@ -27,6 +27,10 @@ LABEL_DEFAULTS = {
     "quality": "good",
     "notes": "",
 }
+LABEL_SOURCES = ["osm", "hydrolakes", "esa", "jrc"]
+DEFAULT_LABEL_THRESHOLD = 75
+EDITABLE_SAMPLE_COLUMNS = ["quality", "split", "notes", "label_scope", "mask_policy", "context_sources", "ignore_sources"]
+ASSET_LABELS = {"lake_native": "本体影像", "preloaded_tile": "预置 Sentinel tile", "sentinel_tile": "已下载 Sentinel tile"}
 DEFAULT_BUFFER_RATIO = 0.8
 DEFAULT_MIN_AREA_KM2 = 0.01
 # ----------------------------------------------------------------------------

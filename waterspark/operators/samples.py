@@ -9,9 +9,7 @@ from waterspark.functions import clean as C
 from waterspark.functions import geometry as G
 from waterspark.operators import upsert
 
-EDITABLE = ["quality", "split", "notes", "label_scope", "mask_policy", "context_sources", "ignore_sources"]
-DEFAULT_THRESHOLD = 75
-ASSET_LABELS = {"lake_native": "本体影像", "preloaded_tile": "预置 Sentinel tile", "sentinel_tile": "已下载 Sentinel tile"}
+EDITABLE = C.EDITABLE_SAMPLE_COLUMNS
 
 
 def _packed(field: Column, sep: str = ",") -> Column:
@@ -44,15 +42,18 @@ def body_detail(summary: DataFrame, osm_layer: DataFrame, reference: DataFrame,
 
 
 def create_samples(requests: DataFrame, ready: DataFrame, bodies: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sample rows for the requests of ready bodies with a label, and the rest with the
-    reason. ``ready`` is the readiness table, ``labels`` the label layers."""
-    asked = C.with_label_defaults(requests)
-    level = F.when(F.col("label_source") == "jrc", F.coalesce(F.col("label_threshold").try_cast("int"), F.lit(DEFAULT_THRESHOLD)))
-    asked = asked.withColumn("_level", F.coalesce(level, F.lit(-1)))
+    """Sample rows for the requests of ready bodies with a label, and every other request
+    with the reason. ``ready`` is the readiness table, ``labels`` the label layers.
+
+    Sources are known in any case; a threshold that is no number is the default, and
+    numbers count as the nearest from 1 to 100.
+    """
+    asked = C.with_label_defaults(requests).withColumns(label_key("label_source", "label_threshold"))
     box = ["bbox_west", "bbox_south", "bbox_east", "bbox_north"]
-    joined = asked.join(ready, "lake_uid").join(bodies.select("lake_uid", "lake_name", *box), "lake_uid")
-    layer = labels.select("lake_uid", "label_source", F.coalesce("threshold", F.lit(-1)).alias("_level"), F.lit(True).alias("_label"))
-    joined = joined.join(layer, ["lake_uid", "label_source", "_level"], "left")
+    known = bodies.select("lake_uid", "lake_name", *box, F.lit(True).alias("_known"))
+    joined = asked.join(known, "lake_uid", "left").join(ready, "lake_uid", "left")
+    layer = labels.select("lake_uid", F.col("label_source").alias("_source"), F.coalesce("threshold", F.lit(-1)).alias("_level"), F.lit(True).alias("_label"))
+    joined = joined.join(layer, ["lake_uid", "_source", "_level"], "left")
     p = F.col("products")
 
     def each(field: str, sep: str = ",") -> Column:
@@ -63,10 +64,11 @@ def create_samples(requests: DataFrame, ready: DataFrame, bodies: DataFrame, lab
 
     def asset_label(r: Column) -> Column:
         kind = r["asset"]["asset_type"]
-        out = F.when(kind == "lake_native", ASSET_LABELS["lake_native"]).when(kind == "preloaded_tile", ASSET_LABELS["preloaded_tile"])
-        return out.otherwise(ASSET_LABELS["sentinel_tile"])
+        out = F.when(kind == "lake_native", C.ASSET_LABELS["lake_native"]).when(kind == "preloaded_tile", C.ASSET_LABELS["preloaded_tile"])
+        return out.otherwise(C.ASSET_LABELS["sentinel_tile"])
 
-    ok = F.col("ready") & F.coalesce("_label", F.lit(False))
+    is_ready = F.coalesce("ready", F.lit(False))
+    ok = F.coalesce("_known", F.lit(False)) & is_ready & F.coalesce("_label", F.lit(False))
     aoi = G.aoi_bounds(*[F.col(c) for c in box], F.col("buffer_ratio"))
     names = each("product")
     rows = joined.where(ok).withColumns({"_names": names, "_aoi": aoi, "_tiles": each("tile")})
@@ -95,18 +97,46 @@ def create_samples(requests: DataFrame, ready: DataFrame, bodies: DataFrame, lab
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssZ").alias("created_at"),
         "notes",
     )
-    reason = F.when(~F.col("ready"), F.concat(F.lit("missing tiles: "), F.array_join("missing_tiles", ", "))).otherwise("label source has no geometry")
+    reason = (
+        F.when(F.col("_known").isNull(), "unknown body")
+        .when(~is_ready, F.concat(F.lit("missing tiles: "), F.coalesce(F.array_join("missing_tiles", ", "), F.lit(""))))
+        .when(~F.col("_source").isin(C.LABEL_SOURCES), F.concat(F.lit("unknown label source: "), F.col("label_source")))
+        .otherwise("label source has no geometry")
+    )
     return made, joined.where(~ok).select("lake_uid", "label_source", reason.alias("reason"))
 
 
+def label_key(source: str, threshold: str) -> dict[str, Column]:
+    """Source and level under which a label layer is found; no level is -1."""
+    name = F.lower(C.clean_text(F.col(source)))
+    number = F.coalesce(C.clean_text(F.col(threshold)).try_cast("int"), F.lit(C.DEFAULT_LABEL_THRESHOLD))
+    return {"_source": name, "_level": F.when(name == "jrc", F.greatest(F.lit(1), F.least(F.lit(100), number))).otherwise(-1)}
+
+
+def label_rows(made: DataFrame, labels: DataFrame) -> DataFrame:
+    """The label of each sample as a feature: path, properties and geometry.
+
+    The layer's own properties come first, then the sample's scope and policies; see
+    ``sinks.feature_line`` for the text of a row.
+    """
+    keyed = made.withColumns(label_key("label_source", "label_threshold"))
+    layer = labels.select(
+        F.col("lake_uid").alias("lake_id"), F.col("label_source").alias("_source"), F.coalesce("threshold", F.lit(-1)).alias("_level"), "threshold", "geometry"
+    )
+    settings = [F.col(c) for c in ("label_scope", "mask_policy", "context_sources", "ignore_sources")]
+    joined = keyed.join(layer, ["lake_id", "_source", "_level"])
+    return joined.select("sample_id", "label_path", F.struct(F.col("lake_id").alias("lake_uid"), F.col("_source").alias("source"), "threshold", *settings).alias("properties"), "geometry")
+
+
 def store_samples(table: DataFrame, made: DataFrame) -> DataFrame:
     """Upsert by sample id; equal requests made twice leave one row."""
-    last = upsert.latest_per_key(made, "sample_id", ["created_at", "lake_id"])
-    return upsert.upsert(table, last, "sample_id")
+    return upsert.upsert(table, made, "sample_id", ["created_at", "lake_id"])
+
 
+def sample_status(samples: DataFrame, inventory: DataFrame, bodies: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
+    """Samples with file status, list sizes, asset lists and the body's display name.
 
-def sample_status(samples: DataFrame, inventory: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Samples with file status, list sizes and the body's display name.
+    ``lookup`` resolves other spellings of a body's id (``search.id_lookup``).
 
     ``inventory`` lists existing paths. Paths are exploded and met by an equi-join, so no
     task ever looks a path up on its own.
@@ -125,8 +155,16 @@ def sample_status(samples: DataFrame, inventory: DataFrame, bodies: DataFrame) -
         samples.join(missing("tci_path", "missing_tci"), "sample_id", "left")
         .join(missing("safe_path", "missing_safe"), "sample_id", "left")
         .join(label, "label_path", "left")
-        .join(bodies.select(F.col("lake_uid").alias("lake_id"), F.col("display_name").alias("_shown")), "lake_id", "left")
     )
+    if lookup is None:
+        out = out.withColumn("_uid", F.col("lake_id"))
+    else:
+        out = out.join(lookup.select(F.col("key").alias("lake_id"), F.col("lake_uid").alias("_uid")), "lake_id", "left")
+    out = out.join(bodies.select(F.col("lake_uid").alias("_uid"), F.col("display_name").alias("_shown")), "_uid", "left")
+    lists = {}
+    for many, one in (("imagery_asset_labels", "imagery_asset_label"), ("imagery_asset_types", "imagery_asset_type")):
+        there = [F.col(c) for c in (many, one) if c in samples.columns]
+        lists[many] = C.split_list(C.first_present(*there)) if there else empty
     exists = F.coalesce("_label", F.lit(False))
     return out.withColumns(
         {
@@ -137,8 +175,9 @@ def sample_status(samples: DataFrame, inventory: DataFrame, bodies: DataFrame) -
             "tile_count": F.size(C.split_list(C.first_present(F.col("tiles"), F.col("tile")))),
             "product_count": F.size(C.split_list(C.first_present(F.col("products"), F.col("product_name")))),
             "lake_display_name": C.first_present(F.col("_shown"), F.col("lake_name"), F.col("lake_id")),
+            **lists,
         }
-    ).drop("_label", "_shown")
+    ).drop("_label", "_shown", "_uid")
 
 
 def sample_stats(samples: DataFrame) -> DataFrame:

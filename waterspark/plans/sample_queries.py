@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waterspark.functions import geometry as G
-from waterspark.operators import catalog, context, imagery, samples, upsert
+from waterspark.operators import catalog, context, imagery, samples, search, upsert
 from waterspark.plans.fixtures import HIT, OVERLAP, cte, fixture, m_table, with_boxes
 from waterspark.plans.imagery_queries import _NEED, PAIRS, resolved, tables
 from waterspark.plans.registry import query
 from waterspark.plans.spatial_queries import refs, required_inputs, water
 from waterspark.session import new_shared_path
+from waterspark.sources import sinks
 from waterspark.streaming import upserts
 
-_ASK = """SELECT c_custkey AS ord, concat('hunan_osm_', c_custkey) AS lake_uid, CASE c_custkey % 4 WHEN 0 THEN 'hydrolakes' WHEN 1 THEN 'jrc' WHEN 2 THEN 'esa' ELSE NULL END AS label_source,
-    CASE WHEN c_custkey % 3 = 0 THEN '50' ELSE ' ' END AS label_threshold, CASE WHEN c_custkey % 5 = 0 THEN 'aoi_water' END AS label_scope FROM {customer}"""
+_ASK = """SELECT c_custkey AS ord, concat('hunan_osm_', c_custkey) AS lake_uid, CASE c_custkey % 4 WHEN 0 THEN 'hydrolakes' WHEN 1 THEN 'JRC' WHEN 2 THEN 'esa' ELSE NULL END AS label_source,
+    CASE WHEN c_custkey % 3 = 0 THEN '50' WHEN c_custkey % 11 = 0 THEN '300' ELSE ' ' END AS label_threshold, CASE WHEN c_custkey % 5 = 0 THEN 'aoi_water' END AS label_scope FROM {customer}"""
 
 
 def layers(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,9 +59,9 @@ _MADE = {
     "rdy": """SELECT q.lake_uid, count(*) FILTER (WHERE s.product IS NULL) = 0 AS ready, string_agg(s.product, ',' ORDER BY q.seq) AS products, string_agg(s.tile, ',' ORDER BY q.seq) AS tiles,
       string_agg(q.tile, ', ' ORDER BY q.seq) FILTER (s.product IS NULL) AS missing FROM req q LEFT JOIN res s ON q.lake_uid = s.lake_uid AND q.tile = s.tile GROUP BY q.lake_uid""",
     "ask": "SELECT ord, lake_uid, coalesce(label_source, 'osm') AS label_source, trim(label_threshold) AS label_threshold, coalesce(label_scope, 'target_only') AS label_scope FROM (" + _ASK.format(customer="customer") + ")",
-    "full_ask": """SELECT a.*, coalesce(r.ready, false) AS ready, r.products, r.tiles, r.missing, l.lake_uid IS NOT NULL AS has_label, w.x0, w.y1, greatest(greatest(w.x1-w.x0, w.y1-w.y0)*0.8, 500) AS d FROM ask a JOIN a0 w ON w.lake_uid = a.lake_uid
-      LEFT JOIN rdy r ON r.lake_uid = a.lake_uid LEFT JOIN lay l ON l.lake_uid = a.lake_uid AND l.label_source = a.label_source
-      AND l.lv = CASE WHEN a.label_source = 'jrc' THEN coalesce(try_cast(a.label_threshold AS INT), 75) ELSE -1 END""",
+    "full_ask": """SELECT a.*, w.lake_uid IS NOT NULL AS known, coalesce(r.ready, false) AS ready, r.products, r.tiles, r.missing, l.lake_uid IS NOT NULL AS has_label, w.x0, w.y1, greatest(greatest(w.x1-w.x0, w.y1-w.y0)*0.8, 500) AS d FROM ask a LEFT JOIN a0 w ON w.lake_uid = a.lake_uid
+      LEFT JOIN rdy r ON r.lake_uid = a.lake_uid LEFT JOIN lay l ON l.lake_uid = a.lake_uid AND l.label_source = lower(a.label_source)
+      AND l.lv = CASE WHEN lower(a.label_source) = 'jrc' THEN greatest(1, least(100, coalesce(try_cast(a.label_threshold AS INT), 75))) ELSE -1 END""",
 }
 
 
@@ -69,7 +70,7 @@ _MADE = {
     cte("fx_water", "fx_tiles", "fx_user", "fx_base", "fx_active", "fx_ref", more=_MADE)
     + """SELECT concat(lake_uid, '_', substr(sha1(concat(products, label_source, label_threshold, label_scope, 'other_water_ignore')), 1, 12)) AS sample_id, lake_uid AS lake_id, tiles, products,
     label_source, round((x0-d)/111319.49079327357, 6) AS aoi_west, 'made' AS state FROM full_ask WHERE ready AND has_label
-    UNION ALL SELECT NULL, lake_uid, coalesce(missing, ''), NULL, label_source, NULL, CASE WHEN ready THEN 'no label' ELSE 'not ready' END FROM full_ask WHERE NOT (ready AND has_label)""",
+    UNION ALL SELECT NULL, lake_uid, CASE WHEN known THEN coalesce(missing, '') ELSE '' END, NULL, label_source, NULL, CASE WHEN NOT known THEN 'unknown body' WHEN ready THEN 'no label' ELSE 'not ready' END FROM full_ask WHERE NOT (ready AND has_label)""",
 )
 def sample_create(spark: SparkSession, sf: str) -> DataFrame:
     rows, refused = made(spark, sf)
@@ -79,11 +80,42 @@ def sample_create(spark: SparkSession, sf: str) -> DataFrame:
     bad = refused.select(
         F.lit(None).cast("string").alias("sample_id"), F.col("lake_uid").alias("lake_id"),
         F.when(late, F.regexp_replace("reason", "^missing tiles: ", "")).otherwise("").alias("tiles"), F.lit(None).cast("string").alias("products"),
-        "label_source", F.lit(None).cast("double").alias("aoi_west"), F.when(late, "not ready").otherwise("no label").alias("state"),
+        "label_source", F.lit(None).cast("double").alias("aoi_west"), F.when(late, "not ready").when(F.col("reason") == "unknown body", "unknown body").otherwise("no label").alias("state"),
     )
     return good.unionAll(bad)
 
 
+@query(
+    "sample_store",
+    cte("fx_water", "fx_tiles", "fx_user", "fx_base", "fx_active", "fx_ref", more=_MADE)
+    + """, one AS (SELECT DISTINCT concat(lake_uid, '_', substr(sha1(concat(products, label_source, label_threshold, label_scope, 'other_water_ignore')), 1, 12)) AS sample_id, lake_uid AS lake_id FROM full_ask WHERE ready AND has_label)
+    SELECT sample_id, lake_id, 'made' AS state FROM one UNION ALL SELECT concat('old', s_suppkey), '', 'old' FROM supplier""",
+)
+def sample_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples stored into a table, and stored again: each stays once."""
+    rows, _ = made(spark, sf)
+    old = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("concat('old', s_suppkey) AS sample_id", "'' AS lake_id", "'x' AS created_at")
+    twice = samples.store_samples(samples.store_samples(old, rows), rows)
+    return twice.select("sample_id", "lake_id", F.when(F.col("created_at") == "x", "old").otherwise("made").alias("state"))
+
+
+@query(
+    "sample_labels",
+    cte("fx_water", "fx_tiles", "fx_user", "fx_base", "fx_active", "fx_ref", more=_MADE)
+    + """SELECT concat(lake_uid, '_', substr(sha1(concat(products, label_source, label_threshold, label_scope, 'other_water_ignore')), 1, 12), '.geojson') AS label_path, lake_uid, lower(label_source) AS source,
+    CASE WHEN lower(label_source) = 'jrc' THEN greatest(1, least(100, coalesce(try_cast(label_threshold AS INT), 75))) END AS threshold, label_scope, 'other_water_ignore' AS mask_policy, true AS has_outline FROM full_ask WHERE ready AND has_label""",
+)
+def sample_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The label feature of every sample, written and read back."""
+    rows, _ = made(spark, sf)
+    path = new_shared_path(spark, "labels")
+    labels = samples.label_rows(rows, layers(spark, sf))
+    labels.select("label_path", sinks.feature_line(F.col("geometry"), F.col("properties")).alias("value")).write.parquet(path)
+    shape = "properties struct<lake_uid:string,source:string,threshold:int,label_scope:string,mask_policy:string>, geometry struct<type:string>"
+    back = spark.read.parquet(path).withColumn("f", F.from_json("value", shape))
+    return back.select("label_path", "f.properties.*", F.col("f.geometry.type").isNotNull().alias("has_outline"))
+
+
 def sample_table(spark: SparkSession, sf: str) -> DataFrame:
     """Sample rows from the update events: the last event of each sample."""
     return upsert.latest_per_key(fixture(spark, sf, "fx_updates"), "sample_id", ["ts", "event_id"])
@@ -95,15 +127,19 @@ _LAST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDE
 @query(
     "sample_update_delete",
     cte("fx_updates", more={"t": _LAST})
-    + """, p AS (SELECT concat('S', c_custkey) AS sample_id, c_mktsegment AS quality FROM customer WHERE c_custkey % 2 = 0), d AS (SELECT concat('S', s_suppkey) AS sample_id FROM supplier WHERE s_suppkey % 3 = 0)
+    + """, p AS (SELECT concat('S', c_custkey) AS sample_id, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE c_mktsegment END AS quality FROM customer WHERE c_custkey % 2 = 0), d AS (SELECT concat('S', s_suppkey) AS sample_id FROM supplier WHERE s_suppkey % 3 = 0)
     SELECT t.sample_id, coalesce(p.quality, t.quality) AS quality, t.split, 'kept' AS state FROM t LEFT JOIN p ON t.sample_id = p.sample_id WHERE t.sample_id NOT IN (SELECT sample_id FROM d)
     UNION ALL SELECT sample_id, quality, NULL, 'unknown patch' FROM p WHERE sample_id NOT IN (SELECT sample_id FROM t) UNION ALL SELECT sample_id, NULL, NULL, 'unknown delete' FROM d WHERE sample_id NOT IN (SELECT sample_id FROM t)""",
 )
 def sample_update_delete(spark: SparkSession, sf: str) -> DataFrame:
     table = sample_table(spark, sf).select("sample_id", "quality", "split")
-    patches = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey % 2 = 0").selectExpr("concat('S', c_custkey) AS sample_id", "c_mktsegment AS quality")
+    asked = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey % 2 = 0")
+    patches = asked.selectExpr("concat('S', c_custkey) AS sample_id", "1 AS step", "c_mktsegment AS quality").unionAll(
+        # A second patch of the same sample blanks the value.
+        asked.where("c_custkey % 6 = 0").selectExpr("concat('S', c_custkey)", "2", "' nan'")
+    )
     drops = spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey % 3 = 0").selectExpr("concat('S', s_suppkey) AS sample_id")
-    patched, odd = upsert.patch_rows(table, patches, "sample_id", samples.EDITABLE)
+    patched, odd = upsert.patch_rows(table, patches, "sample_id", samples.EDITABLE, ["step"])
     kept, gone = upsert.delete_rows(patched, drops, "sample_id")
     null = F.lit(None).cast("string")
     return (
@@ -113,7 +149,7 @@ def sample_update_delete(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_SAMP = """SELECT ord, concat('S', ord) AS sample_id, lake_id, concat(product, '.geojson') AS label_path, concat(tci_path, ';', 'alt/', ord, '; ') AS tci_path, safe_path, '' AS lake_name,
+_SAMP = """SELECT ord, concat('S', ord) AS sample_id, CASE WHEN ord % 3 = 0 THEN replace(lake_id, 'hunan_', 'hn_') ELSE lake_id END AS lake_id, concat(product, '.geojson') AS label_path, concat(tci_path, ';', 'alt/', ord, '; ') AS tci_path, safe_path, '' AS lake_name,
     CASE WHEN ord % 2 = 0 THEN concat(tile, ',49RAA, ') ELSE '' END AS tiles, tile, product AS product_name, '' AS products FROM {p}"""
 _INV = "SELECT tci_path AS path FROM {p} WHERE ord % 7 <> 0 UNION ALL SELECT concat('alt/', ord) FROM {p} WHERE ord % 5 <> 0 UNION ALL SELECT concat(product, '.geojson') FROM {p} WHERE ord % 11 <> 0 UNION ALL SELECT safe_path FROM {p} WHERE o2 = 0"
 
@@ -122,14 +158,16 @@ _INV = "SELECT tci_path AS path FROM {p} WHERE ord % 7 <> 0 UNION ALL SELECT con
     "sample_status",
     cte("fx_products", "fx_water", more={"s": _SAMP.format(p="fx_products")})
     + """SELECT s.sample_id, CASE WHEN ord % 7 = 0 OR ord % 5 = 0 OR ord % 11 = 0 THEN 'missing_files' ELSE 'ok' END AS status, concat_ws(',', CASE WHEN ord % 7 = 0 THEN split_part(tci_path, ';', 1) END, CASE WHEN ord % 5 = 0 THEN concat('alt/', ord) END) AS missing_tci,
-    ord % 11 <> 0 AS label_exists, CASE WHEN ord % 2 = 0 THEN 2 ELSE 1 END AS tile_count, 1 AS product_count, coalesce(w.name, nullif(s.lake_id, '')) AS lake_display_name FROM s LEFT JOIN fx_water w ON w.lake_uid = s.lake_id""",
+    ord % 11 <> 0 AS label_exists, CASE WHEN ord % 2 = 0 THEN 2 ELSE 1 END AS tile_count, 1 AS product_count, coalesce(w.name, nullif(s.lake_id, '')) AS lake_display_name FROM s LEFT JOIN fx_water w ON w.lake_uid = replace(s.lake_id, 'hn_', 'hunan_')""",
 )
 def sample_status(spark: SparkSession, sf: str) -> DataFrame:
     p = fixture(spark, sf, "fx_products")
     table = spark.sql(_SAMP, p=p)
     inv = spark.sql(_INV.replace("WHERE o2 = 0", ""), p=p)
     bodies = fixture(spark, sf, "fx_water").select("lake_uid", F.col("name").alias("display_name"))
-    got = samples.sample_status(table, inv, bodies)
+    none = F.lit(None).cast("string")
+    named = bodies.withColumns({"source_feature_id": none, "osm_id_text": none, "osm_way_id_text": none, "area_km2": F.lit(1.0)})
+    got = samples.sample_status(table, inv, bodies, search.id_lookup(named))
     return got.select("sample_id", "status", F.array_join("missing_tci", ",").alias("missing_tci"), "label_exists", "tile_count", "product_count", "lake_display_name")
 
 

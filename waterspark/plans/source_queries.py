@@ -84,7 +84,7 @@ def ingest_indexes(spark: SparkSession, sf: str) -> DataFrame:
     p = fixture(spark, sf, "fx_products").withColumns(
         {"path": F.concat("tci_path", F.lit("#"), "ord"), "ratio": F.when(F.col("ord") % 2 == 0, F.col("valid_ratio"))}
     )
-    p.where("source = 'preloaded'").orderBy("ord").coalesce(1).select(
+    p.where("source = 'preloaded'").repartitionByRange(5, "ord").sortWithinPartitions("ord").select(
         F.lower("tile").alias("tile"), F.col("day").alias("date"), "source", F.col("ratio").alias("valid_ratio"), "product", "cloud_cover", F.col("path").alias("tci_path")
     ).write.csv(f"{home}/index", header=True)
     blank = F.lit("")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waterspark.functions import clean as C
 from waterspark.functions import geometry as G
+from waterspark.operators.numbering import with_position
 
 # --- fixed values -----------------------------------------------------------
 TILE_PATTERN = r"^\d{2}[A-Z]{3}$"
@@ -110,11 +111,21 @@ def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
 
 
 def read_imagery_index(spark: SparkSession, path: str) -> DataFrame:
-    """Imagery index CSV; rows keep a position so that the last one of a tile can win."""
+    """Imagery index CSV; rows keep a position so that the last one of a tile can win.
+
+    Positions follow file names, then places in a file, however files are packed to tasks.
+    """
     raw = spark.read.csv(path, header=True, schema=INDEX_SCHEMA)
-    return raw.withColumns(
-        {"tile": F.upper("tile"), "valid_ratio": F.coalesce("valid_ratio", F.lit(0.0)), "pos": F.monotonically_increasing_id()}
+    rows = raw.withColumns(
+        {
+            "tile": F.upper("tile"),
+            "valid_ratio": F.coalesce("valid_ratio", F.lit(0.0)),
+            "_file": F.col("_metadata.file_path"),
+            "_block": F.col("_metadata.file_block_start"),
+            "_line": F.monotonically_increasing_id(),
+        }
     )
+    return with_position(rows, [F.col("_file"), F.col("_block"), F.col("_line")], "pos").drop("_file", "_block", "_line")
 
 
 def read_user_products(spark: SparkSession, path: str) -> DataFrame:
