@@ -138,6 +138,27 @@ def test_context_keeps_its_limit_with_copies_and_repeated_ids(spark):
     assert [r.other_id for r in near.orderBy("rank").collect()] == [14, 15, 20, 21, 22]
 
 
+@pytest.mark.parametrize("case", ["placeholder", "stacked"])
+def test_context_stays_exact_under_hot_ids_and_stacked_copies(spark, case):
+    k = 1000.0
+    own = [[box(0, 0, 2 * k, 2 * k)]]
+    if case == "placeholder":  # one id on most rows, the body's own among them
+        others = [(10 + i, [[box(2.2 * k + i, 0, 4.2 * k + i, 3 * k)]]) for i in range(60)]
+        osm_id = F.when((F.col("k") == 1) | (F.col("k") % 10 != 0), "0").otherwise(F.col("k").cast("string"))
+        want = [20, 10, 30]
+    else:
+        others = [(10 + i, [[box(2.2 * k, 0, 4.2 * k, 3 * k)]]) for i in range(1000)]
+        osm_id = F.when(F.col("k") < 500, "0").otherwise(F.col("k").cast("string"))
+        want = [500, 501, 502]
+    df = metric(frame(spark, [(1, own), *others], "k")).withColumns(
+        {"area_km2": G.area_km2(F.col("geometry")), **G.bbox_columns(F.col("geometry")), "other_tags": F.lit(""), "osm_id": osm_id, "osm_way_id": F.lit(None).cast("string")}
+    ).cache()
+    body = df.where("k = 1").withColumns({"osm_id_text": F.lit("0"), "osm_way_id_text": F.lit(None).cast("string")})
+    near = context.context_water(body, df.withColumn("other_id", F.col("k")), key="k", limit=3)
+    got = [r.other_id for r in near.orderBy("rank").collect()]
+    assert got == want if case == "stacked" else len(got) == 3 and all(i % 10 == 0 for i in got)
+
+
 def test_box_filter_and_columns_reach_the_scan(spark, tmp_path):
     from waterspark.sources.readers import read_features
 

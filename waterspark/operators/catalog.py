@@ -226,11 +226,11 @@ def last_per_tile(index: DataFrame) -> DataFrame:
     )
 
 
-# ------------------------------------------------------------ reference lakes
+# ----------------------------------------------------------- reference bodies
 def best_reference(
     water: DataFrame, refs: DataFrame, key: str = "lake_uid", ref_key: str = "hylak_id", touching: bool = True
 ) -> DataFrame:
-    """Best reference lake per body: largest overlap, smallest id on a tie.
+    """Best reference body per water body: largest overlap, smallest id on a tie.
 
     Copies of one reference shape tie with each other, so only the smallest id of a shape
     can win; matching distinct shapes keeps stacked copies from multiplying pairs.
@@ -407,13 +407,13 @@ def build_water(
         out = out.join(last_per_tile(index), F.col("image_first") == F.col("_tile"), "left")
         tiles = F.coalesce("image_tiles", F.lit(""))
     best = {c: F.col(f"_best.{c}") if index is not None else _null() for c in ("date", "product", "valid_ratio", "tci_path")}
-    lakes = refs.select(
+    matches = refs.select(
         F.col("hylak_id").alias("_rid"),
         C.clean_text(F.col("lake_name")).alias("hylak_name"),
         C.clean_text(F.col("country")).alias("hylak_country"),
         F.col("lake_area").cast("double").alias("hylak_area_km2"),
     )
-    out = out.join(lakes, F.col("ref.id") == F.col("_rid"), "left").withColumns(
+    out = out.join(matches, F.col("ref.id") == F.col("_rid"), "left").withColumns(
         {
             "hylak_id": F.col("_rid"),
             "hydrolakes_overlap_m2": -F.col("ref.o"),

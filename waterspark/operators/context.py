@@ -10,8 +10,8 @@ from waterspark.functions import clean as C
 from waterspark.functions import geometry as G
 from waterspark.functions import kernels as K
 from waterspark.operators import spatial_join as S
+from waterspark.session import cut_lineage
 
-CONTEXT_LIMIT = 500
 CONTEXT_MIN_KM2 = 1.0
 SAME_BODY_COVERAGE = 0.9
 _BOX = ("bbox_west", "bbox_south", "bbox_east", "bbox_north")
@@ -51,8 +51,8 @@ def coverage_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, **kw) ->
 
 
 def shape_key(geom: Column) -> Column:
-    """Digest that is equal for equal geometries."""
-    return F.md5(F.to_json(geom))
+    """128-bit digest that is equal for equal geometries."""
+    return F.concat(F.hex(F.xxhash64(geom)), F.hex(F.xxhash64(F.lit(7), geom)))
 
 
 def _neighbours(
@@ -60,50 +60,60 @@ def _neighbours(
     others: DataFrame,
     key: str,
     other_key: str,
-    own_id: Column,
+    own_ids: Column,
+    other_ids: Column,
     same_shape: Column,
     padding: float,
     limit: int,
-    own_rows: int,
 ) -> DataFrame:
     """Rows of ``others`` that reach a body's area of interest, the largest first.
 
-    The join runs over *distinct shapes* on both sides, so stacked copies do not multiply
-    pairs. ``own_rows`` bounds the rows a body's own ids can drop: the largest
-    ``limit + own_rows`` shapes, and as many first ids of each, hold the whole answer.
+    ``own_ids`` and ``other_ids`` are arrays; a row that shares an id with the body is left
+    out. The join runs over *distinct shapes* on both sides, so stacked copies do not
+    multiply pairs. Before shapes are opened into their rows they are cut twice: a shape
+    goes if larger ones alone fill the limit, or if ``limit`` others of the same rank begin
+    with smaller ids; both count the rows that own ids may take away nearby.
     """
     box = [F.col(c) for c in _BOX]
-    spare = limit + own_rows
-    mine = bodies.withColumn("a_shape", shape_key(F.col("geometry")))
-    theirs = others.withColumn(
-        "b_shape", F.concat_ws(":", shape_key(F.col("geometry")), G.stable_area(F.col("area_km2")).cast("string"))
+    mine = bodies.withColumns({"a_shape": shape_key(F.col("geometry")), "_own": own_ids})
+    theirs = others.withColumns(
+        {"b_shape": F.concat_ws(":", shape_key(F.col("geometry")), G.stable_area(F.col("area_km2")).cast("string")), "_ids": other_ids}
     )
+    members = cut_lineage(theirs.select("b_shape", other_key, F.col("area_km2").alias("other_area"), "_ids"))
     shapes_a = mine.groupBy("a_shape").agg(*[F.first(c).alias(c) for c in ("geometry", *_BOX)], F.first("area_km2").alias("own_area"))
-    shapes_b = theirs.groupBy("b_shape").agg(*[F.first(c).alias(c) for c in ("geometry", *_BOX)], F.first("area_km2").alias("other_area"))
+    shapes_b = cut_lineage(
+        theirs.groupBy("b_shape").agg(
+            *[F.first(c).alias(c) for c in ("geometry", *_BOX)],
+            F.first("area_km2").alias("other_area"), F.count(F.lit(1)).alias("_n"), F.min(other_key).alias("_first"),
+        )
+    )
     targets = shapes_a.withColumn("_reach_m", G.aoi_distance(*box, padding))
-    pairs = S.near_pairs(targets, shapes_b, "a_shape", "b_shape", "_reach_m")
-    sized = pairs.join(shapes_a.select("a_shape", "own_area"), "a_shape").join(shapes_b.select("b_shape", "other_area"), "b_shape")
-    by_area = Window.partitionBy("a_shape").orderBy(G.stable_area(F.col("other_area")).desc())
-    near = (
-        sized.where(~F.coalesce(same_shape, F.lit(False)))
-        .withColumn("_r", F.rank().over(by_area))
-        .where(F.col("_r") <= spare)
-        .select("a_shape", "b_shape", "overlap_m2", "distance_m")
-    )
-    first_ids = Window.partitionBy("b_shape").orderBy(other_key)
-    members = (
-        theirs.select("b_shape", other_key, F.col("area_km2").alias("other_area"), *[c for c in others.columns if c.startswith("x_")])
-        .withColumn("_r", F.row_number().over(first_ids))
-        .where(F.col("_r") <= spare)
-        .drop("_r")
+    pairs = S.near_pairs(targets, shapes_b.drop("_n", "_first"), "a_shape", "b_shape", "_reach_m")
+    sized = pairs.join(shapes_a.select("a_shape", "own_area"), "a_shape").join(shapes_b.select("b_shape", "other_area", "_n", "_first"), "b_shape")
+    near = cut_lineage(
+        sized.where(~F.coalesce(same_shape, F.lit(False))).select(
+            "a_shape", "b_shape", "overlap_m2", "distance_m", "_n", "_first", (-F.round(G.stable_area(F.col("other_area")) * 1e6).cast("long")).alias("_order")
+        )
     )
-    left = mine.select(
-        key,
-        "a_shape",
-        *[F.col(c).alias(f"own_{c}") for c in bodies.columns if c.endswith("_text") or c == "hylak_id"],
-        G.aoi_bounds(*box, padding).alias("aoi"),
+    left = cut_lineage(mine.select(key, "a_shape", F.array_distinct("_own").alias("_own"), G.aoi_bounds(*box, padding).alias("aoi")))
+    # Rows near a shape that the ids of its bodies can take away: an upper bound.
+    asked = left.select("a_shape", F.explode("_own").alias("_id")).distinct()
+    listed = members.select("b_shape", F.explode("_ids").alias("_id")).groupBy("b_shape", "_id").agg(F.count(F.lit(1)).alias("_lost"))
+    lost = near.select("a_shape", "b_shape").join(asked, "a_shape").join(listed, ["b_shape", "_id"]).groupBy("a_shape").agg(F.sum("_lost").alias("_lost"))
+    by_area = Window.partitionBy("a_shape").orderBy("_order")
+    larger = F.coalesce(F.sum("_n").over(by_area.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("a_shape").orderBy("_order", "_first"))
+    need = F.lit(limit) + F.coalesce("_lost", F.lit(0))
+    cut = (
+        near.join(lost, "a_shape", "left")
+        .withColumns({"_larger": larger, "_place": place, "_need": need})
+        .where((F.col("_larger") < F.col("_need")) & (F.col("_place") <= F.col("_need")))
+        .select("a_shape", "b_shape", "overlap_m2", "distance_m", (F.col("_need") - F.col("_larger")).alias("_take"))
     )
-    kept = left.join(near, "a_shape").join(members, "b_shape").where(~F.coalesce(own_id, F.lit(False)))
+    first_ids = Window.partitionBy("b_shape").orderBy(other_key)
+    ranked = members.join(cut.select("b_shape").distinct(), "b_shape", "left_semi").withColumn("_r", F.row_number().over(first_ids))
+    opened = cut.join(ranked, "b_shape").where(F.col("_r") <= F.col("_take")).drop("_r", "_take")
+    kept = left.join(opened, "a_shape").where(~F.coalesce(F.arrays_overlap("_own", "_ids"), F.lit(False)))
     order = Window.partitionBy(key).orderBy(G.stable_area(F.col("other_area")).desc(), other_key)
     top = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return top.select(key, other_key, "rank", F.col("other_area").alias("area_km2"), "overlap_m2", "distance_m", "aoi")
@@ -112,46 +122,40 @@ def _neighbours(
 def context_water(
     bodies: DataFrame,
     osm: DataFrame,
+    limit: int,
     key: str = "lake_uid",
     other_key: str = "other_id",
     padding: float = 0.8,
     min_area_km2: float = CONTEXT_MIN_KM2,
-    limit: int = CONTEXT_LIMIT,
 ) -> DataFrame:
-    """Other still water around each body, without the body itself.
+    """Other still water around each body, without the body itself: at most ``limit`` rows
+    each.
 
     A candidate is the body itself when it shares one of its source ids, or when the two
     cover each other by more than nine tenths.
     """
-    others = osm.where(C.is_still_water(F.col("other_tags")) & (F.col("area_km2") >= min_area_km2)).withColumns(
-        {"x_osm": C.clean_id(F.col("osm_id")), "x_way": C.clean_id(F.col("osm_way_id"))}
-    )
-    own = F.array_compact(F.array(C.clean_id(F.col("own_osm_id_text")), C.clean_id(F.col("own_osm_way_id_text"))))
-    same_id = F.coalesce(F.array_contains(own, F.col("x_osm")), F.lit(False)) | F.coalesce(
-        F.array_contains(own, F.col("x_way")), F.lit(False)
-    )
+    others = osm.where(C.is_still_water(F.col("other_tags")) & (F.col("area_km2") >= min_area_km2))
+    own = F.array_compact(F.array(C.clean_id(F.col("osm_id_text")), C.clean_id(F.col("osm_way_id_text"))))
+    theirs = F.array_compact(F.array(C.clean_id(F.col("osm_id")), C.clean_id(F.col("osm_way_id"))))
     share = SAME_BODY_COVERAGE * 1e6
     same_shape = (F.col("overlap_m2") > F.col("own_area") * share) & (F.col("overlap_m2") > F.col("other_area") * share)
-    # Two own ids against two id columns; ids listed more than once drop that many rows.
-    ids = F.array_compact(F.array(F.struct(F.lit(0).alias("c"), F.col("x_osm").alias("i")), F.struct(F.lit(1).alias("c"), F.col("x_way").alias("i"))))
-    listed = others.select(F.explode(ids).alias("e")).where("e.i IS NOT NULL").groupBy("e").agg(F.count(F.lit(1)).alias("n"))
-    most = listed.agg(F.max("n")).first()[0] or 1
-    return _neighbours(bodies, others, key, other_key, same_id, same_shape, padding, limit, 4 * most)
+    return _neighbours(bodies, others, key, other_key, own, theirs, same_shape, padding, limit)
 
 
 def context_reference(
     bodies: DataFrame,
     refs: DataFrame,
+    limit: int,
     key: str = "lake_uid",
     other_key: str = "other_id",
     padding: float = 0.8,
     min_area_km2: float = CONTEXT_MIN_KM2,
-    limit: int = CONTEXT_LIMIT,
 ) -> DataFrame:
-    """Reference lakes around each body, without the one it is matched to."""
+    """Reference bodies around each body, without the one it is matched to: at most
+    ``limit`` rows each."""
     others = refs.where(F.coalesce(F.col("area_km2"), F.lit(0.0)) >= min_area_km2)
-    same_id = F.col("own_hylak_id") == F.col(other_key)
-    return _neighbours(bodies, others, key, other_key, same_id, F.lit(False), padding, limit, 1)
+    own, theirs = (F.array_compact(F.array(F.col(c).cast("string"))) for c in ("hylak_id", other_key))
+    return _neighbours(bodies, others, key, other_key, own, theirs, F.lit(False), padding, limit)
 
 
 def with_clipped_shape(context: DataFrame, shapes: DataFrame, other_key: str = "other_id") -> DataFrame:

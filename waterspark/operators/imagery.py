@@ -16,7 +16,6 @@ from waterspark.operators import spatial_join as S
 
 PAYLOAD = ["product", "product_id", "date", "source", "lake_id", "cloud_cover", "valid_ratio", "safe_path", "tci_path"]
 MISSING_CLOUD = 101.0
-CATALOGUE_LIMIT = 200
 
 
 def base_imagery(index: DataFrame, position: str) -> DataFrame:
@@ -197,8 +196,8 @@ def inventory(base: DataFrame, user: DataFrame, active: DataFrame, by: list[str]
 
 def region_overview(water: DataFrame, inventory_rows: DataFrame, regions: DataFrame) -> DataFrame:
     """Every configured region with its body count and inventory."""
-    lakes = water.groupBy("region").agg(F.count(F.lit(1)).alias("lake_count"))
-    out = regions.join(lakes, "region", "left").join(inventory_rows, "region", "left").na.fill(0)
+    bodies = water.groupBy("region").agg(F.count(F.lit(1)).alias("lake_count"))
+    out = regions.join(bodies, "region", "left").join(inventory_rows, "region", "left").na.fill(0)
     return out.withColumn("ready", F.col("lake_count") > 0)
 
 
@@ -227,7 +226,7 @@ def catalogue_query(
     """Newest products of a tile within a date window and cloud limit."""
     code = tile.strip().upper().removeprefix("T")
     most = max(0.0, min(100.0, float(cloud)))
-    top = max(1, min(CATALOGUE_LIMIT, int(limit)))
+    top = max(1, int(limit))
     kind = (product_type or "MSIL1C").strip()
     name = F.col("name")
     found = products.where(

@@ -20,7 +20,7 @@ _ASK = """SELECT c_custkey AS ord, concat('hunan_osm_', c_custkey) AS lake_uid,
 
 
 def layers(spark: SparkSession, sf: str) -> DataFrame:
-    """Label layers: own polygons, matched reference lakes, and box layers."""
+    """Label layers: own polygons, matched reference bodies, and box layers."""
     bodies = water(spark, sf).withColumns({"source_primary": F.when(F.col("k") % 7 != 0, "osm").otherwise("hydrolakes"), "has_osm_polygon": F.lit("1")})
     match = catalog.reference_overlap(bodies, refs(spark, sf)).join(refs(spark, sf).select("hylak_id", "geometry"), "hylak_id")
     land = bodies.where("k % 3 <> 0").select("lake_uid", "geometry")
