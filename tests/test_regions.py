@@ -70,14 +70,13 @@ def test_long_chain_over_many_blocks(spark):
     assert set(found(regions.mask_regions(mask(spark, snake), BY, block=2)).values()) == {0}
 
 
-def test_large_outlines_are_cut_into_exact_parts(spark, monkeypatch):
-    cells = [(r, c) for r in range(12) for c in range(12) if (r, c) not in {(5, 5), (2, 9)}]
-    whole = regions.region_outlines(mask(spark, cells), BY, block=3).collect()
-    assert len(whole) == 1
-    monkeypatch.setattr(regions, "MAX_OUTLINE_EDGES", 10)
-    monkeypatch.setattr(regions, "PART_BLOCKS", 2)
-    parts = regions.region_outlines(mask(spark, cells), BY, block=3).select("part", "region", G.planar_area(F.col("geometry")).alias("a")).collect()
-    assert len(parts) == 4 and sum(p.a for p in parts) == len(cells) and {p.region for p in parts} == {0}
+def test_large_regions_stay_one_polygon(spark):
+    """Many blocks, two holes, teeth: the outline is whole whatever its length."""
+    cells = [(r, c) for r in range(60) for c in range(60) if (r < 20 or c % 2 == 0) and (r, c) not in {(5, 5), (2, 9)}]
+    for block in (3, 256):
+        whole = regions.region_outlines(mask(spark, cells), BY, block=block).select("region", "geometry", G.planar_area(F.col("geometry")).alias("a")).collect()
+        assert len(whole) == 1 and whole[0].a == len(cells) and len(whole[0].geometry) == 1
+        assert len(whole[0].geometry[0]) == 3
 
 
 def test_empty_mask(spark):

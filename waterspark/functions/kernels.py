@@ -181,30 +181,34 @@ def link_rings(edges: np.ndarray) -> list[np.ndarray]:
     Where several edges leave one vertex the sharpest left turn is taken, which keeps
     parts that meet only in a corner apart; collinear vertices are dropped.
     """
-    rows = edges.tolist()
-    leaving: dict[tuple[float, float], list[int]] = {}
-    for i, row in enumerate(rows):
-        leaving.setdefault((row[0], row[1]), []).append(i)
-
-    def following(i: int) -> int:
-        x1, y1, x2, y2 = rows[i]
-        options = leaving.get((x2, y2), [])
-        if len(options) < 2:
-            return options[0] if options else -1
-        back = np.arctan2(y1 - y2, x1 - x2)
-        turns = [(np.arctan2(rows[j][3] - y2, rows[j][2] - x2) - back) % (2 * np.pi) for j in options]
-        return options[int(np.argmax(turns))]
-
-    used = np.zeros(len(rows), dtype=bool)
-    rings = []
-    for first in range(len(rows)):
-        chain, i = [], first
+    n = len(edges)
+    if not n:
+        return []
+    _, vertex = np.unique(np.concatenate([edges[:, :2], edges[:, 2:]]) + 0.0, axis=0, return_inverse=True)
+    a, b = vertex.ravel()[:n], vertex.ravel()[n:]
+    order = np.argsort(a, kind="stable")
+    low, high = np.searchsorted(a[order], b, "left"), np.searchsorted(a[order], b, "right")
+    follow = np.where(high > low, order[np.minimum(low, n - 1)], -1)
+    fork = np.flatnonzero(high - low > 1)
+    if len(fork):
+        count = (high - low)[fork]
+        at = np.repeat(fork, count)
+        option = order[np.repeat(low[fork], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        back = np.arctan2(edges[at, 1] - edges[at, 3], edges[at, 0] - edges[at, 2])
+        turn = (np.arctan2(edges[option, 3] - edges[at, 3], edges[option, 2] - edges[at, 2]) - back) % (2 * np.pi)
+        best = np.lexsort((option, -turn, at))
+        first = np.append(True, np.diff(at[best]) > 0)
+        follow[at[best][first]] = option[best][first]
+    chained, used, rings = follow.tolist(), bytearray(n), []
+    for begin in range(n):
+        chain, i = [], begin
         while i >= 0 and not used[i]:
-            used[i] = True
-            chain.append(rows[i][:2])
-            i = following(i)
+            used[i] = 1
+            chain.append(i)
+            i = chained[i]
         if chain:
-            ring = drop_collinear(np.array(chain + chain[:1]))
+            points = edges[chain, :2]
+            ring = drop_collinear(np.concatenate([points, points[:1]]))
             if len(ring) >= 4:
                 rings.append(ring)
     return rings

@@ -3,8 +3,7 @@
 A mask is a table of its water pixels (key columns ``by``, ``prow``, ``pcol``). Regions
 are 4-connected. Blocks are labelled alone; labels that meet across block borders form a
 small graph, which is contracted with joins until every label points at its smallest
-one. No step gathers a whole region except the final outline, and outlines of very large
-regions are issued in parts.
+one. No step gathers a whole region except its final outline, which is one row anyway.
 """
 
 from __future__ import annotations
@@ -24,8 +23,6 @@ from waterspark.operators.grouped import map_groups
 from waterspark.session import cut_lineage
 
 BLOCK = 256
-PART_BLOCKS = 16
-MAX_OUTLINE_EDGES = 2_000_000
 LABEL_STRIDE = 1 << 31
 
 
@@ -172,7 +169,7 @@ def block_edges(labelled: DataFrame, by: list[str], block: int = BLOCK) -> DataF
 
 
 def region_outlines(mask: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
-    """Polygons of all regions of a mask in pixel units: ``by, region, part, geometry``."""
+    """Polygons of all regions of a mask in pixel units: ``by, region, geometry``."""
     labelled = cut_lineage(label_blocks(mask.select(*by, "prow", "pcol"), by, block))
     return outlines(labelled, region_map(labelled, by, block), by, None, block)
 
@@ -180,39 +177,27 @@ def region_outlines(mask: DataFrame, by: list[str], block: int = BLOCK) -> DataF
 def outlines(
     labelled: DataFrame, mapping: DataFrame | None, by: list[str], keep: DataFrame | None, block: int = BLOCK
 ) -> DataFrame:
-    """Polygons of labelled regions: ``by, region, part, geometry``.
+    """Polygons of labelled regions: ``by, region, geometry``, one row per region.
 
     ``keep`` optionally lists the regions wanted. Edges that two blocks both report along
-    their common border cancel. Regions with more outline than one task should hold are
-    cut along a coarse grid into parts that tile the region exactly.
+    their common border cancel.
     """
     edges = with_region(block_edges(labelled, by, block), mapping, by).drop("label")
     if keep is not None:
         edges = edges.join(keep.select(*by, "region").distinct(), [*by, "region"], "left_semi")
-    edges = edges.withColumn("coarse", F.struct(F.floor(F.col("brow") / PART_BLOCKS).alias("r"), F.floor(F.col("bcol") / PART_BLOCKS).alias("c")))
     ends = ["x1", "y1", "x2", "y2"]
-    cols = [*by, "region", "coarse", *ends]
-    inner = edges.where(~F.col("border")).select(*cols, F.lit(False).alias("seam"))
+    inner = edges.where(~F.col("border")).select(*by, "region", *ends)
     line = F.array_sort(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))))
-    met = edges.where("border").groupBy(*by, line.alias("line")).agg(F.collect_list(F.struct("region", "coarse", *ends)).alias("sides"))
-    # One side: a true outline. Two sides: inside the region, needed only between parts.
-    across = (F.size("sides") == 2) & (F.col("sides")[0]["coarse"] != F.col("sides")[1]["coarse"])
-    outer = met.where((F.size("sides") == 1) | across).select(
-        *by, (F.size("sides") == 2).alias("seam"), F.explode("sides").alias("s")
-    ).select(*by, "s.*", "seam")
-    every = inner.unionByName(outer.select(*cols, "seam"))
-    big = every.where(~F.col("seam")).groupBy(*by, "region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_OUTLINE_EDGES)
-    sized = every.join(big.select(*by, "region", F.lit(True).alias("big")), [*by, "region"], "left").withColumn("big", F.coalesce("big", F.lit(False)))
-    final = sized.where(~F.col("seam") | F.col("big")).withColumn(
-        "part", F.when(F.col("big"), F.col("coarse.r") * 1_000_000 + F.col("coarse.c")).otherwise(F.lit(0)).cast("long")
-    )
+    met = edges.where("border").groupBy(*by, line.alias("line")).agg(F.collect_list(F.struct("region", *ends)).alias("sides"))
+    # One side: a true outline. Two sides: inside the region.
+    outer = met.where(F.size("sides") == 1).select(*by, F.explode("sides").alias("s")).select(*by, "s.*")
     pack = F.collect_list(F.struct(*ends)).alias("edges")
-    return final.groupBy(*by, "region", "part").agg(pack).withColumn("geometry", _traced("edges")).drop("edges")
+    return inner.unionByName(outer).groupBy(*by, "region").agg(pack).withColumn("geometry", _traced("edges")).drop("edges")
 
 
 @F.arrow_udf(G.GEOMETRY_TYPE)
 def _traced(edges: pa.Array) -> pa.Array:
-    """Unit edges of one outline part to polygons."""
+    """Unit edges of outlines to polygons."""
     flat, off = edges.flatten(), S.list_offsets(edges)
     pts = np.column_stack([flat.field(c).to_numpy() for c in ("x1", "y1", "x2", "y2")]).astype(np.float64)
     return S.geometry_array(
@@ -378,7 +363,7 @@ def water_layers(
     joined = (
         shapes.withColumn("geometry", placed)
         .groupBy(key, "threshold")
-        .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(*by[2:], "region", "part", "geometry"))), lambda s: s["geometry"])).alias("geometry"))
+        .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(*by[2:], "region", "geometry"))), lambda s: s["geometry"])).alias("geometry"))
     )
     levels = F.explode(F.array(*[F.lit(int(t)) for t in thresholds]))
     out = bodies.select(key, "area_km2").withColumn("threshold", levels).join(joined, [key, "threshold"], "left")
