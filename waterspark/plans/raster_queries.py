@@ -217,9 +217,7 @@ def layer_clip(spark: SparkSession, sf: str) -> DataFrame:
     return clip.groupBy("k", "raster_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("touches").alias("touching"))
 
 
-@query(
-    "layer_regions",
-    _recursive(
+_REGIONS = _recursive(
         cte(
             "fx_pixels",
             "fx_water",
@@ -232,6 +230,11 @@ def layer_clip(spark: SparkSession, sf: str) -> DataFrame:
             },
         )
     )
+
+
+@query(
+    "layer_regions",
+    _REGIONS
     + """SELECT k, threshold, raster_id, region, count(*) AS n_pixels FROM comp GROUP BY k, threshold, raster_id, region HAVING bool_or(touches)""",
 )
 def layer_regions(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,14 +242,32 @@ def layer_regions(spark: SparkSession, sf: str) -> DataFrame:
     return regions.regions_on_body(*regions.label_water(masks, "k"))
 
 
-@query("water_layers")
-def water_layers(spark: SparkSession, sf: str) -> DataFrame:
-    """Smoothed layers for every body and threshold (rows only: no closed form)."""
+@query(
+    "layer_shapes",
+    _REGIONS
+    + f""", r AS (SELECT k, threshold, raster_id, region, count(*) AS n FROM comp GROUP BY k, threshold, raster_id, region HAVING bool_or(touches)), g AS (SELECT k, threshold, count(*) AS parts, sum(n) AS n FROM r GROUP BY k, threshold)
+    SELECT b.k, t.threshold, CASE WHEN g.k IS NULL THEN 'empty' ELSE 'ok' END AS state, cast(coalesce(g.parts, 0) AS INT) AS parts, cast(coalesce(g.n, 0) AS BIGINT) AS n_pixels
+    FROM fx_water b CROSS JOIN (SELECT unnest([50, 90]) AS threshold) t LEFT JOIN g ON g.k = b.k AND g.threshold = t.threshold""",
+)
+def layer_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """The layers before smoothing: state, polygons and area in pixels."""
+    layers = layers_of(spark, sf, smooth=False)
+    area = F.round(G.planar_area(F.col("geometry")) / (PX * PY)).cast("long")
+    return layers.select("k", "threshold", "state", F.coalesce(F.size("geometry"), F.lit(0)).alias("parts"), F.coalesce(area, F.lit(0).cast("long")).alias("n_pixels"))
+
+
+def layers_of(spark: SparkSession, sf: str, smooth: bool) -> DataFrame:
     bodies, _, masks = layer_inputs(spark, sf)
     origin = F.struct(
-        (F.lit(WEST) + 3.0 * F.col("raster_id")).alias("x0"), F.lit(NORTH).alias("y0"), F.lit(PX).alias("dx"), F.lit(PY).alias("dy")
+        (F.lit(WEST) + 3.0 * F.col("raster_id")).alias("x0"), F.lit(NORTH).alias("y0"), F.lit(PX).alias("dx"), F.lit(-PY).alias("dy")
     )
-    layers = regions.water_layers(bodies, masks, "k", [50, 90], origin)
+    return regions.water_layers(bodies, masks, "k", [50, 90], origin, smooth=smooth)
+
+
+@query("water_layers")
+def water_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """Smoothed layers for every body and threshold (rows only: no closed form)."""
+    layers = layers_of(spark, sf, smooth=True)
     return layers.select("k", "threshold", "state", F.round(G.area_km2(F.col("geometry")), 4).alias("area_km2"), F.size("geometry").alias("parts"))
 
 
