@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from waterspark.llm.shared import map_slices, text_of
 
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 #: Tables within more tables than this are laid out as blocks.
 TABLE_DEPTH = 12
 

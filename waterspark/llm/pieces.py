@@ -21,7 +21,7 @@ NONE = np.iinfo(np.int64).max
 #: Words whose ids a worker remembers before it starts afresh; only speed depends on it.
 REMEMBERED = 200_000
 #: Characters of text a worker handles at a time.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 codecs.register_error("piece_bytes", lambda e: ("�" * (e.end - e.start), e.end))
 

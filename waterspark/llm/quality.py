@@ -17,7 +17,7 @@ from waterspark.llm.shared import map_slices, text_of
 SAMPLE_DOCS = 4000
 SAMPLE_LINES = 48
 STEPS = 120
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 #: Documents below this score are of low quality.
 THRESHOLD = 0.3
 
