@@ -75,8 +75,37 @@ def test_local_roots():
     assert simhash.joined_roots(fp, group, 1).tolist() == [0, 0, 0, 3, 3, 5, 6]
 
 
+def test_similar_documents(spark):
+    """Copies with a few words changed are linked, texts that share half are not."""
+    random.seed(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(120):
+        text = random.choices(vocabulary, k=random.choice([60, 200, 600]))
+        near = list(text)
+        near[len(near) // 3] = "changed"
+        half = text[: len(text) // 2] + random.choices(vocabulary, k=len(text) // 2)
+        rows += [(3 * i, " ".join(text)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(half))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for piece in (4096, 3):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs, piece=piece).collect()}
+        linked = [got[3 * i + 1] == 3 * i for i in range(120)]
+        assert sum(linked) >= 115 and all(got[3 * i + 2] == 3 * i + 2 for i in range(120))
+
+
 def test_one_of_each_component_stays(odd_docs, odd_rows):
     kept = simhash.keep_one_of_near(odd_docs)
     assert kept.schema == odd_docs.schema
-    least = {c for _, _, c in brute_components(odd_rows)}
-    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(c or -1 for c in least)
+    shingles = [frozenset(brute_shingles(t)) for _, t, _ in odd_rows]
+    group = list(range(len(odd_rows)))
+    for i, a in enumerate(shingles):
+        for j in range(i):
+            if len(a & shingles[j]) >= 0.8 * len(a | shingles[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {g: min((r[0] for r, h in zip(odd_rows, group) if h == g and r[0] is not None), default=-1) for g in set(group)}
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(least.values())
+
+
+def brute_shingles(text, words=5):
+    w = (text or "").encode().lower().split()
+    return [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
