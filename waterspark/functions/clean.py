@@ -285,10 +285,6 @@ def default_window(today: Column) -> Column:
     )
 
 
-def blank_nan(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
-
-
 def with_label_defaults(df: DataFrame) -> DataFrame:
     """Fill missing label parameters of a request table."""
     cols = {}

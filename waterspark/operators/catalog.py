@@ -253,24 +253,6 @@ def top_reference(pairs: DataFrame, key: str, ref_key: str) -> DataFrame:
     ).select(key, F.col(f"m.{ref_key}").alias(ref_key), F.col("m.overlap_m2").alias("overlap_m2"))
 
 
-def attach_reference(water: DataFrame, refs: DataFrame, key: str = "lake_uid") -> DataFrame:
-    """Batch match: touching counts, with overlap 0, when nothing overlaps."""
-    near = within_extent(refs, total_extent(water, pad=G.SEARCH_PAD_TOTAL))
-    best = best_reference(water, near, key)
-    cols = refs.select(
-        "hylak_id",
-        C.clean_text(F.col("lake_name")).alias("hylak_name"),
-        C.clean_text(F.col("country")).alias("hylak_country"),
-        F.col("lake_area").cast("double").alias("hylak_area_km2"),
-    )
-    found = best.join(cols, "hylak_id").withColumnRenamed("overlap_m2", "hydrolakes_overlap_m2")
-    return (
-        water.drop("has_hydrolakes_polygon")
-        .join(found, key, "left")
-        .withColumn("has_hydrolakes_polygon", F.col("hylak_id").isNotNull().cast("int"))
-    )
-
-
 def total_extent(df: DataFrame, pad: float = 0.0) -> DataFrame:
     """One row with the extent of all boxes."""
     return df.agg(
@@ -401,6 +383,8 @@ def build_water(
 ) -> DataFrame:
     """The batch build for all regions in one plan."""
     base = clean_water(osm, key, prefix, min_area_km2)
+    # Reference shapes out of reach are left at the scan, before shapes are grouped.
+    refs = within_extent(refs, total_extent(base, pad=G.SEARCH_PAD_TOTAL))
     out = base.join(match_targets(base, grid, index, refs), "lake_uid", "left")
     tiles = F.coalesce("grid_tiles", F.lit(""))
     if index is not None:

@@ -70,15 +70,20 @@ def with_scope(pairs: DataFrame, user: DataFrame, key: str = "lake_uid") -> Data
 
 
 def active_rows(pairs: DataFrame, base: DataFrame, user: DataFrame, active: DataFrame, key: str = "lake_uid") -> DataFrame:
-    """Active product of each (body, tile); pairs without one are left out."""
-    chosen = with_scope(pairs.select(key, "tile"), user, key).join(active, ["scope", "tile"])
-    found = chosen.join(_rows(base, user), ["tile", "product"])
+    """Active product of each (body, tile); pairs without one are left out.
+
+    The choice depends on scope and tile alone: it is made once for each of those, and
+    bodies meet only the row chosen.
+    """
+    chosen = with_scope(pairs.select(key, "tile"), user, key)
+    asked = chosen.select("scope", "tile").distinct().join(active, ["scope", "tile"])
+    found = asked.join(_rows(base, user), ["tile", "product"])
     fits = F.when(F.col("prio") == 0, F.col("scope") == "").otherwise(
         (F.col("scope") == "") | (F.col("lake_id") == "") | (F.col("lake_id") == F.col("scope"))
     )
     payload = F.struct(*PAYLOAD)
-    best = found.where(fits).groupBy(key, "tile").agg(F.max_by(payload, _user_order()).alias("r"))
-    return best.select(key, "tile", "r.*")
+    best = found.where(fits).groupBy("scope", "tile").agg(F.max_by(payload, _user_order()).alias("r"))
+    return chosen.select(key, "tile", "scope").distinct().join(best, ["scope", "tile"]).select(key, "tile", "r.*")
 
 
 def effective_imagery(base: DataFrame, user: DataFrame, active: DataFrame) -> DataFrame:
@@ -129,11 +134,6 @@ def tiles_report(
     return tiles.select(key, "tile", "coverage").join(act, [key, "tile"], "left").withColumn("downloaded", F.col("product").isNotNull())
 
 
-def report_order(key: str = "lake_uid") -> list[Column]:
-    """Coverage and tile, both descending."""
-    return [F.col(key), F.col("coverage").desc(), F.col("tile").desc()]
-
-
 def imagery_rows(
     water: DataFrame,
     tiles: DataFrame,
@@ -201,9 +201,12 @@ def region_overview(water: DataFrame, inventory_rows: DataFrame, regions: DataFr
     return out.withColumn("ready", F.col("lake_count") > 0)
 
 
-def download_status(catalogue: DataFrame, base: DataFrame, user: DataFrame) -> DataFrame:
+def download_status(catalogue: DataFrame, base: DataFrame, user: DataFrame, ratios: DataFrame | None = None) -> DataFrame:
     """Local copy of each catalogue row, by id or name among user rows, then by name
-    among base rows. Two equi-joins instead of one OR join."""
+    among base rows. Two equi-joins instead of one OR join.
+
+    With ``ratios`` (``tci_path, valid_ratio``, see ``raster.valid_ratio``) local copies
+    also get their share of valid pixels and what it was measured on."""
     hit = F.struct("prio", "source", "tci_path")
     def side(df: DataFrame, on: str, prio: int, source: str) -> DataFrame:
         col = C.clean_id(F.col("product_id" if on == "id" else "product"))
@@ -215,9 +218,13 @@ def download_status(catalogue: DataFrame, base: DataFrame, user: DataFrame) -> D
     by_base = side(base, "name", 1, "preloaded").withColumnsRenamed({"_k": "_name", "h": "h2"})
     joined = asked.join(by_id, "_id", "left").join(by_name, "_name", "left").join(by_base, "_name", "left")
     best = F.coalesce("h0", "h1", "h2")
-    return joined.select(
+    out = joined.select(
         *catalogue.columns, best.isNotNull().alias("downloaded"), best["source"].alias("local_source"), best["tci_path"].alias("tci_path")
     )
+    if ratios is None:
+        return out
+    measured = ratios.groupBy("tci_path").agg(F.max("valid_ratio").alias("coverage_ratio"))
+    return out.join(measured, "tci_path", "left").withColumn("coverage_basis", F.when(F.col("coverage_ratio").isNotNull(), "pixels"))
 
 
 def catalogue_query(

@@ -164,10 +164,6 @@ def to_blocks(pixels: DataFrame, by: list[str], bands: list[str], block: int = 2
     return keyed.groupBy(*by, "brow", "bcol").agg(F.sort_array(F.collect_list(entry)).alias("pixels"))
 
 
-def to_pixels(blocks: DataFrame) -> DataFrame:
-    return blocks.withColumn("p", F.explode("pixels")).drop("pixels").select("*", "p.*").drop("p", "brow", "bcol")
-
-
 # ----------------------------------------------------------- binary morphology
 def _disk(radius: float) -> list[tuple[int, int]]:
     n = int(np.floor(radius))

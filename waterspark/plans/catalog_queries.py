@@ -164,6 +164,17 @@ def search_page(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "search_total",
+    cte("fx_water", more=_STEPS)
+    + """SELECT count(*) AS total FROM w WHERE (contains(lower(uid), '1') OR contains(lower(display_name), '1') OR contains(source_feature_id, '1') OR contains(coalesce(wid, ''), '1')) AND akm >= 10 AND akm < 100""",
+)
+def search_total(spark: SparkSession, sf: str) -> DataFrame:
+    """The number beside a page: rows that meet the search and the filters."""
+    found = search.apply_filters(search.text_search(clean(spark, sf), " 1 "), {"area_bucket": "10_100"})
+    return search.total(found)
+
+
 @query(
     "search_after",
     cte("fx_water", more=_STEPS)

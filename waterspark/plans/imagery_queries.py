@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waterspark.functions import clean as C
-from waterspark.operators import context, imagery, upsert
+from waterspark.operators import catalog, context, imagery, upsert
 from waterspark.plans.fixtures import HIT, OVERLAP, cte, fixture, m_table
 from waterspark.plans.registry import query
 from waterspark.plans.spatial_queries import REQUIRED, grid, required_inputs, water
@@ -209,12 +209,25 @@ _CAT = "CASE WHEN ord % 3 = 0 THEN product_id ELSE concat('Z', ord) END AS produ
     "download_status",
     cte("fx_products", "fx_user", "fx_base", more={"bs": IMG["bs"], "cat": f"SELECT ord, {_CAT} FROM fx_products"})
     + """SELECT c.ord, coalesce(u.ord, n.ord, b.ord) IS NOT NULL AS downloaded, CASE WHEN coalesce(u.ord, n.ord) IS NOT NULL THEN 'user_download' WHEN b.ord IS NOT NULL THEN 'preloaded' END AS local_source,
-    coalesce(u.tci_path, n.tci_path, b.tci_path) AS tci_path FROM cat c LEFT JOIN fx_user u ON c.product_id = u.product_id LEFT JOIN fx_user n ON c.name = n.product LEFT JOIN bs b ON c.name = b.product""",
+    coalesce(u.tci_path, n.tci_path, b.tci_path) AS tci_path, m.r AS coverage_ratio, CASE WHEN m.r IS NOT NULL THEN 'pixels' END AS coverage_basis FROM cat c LEFT JOIN fx_user u ON c.product_id = u.product_id LEFT JOIN fx_user n ON c.name = n.product LEFT JOIN bs b ON c.name = b.product
+    LEFT JOIN (SELECT tci_path, max(valid_ratio) AS r FROM fx_products WHERE ord % 4 <> 0 GROUP BY tci_path) m ON m.tci_path = coalesce(u.tci_path, n.tci_path, b.tci_path)""",
 )
 def download_status(spark: SparkSession, sf: str) -> DataFrame:
     cat = fixture(spark, sf, "fx_products").selectExpr("ord", *_CAT.split(", CASE")[:1], "CASE" + _CAT.split(", CASE")[1])
-    got = imagery.download_status(cat, base(spark, sf), user(spark, sf))
-    return got.select("ord", "downloaded", "local_source", "tci_path")
+    ratios = fixture(spark, sf, "fx_products").where("ord % 4 <> 0").select("tci_path", "valid_ratio")
+    got = imagery.download_status(cat, base(spark, sf), user(spark, sf), ratios)
+    return got.select("ord", "downloaded", "local_source", "tci_path", "coverage_ratio", "coverage_basis")
+
+
+@query(
+    "image_summary",
+    cte("fx_products")
+    + """SELECT lake_id, max_by(product, concat(day, '|', product)) AS best_file, max(day) AS best_date, string_agg(DISTINCT tile, ',' ORDER BY tile) AS sentinel_tiles FROM fx_products GROUP BY lake_id""",
+)
+def image_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Best image and tiles of every key, over all products."""
+    images = fixture(spark, sf, "fx_products").selectExpr("lake_id", "product AS file", "day AS date", "tile", "valid_ratio")
+    return catalog.image_summary(images, "lake_id").select("lake_id", F.col("best.file").alias("best_file"), F.col("best.date").alias("best_date"), "sentinel_tiles")
 
 
 @query(

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import functools
 import importlib
-from pathlib import Path
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from waterspark.session import ship_package
 
-HERE = Path(__file__).parent
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = ["scalar_queries", "spatial_queries", "catalog_queries", "imagery_queries", "raster_queries", "sample_queries", "source_queries"]
 
@@ -39,6 +37,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     for module in MODULES:
-        if not (HERE / f"{module}.py").exists():
-            continue
         importlib.import_module(f"waterspark.plans.{module}")

@@ -104,12 +104,6 @@ def only_available(df: DataFrame, inventory: DataFrame, column: str = "tci_path"
     return df.join(inventory.select(F.col("path").alias(column)).distinct(), column, "left_semi")
 
 
-def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Existing files below a folder; contents are never read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return listed.select("path", "length", "modificationTime")
-
-
 def read_imagery_index(spark: SparkSession, path: str) -> DataFrame:
     """Imagery index CSV; rows keep a position so that the last one of a tile can win.
 
