@@ -118,3 +118,28 @@ def test_simplify_keeps_corners():
     ring = np.array([[0, 0], [5, 0.5], [10, 0], [10, 10], [0, 10], [0, 0]], dtype=float)
     assert len(K.simplify_ring(ring, 1.0)) == 5
     assert len(K.simplify_ring(ring, 0.1)) == 6
+
+
+def test_crossing_test_as_all_pairs_and_fast_on_long_outlines():
+    import time
+
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        ring = rng.integers(0, 8, size=(int(rng.integers(3, 9)), 2)).astype(float)
+        edges = K.ring_edges([np.vstack([ring, ring[:1]])])
+
+        def cross(ox, oy, ax, ay, bx, by):
+            return (ax - ox) * (by - oy) - (ay - oy) * (bx - ox)
+
+        want = any(
+            cross(*a, *b[:2]) * cross(*a, *b[2:]) < 0 and cross(*b, *a[:2]) * cross(*b, *a[2:]) < 0
+            for i, a in enumerate(edges) for b in edges[:i]
+        )
+        assert K.crosses_itself(edges) == want
+    turn = np.linspace(0, 2 * np.pi, 200_001)
+    radius = 1000 + 5 * np.sin(turn * 5000)
+    coast = np.column_stack([radius * np.cos(turn), radius * np.sin(turn)])
+    coast[-1] = coast[0]
+    began = time.time()
+    assert not K.crosses_itself(K.ring_edges([coast]))
+    assert time.time() - began < 20

@@ -138,6 +138,20 @@ def test_context_keeps_its_limit_with_copies_and_repeated_ids(spark):
     assert [r.other_id for r in near.orderBy("rank").collect()] == [14, 15, 20, 21, 22]
 
 
+def test_cells_that_rows_only_reach_are_split(spark, monkeypatch):
+    """Two crowds in different cells that meet through their reach alone."""
+    k = 1000.0
+    left = [(i, [[box(k + i, k, k + i + 10, k + 10)]]) for i in range(30)]
+    right = [(i, [[box(25 * k + i, k, 25 * k + i + 10, k + 10)]]) for i in range(30)]
+    a, b = metric(frame(spark, left, "a")), metric(frame(spark, right, "b"))
+    whole = {(r.a, r.b) for r in S.near_pairs(a, b, "a", "b", 24_000.0, balance=False).collect()}
+    assert 0 < len(whole) < 900
+    monkeypatch.setattr(S, "PAIR_BUDGET", 5)
+    assert S.crowded_cells(a, b, "geometry", "geometry", S.CELL_M).count() == 0
+    assert S.crowded_cells(a, b, "geometry", "geometry", S.CELL_M, F.lit(24_000.0)).count() > 0
+    assert {(r.a, r.b) for r in S.near_pairs(a, b, "a", "b", 24_000.0).collect()} == whole
+
+
 @pytest.mark.parametrize("case", ["placeholder", "stacked"])
 def test_context_stays_exact_under_hot_ids_and_stacked_copies(spark, case):
     k = 1000.0

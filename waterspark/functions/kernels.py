@@ -40,22 +40,35 @@ def _cross(ax, ay, bx, by):
     return ax * by - ay * bx
 
 
-def crosses_itself(edges: np.ndarray, block: int = 2048) -> bool:
-    """True when two edges cross in their interiors."""
+def crosses_itself(edges: np.ndarray) -> bool:
+    """True when two edges cross in their interiors.
+
+    Edges are sorted by their lower end; each meets only those that begin below its upper
+    end, all edges side by side: the first follower, then the second, and so on.
+    """
     n = len(edges)
     if n < 4:
         return False
+    edges = edges[np.argsort(np.minimum(edges[:, 1], edges[:, 3]), kind="stable")]
     x1, y1, x2, y2 = edges.T
-    for lo in range(0, n, block):
-        s = slice(lo, min(n, lo + block))
-        ax, ay, bx, by = (v[s, None] for v in (x1, y1, x2, y2))
-        d1 = _cross(bx - ax, by - ay, x1 - ax, y1 - ay)
-        d2 = _cross(bx - ax, by - ay, x2 - ax, y2 - ay)
-        d3 = _cross(x2 - x1, y2 - y1, ax - x1, ay - y1)
-        d4 = _cross(x2 - x1, y2 - y1, bx - x1, by - y1)
+    low, high = np.minimum(y1, y2), np.maximum(y1, y2)
+    left, right = np.minimum(x1, x2), np.maximum(x1, x2)
+    active, step = np.arange(n), 1
+    while True:
+        active = active[active < n - step]
+        active = active[low[active + step] < high[active]]
+        if not len(active):
+            return False
+        a = active[(left[active] < right[active + step]) & (left[active + step] < right[active])]
+        b = a + step
+        ax, ay, bx, by = x2[a] - x1[a], y2[a] - y1[a], x2[b] - x1[b], y2[b] - y1[b]
+        d1 = _cross(ax, ay, x1[b] - x1[a], y1[b] - y1[a])
+        d2 = _cross(ax, ay, x2[b] - x1[a], y2[b] - y1[a])
+        d3 = _cross(bx, by, x1[a] - x1[b], y1[a] - y1[b])
+        d4 = _cross(bx, by, x2[a] - x1[b], y2[a] - y1[b])
         if np.any((d1 * d2 < 0) & (d3 * d4 < 0)):
             return True
-    return False
+        step += 1
 
 
 def even_odd_trapezoids(edges: np.ndarray) -> list[np.ndarray]:

@@ -199,28 +199,32 @@ def cell_span(lo: Column, hi: Column, cell_m: float) -> Column:
     return F.sequence(F.floor(lo / cell_m), F.floor(hi / cell_m))
 
 
-def crowded_cells(a: DataFrame, b: DataFrame, geom_a: str, geom_b: str, cell_m: float) -> DataFrame:
-    """Cells whose candidate pairs exceed the budget, counted from boxes only.
+def crowded_cells(
+    a: DataFrame, b: DataFrame, geom_a: str, geom_b: str, cell_m: float, reach: Column | None = None
+) -> DataFrame:
+    """Cells whose candidate pairs exceed the budget, counted from boxes only; those of
+    ``a`` grown by ``reach`` metres.
 
     No geometry leaves the JVM for this. A crowded cell needs thousands of rows, so the
     result stays small next to the inputs.
     """
 
-    def cells(df: DataFrame, geom: str, mine: int) -> DataFrame:
+    def cells(df: DataFrame, geom: str, mine: int, far: Column) -> DataFrame:
         known = ["bbox_west", "bbox_south", "bbox_east", "bbox_north"]
         if all(c in df.columns for c in known):
             m = G.mercator_bounds(*[F.col(c) for c in known])
         else:
             b4 = G.bounds(F.col(geom))
             m = G.mercator_bounds(b4["xmin"], b4["ymin"], b4["xmax"], b4["ymax"])
-        boxes = df.select(m.alias("m")).where("m.xmin IS NOT NULL")
-        xs = cell_span(F.col("m.xmin"), F.col("m.xmax"), cell_m)
-        ys = cell_span(F.col("m.ymin"), F.col("m.ymax"), cell_m)
+        boxes = df.select(m.alias("m"), far.alias("far")).where("m.xmin IS NOT NULL")
+        xs = cell_span(F.col("m.xmin") - F.col("far"), F.col("m.xmax") + F.col("far"), cell_m)
+        ys = cell_span(F.col("m.ymin") - F.col("far"), F.col("m.ymax") + F.col("far"), cell_m)
         return boxes.select(F.explode(xs).alias("cx"), ys.alias("ys")).select(
             "cx", F.explode("ys").alias("cy"), F.lit(mine).alias("na"), F.lit(1 - mine).alias("nb")
         )
 
-    counts = cells(a, geom_a, 1).unionAll(cells(b, geom_b, 0)).groupBy("cx", "cy").agg(
+    none = F.lit(0.0)
+    counts = cells(a, geom_a, 1, none if reach is None else F.coalesce(reach, none)).unionAll(cells(b, geom_b, 0, none)).groupBy("cx", "cy").agg(
         F.sum("na").alias("na"), F.sum("nb").alias("nb")
     )
     return counts.where(F.col("na").cast("double") * F.col("nb") > PAIR_BUDGET).select(
@@ -386,9 +390,11 @@ def measured_pairs(candidates: DataFrame, distance: bool) -> DataFrame:
     return out.withColumn("distance", F.when(plain, F.col("gap")).otherwise(F.col("exact.distance")))
 
 
-def _hot_or_none(a: DataFrame, b: DataFrame, geom_a: str, geom_b: str, cell_m: float) -> DataFrame | None:
+def _hot_or_none(
+    a: DataFrame, b: DataFrame, geom_a: str, geom_b: str, cell_m: float, reach: Column | None = None
+) -> DataFrame | None:
     """The crowded cells, or None when there are none and the plain join will do."""
-    hot = crowded_cells(a, b, geom_a, geom_b, cell_m)
+    hot = crowded_cells(a, b, geom_a, geom_b, cell_m, reach)
     return None if hot.isEmpty() else hot
 
 
@@ -438,7 +444,8 @@ def near_pairs(
         limit = F.lit(float(reach))
     fa = fa.withColumnRenamed(key_a, "id_a")
     fb = fragments(b, key_b, geom_b, cell_m).withColumnRenamed(key_b, "id_b")
-    hot = _hot_or_none(a, b, geom_a, geom_b, cell_m) if balance else None
+    far = F.col(reach) if isinstance(reach, str) else limit
+    hot = _hot_or_none(a, b, geom_a, geom_b, cell_m, far) if balance else None
     pairs = measured_pairs(candidate_pairs(fa, fb, cell_m, limit, hot, spread_work=hot is None), distance=True)
     pairs = pairs.where(F.col("distance") <= F.col("reach"))
     return (
