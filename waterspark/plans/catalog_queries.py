@@ -33,7 +33,7 @@ def imagery_index(spark: SparkSession, sf: str) -> DataFrame:
 _INDEX = """SELECT s_suppkey AS pos, concat('49R', chr(cast(65 + s_nationkey % 5 AS int)), chr(65 + cast(floor(s_nationkey/5e0) AS int))) AS tile,
     concat('2024-0', 1 + s_suppkey % 9, '-1', s_suppkey % 10) AS date, (s_suppkey % 13)/13e0 AS valid_ratio, concat('prod_', s_suppkey) AS product,
     concat('tci/', s_suppkey, '.jp2') AS tci_path, 10850 + 125*(s_nationkey % 5) AS w100, 2450 + 118*cast(floor(s_nationkey/5e0) AS int) AS s100,
-    cast(100 + s_suppkey % 31 AS int) AS dx, cast(100 + s_suppkey % 23 AS int) AS dy FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = 0"""
+    cast(100 + s_suppkey % 31 AS int) AS dx, cast(100 + s_suppkey % 23 AS int) AS dy FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"""
 
 _STEPS = {
     "m0": m_table("fx_water"),
@@ -201,10 +201,10 @@ def bool_area_filters(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "imagery_box_filter",
     cte("fx_water", more={**_STEPS, "idx": _INDEX.format(supplier="supplier", nation="nation")})
-    + """SELECT uid AS lake_uid FROM w WHERE EXISTS (SELECT 1 FROM idx b WHERE b.pos % 2 = 0 AND w.w100 <= b.w100+b.dx AND w.w100+w.dx >= b.w100 AND w.s100 <= b.s100+b.dy AND w.s100+w.dy >= b.s100)""",
+    + """SELECT uid AS lake_uid FROM w WHERE EXISTS (SELECT 1 FROM idx b WHERE w.w100 <= b.w100+b.dx AND w.w100+w.dx >= b.w100 AND w.s100 <= b.s100+b.dy AND w.s100+w.dy >= b.s100)""",
 )
 def imagery_box_filter(spark: SparkSession, sf: str) -> DataFrame:
-    feet = imagery_index(spark, sf).where("pos % 2 = 0")
+    feet = imagery_index(spark, sf)
     return search.apply_filters(clean(spark, sf), {"has_tci": "true"}, feet).select("lake_uid")
 
 

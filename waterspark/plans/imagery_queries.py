@@ -272,13 +272,15 @@ def catalogue_rank(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "upsert_products",
     cte("fx_user")
-    + """SELECT product_id, product, source, note FROM (SELECT product_id, product, 'local_img' AS source, 'new' AS note FROM fx_user WHERE ord % 2 = 0
+    + """SELECT product_id, product, source, note FROM (SELECT CASE WHEN ord % 2 = 0 THEN product_id ELSE concat(product_id, 'N') END AS product_id, product, 'local_img' AS source, 'new' AS note FROM fx_user
     UNION ALL SELECT product_id, product, source, '' FROM fx_user WHERE ord % 2 = 1 AND source <> 'local_img')""",
 )
 def upsert_products(spark: SparkSession, sf: str) -> DataFrame:
     rows = user(spark, sf)
     table = rows.select("product_id", "product", "source")
-    fresh = rows.where("ord % 2 = 0").select("product_id", "product", F.lit("local_img").alias("source"), F.lit("new").alias("note"))
+    # Every row comes again, half of them under ids that are new.
+    again = F.when(F.col("ord") % 2 == 0, F.col("product_id")).otherwise(F.concat("product_id", F.lit("N")))
+    fresh = rows.select(again.alias("product_id"), "product", F.lit("local_img").alias("source"), F.lit("new").alias("note"))
     changed = upsert.upsert(table, fresh, "product_id")
     return upsert.replace_generated(changed, changed.where("note = 'new'"))
 
@@ -286,12 +288,12 @@ def upsert_products(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "merge_active",
     cte("fx_active", "fx_products")
-    + """, g AS (SELECT CASE WHEN lake_id = '' THEN tile ELSE concat(lake_id, ':', tile) END AS scope_key, min(product) AS product FROM fx_products WHERE ord % 5 = 0 GROUP BY 1)
+    + """, g AS (SELECT CASE WHEN lake_id = '' THEN tile ELSE concat(lake_id, ':', tile) END AS scope_key, min(product) AS product FROM fx_products GROUP BY 1)
     SELECT coalesce(a.scope_key, g.scope_key) AS scope_key, coalesce(a.product, g.product) AS product FROM fx_active a FULL JOIN g ON a.scope_key = g.scope_key""",
 )
 def merge_active(spark: SparkSession, sf: str) -> DataFrame:
     key = F.when(F.col("lake_id") == "", F.col("tile")).otherwise(F.concat_ws(":", "lake_id", "tile"))
-    made = fixture(spark, sf, "fx_products").where("ord % 5 = 0").groupBy(key.alias("scope_key")).agg(F.min("product").alias("product"))
+    made = fixture(spark, sf, "fx_products").groupBy(key.alias("scope_key")).agg(F.min("product").alias("product"))
     return upsert.merge_selection(fixture(spark, sf, "fx_active"), made)
 
 

@@ -23,7 +23,7 @@ def layers(spark: SparkSession, sf: str) -> DataFrame:
     """Label layers: own polygons, matched reference bodies, and box layers."""
     bodies = water(spark, sf).withColumns({"source_primary": F.when(F.col("k") % 7 != 0, "osm").otherwise("hydrolakes"), "has_osm_polygon": F.lit("1")})
     match = catalog.reference_overlap(bodies, refs(spark, sf)).join(refs(spark, sf).select("hylak_id", "geometry"), "hylak_id")
-    land = bodies.where("k % 3 <> 0").select("lake_uid", "geometry")
+    land = bodies.select("lake_uid", F.when(F.col("k") % 3 != 0, F.col("geometry")).alias("geometry"))
     occ = bodies.select("lake_uid", "geometry", F.explode(F.array(F.lit(50), F.lit(75))).alias("threshold")).where("(threshold = 50) OR length(lake_uid) % 2 = 0")
     return samples.label_layers(bodies, match, land, occ)
 
@@ -127,18 +127,18 @@ _LAST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDE
 @query(
     "sample_update_delete",
     cte("fx_updates", more={"t": _LAST})
-    + """, p AS (SELECT concat('S', c_custkey) AS sample_id, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE c_mktsegment END AS quality FROM customer WHERE c_custkey % 2 = 0), d AS (SELECT concat('S', s_suppkey) AS sample_id FROM supplier WHERE s_suppkey % 3 = 0)
+    + """, p AS (SELECT concat('S', 2*c_custkey) AS sample_id, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS quality FROM customer), d AS (SELECT concat('S', 3*s_suppkey) AS sample_id FROM supplier)
     SELECT t.sample_id, coalesce(p.quality, t.quality) AS quality, t.split, 'kept' AS state FROM t LEFT JOIN p ON t.sample_id = p.sample_id WHERE t.sample_id NOT IN (SELECT sample_id FROM d)
     UNION ALL SELECT sample_id, quality, NULL, 'unknown patch' FROM p WHERE sample_id NOT IN (SELECT sample_id FROM t) UNION ALL SELECT sample_id, NULL, NULL, 'unknown delete' FROM d WHERE sample_id NOT IN (SELECT sample_id FROM t)""",
 )
 def sample_update_delete(spark: SparkSession, sf: str) -> DataFrame:
     table = sample_table(spark, sf).select("sample_id", "quality", "split")
-    asked = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey % 2 = 0")
-    patches = asked.selectExpr("concat('S', c_custkey) AS sample_id", "1 AS step", "c_mktsegment AS quality").unionAll(
+    asked = spark.read.parquet(f"{sf}/customer.parquet")
+    patches = asked.selectExpr("concat('S', 2*c_custkey) AS sample_id", "1 AS step", "c_mktsegment AS quality").unionAll(
         # A second patch of the same sample blanks the value.
-        asked.where("c_custkey % 6 = 0").selectExpr("concat('S', c_custkey)", "2", "' nan'")
+        asked.selectExpr("concat('S', 2*c_custkey)", "2", "CASE WHEN c_custkey % 3 = 0 THEN ' nan' END")
     )
-    drops = spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey % 3 = 0").selectExpr("concat('S', s_suppkey) AS sample_id")
+    drops = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("concat('S', 3*s_suppkey) AS sample_id")
     patched, odd = upsert.patch_rows(table, patches, "sample_id", samples.EDITABLE, ["step"])
     kept, gone = upsert.delete_rows(patched, drops, "sample_id")
     null = F.lit(None).cast("string")

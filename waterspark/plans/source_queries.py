@@ -150,7 +150,7 @@ def image_inventory(spark: SparkSession, sf: str) -> DataFrame:
     return readers.image_folders(paths).groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.max("file").alias("last_file"))
 
 
-_LABELS = "SELECT concat(safe_path, '/lab_', replace(day, '-', CASE ord % 3 WHEN 0 THEN '-' WHEN 1 THEN '_' ELSE '' END), '.shp') AS path, ord, safe_path FROM {p} WHERE ord % 2 = 0"
+_LABELS = "SELECT concat(safe_path, '/lab_', replace(day, '-', CASE ord % 3 WHEN 0 THEN '-' WHEN 1 THEN '_' ELSE '' END), '.shp') AS path, ord, safe_path FROM {p}"
 _LABELS_SQL = {
     "inv": "SELECT DISTINCT path, safe_path FROM (" + _LABELS.format(p="fx_products") + ")",
     "own": "SELECT DISTINCT lake_id, safe_path FROM fx_products WHERE source = 'local_img' AND lake_id <> ''",
@@ -164,7 +164,7 @@ def local_labels(spark: SparkSession, sf: str) -> DataFrame:
     return readers.local_labels(p, spark.sql(_LABELS, p=p)).select("lake_id", "label_id", "name", "date")
 
 
-@query("label_features", cte("fx_products", more=_LABELS_SQL) + "SELECT lake_id, label_id, count(*) AS n, true AS named FROM lab JOIN (SELECT concat(safe_path, '/lab_', replace(day, '-', CASE ord % 3 WHEN 0 THEN '-' WHEN 1 THEN '_' ELSE '' END), '.shp') AS path FROM fx_products WHERE ord % 2 = 0) f USING (path) GROUP BY lake_id, label_id")
+@query("label_features", cte("fx_products", more=_LABELS_SQL) + "SELECT lake_id, label_id, count(*) AS n, true AS named FROM lab JOIN (SELECT concat(safe_path, '/lab_', replace(day, '-', CASE ord % 3 WHEN 0 THEN '-' WHEN 1 THEN '_' ELSE '' END), '.shp') AS path FROM fx_products) f USING (path) GROUP BY lake_id, label_id")
 def label_features(spark: SparkSession, sf: str) -> DataFrame:
     p = fixture(spark, sf, "fx_products")
     files = spark.sql(_LABELS, p=p)

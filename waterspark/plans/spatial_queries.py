@@ -92,21 +92,21 @@ def lake_tiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def required_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Bodies, a grid with holes, and footprints in some of the holes."""
+    """Bodies, and every tile either in the grid or, in its holes, as a footprint."""
     bodies = water(spark, sf).withColumn(
         "sentinel_tiles", F.when(F.col("k") % 4 == 0, F.concat(F.lit("49RZZ, "), F.lit("49RY"), F.col("k") % 3)).otherwise("")
     )
     tiles = grid(spark, sf).withColumn("row", F.ascii(F.substring("tile", 5, 1)) - 65).withColumn(
         "col", F.ascii(F.substring("tile", 4, 1)) - 65
     )
-    return bodies, tiles.where("(col + row) % 3 <> 0"), tiles.where("(col + row) % 3 = 0 AND col < 4")
+    return bodies, tiles.where("(col + row) % 3 <> 0"), tiles.where("(col + row) % 3 = 0")
 
 
 REQUIRED = {
     "a0": M["a0"],
     "tt": "SELECT *, ascii(substr(tile,4,1))-65 AS tcol, ascii(substr(tile,5,1))-65 AS trow FROM fx_tiles",
     "b0": m_table("(SELECT * FROM tt WHERE (tcol+trow) % 3 <> 0)"),
-    "f0": m_table("(SELECT * FROM tt WHERE (tcol+trow) % 3 = 0 AND tcol < 4)"),
+    "f0": m_table("(SELECT * FROM tt WHERE (tcol+trow) % 3 = 0)"),
     "opt": f"""SELECT lake_uid, 0 AS prio, tile, -coverage AS srt, coverage FROM (SELECT a.lake_uid, b.tile, {OVERLAP}/a.m2 AS coverage FROM a0 a JOIN b0 b ON {HIT} WHERE {OVERLAP} > 0)
     UNION ALL SELECT lake_uid, 1, '49RZZ', 0, 0 FROM a0 WHERE k % 4 = 0 UNION ALL SELECT lake_uid, 1, concat('49RY', k % 3), 1, 0 FROM a0 WHERE k % 4 = 0
     UNION ALL SELECT a.lake_uid, 2, b.tile, 0, 0 FROM a0 a JOIN f0 b ON a.w100 <= b.w100+b.dx AND a.w100+a.dx >= b.w100 AND a.s100 <= b.s100+b.dy AND a.s100+a.dy >= b.s100""",
@@ -183,7 +183,7 @@ _PIXEL_M2 = "(1/100e0*111319.49079327357)*((ln(tan(radians(({y}+1)/100e0/2+45e0)
         more={
             "img": "SELECT DISTINCT folder, w100, s100, dx, dy FROM (" + _IMG.format(lineitem="lineitem") + ")",
             "px": """SELECT DISTINCT folder, w100 + i AS cx, s100 + j AS cy FROM img, LATERAL (SELECT unnest(generate_series(0, dx-1)) AS i), LATERAL (SELECT unnest(generate_series(0, dy-1)) AS j)""",
-            "src": f"""SELECT 0 AS prio, k AS id, m2/1e6 AS area_km2, w100, s100, dx, dy FROM ({M['a0']}) WHERE k % 3 = 0 UNION ALL
+            "src": f"""SELECT 0 AS prio, k AS id, m2/1e6 AS area_km2, w100, s100, dx, dy FROM ({M['a0']}) UNION ALL
               SELECT 1, hylak_id, m2/1e6, w100, s100, dx, dy FROM ({M['b0']})""",
             "ov": f"""SELECT folder, prio, id, area_km2, round(sum({_PIXEL_M2.format(y='cy')}), 2) AS ov FROM px JOIN src
               ON cx >= w100 AND cx < w100+dx AND cy >= s100 AND cy < s100+dy GROUP BY folder, prio, id, area_km2""",
@@ -196,7 +196,7 @@ _PIXEL_M2 = "(1/100e0*111319.49079327357)*((ln(tan(radians(({y}+1)/100e0/2+45e0)
 )
 def image_water_match(spark: SparkSession, sf: str) -> DataFrame:
     img = with_boxes(spark.sql(_IMG, lineitem=spark.read.parquet(f"{sf}/lineitem.parquet")))
-    osm = water(spark, sf).where("k % 3 = 0").select(F.col("k").alias("id"), "geometry")
+    osm = water(spark, sf).select(F.col("k").alias("id"), "geometry")
     ref = refs(spark, sf).select(F.col("hylak_id").alias("id"), "geometry")
     sized = [d.withColumn("area_km2", G.area_km2(F.col("geometry"))) for d in (osm, ref)]
     out = catalog.match_image_areas(img, *sized, key="folder", min_area_km2=10.0)
