@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waterspark.functions import clean as C
 from waterspark.operators import catalog, context, imagery, upsert
-from waterspark.plans.fixtures import HIT, OVERLAP, cte, fixture, m_table
+from waterspark.plans.fixtures import OVERLAP, cte, fixture, m_table
 from waterspark.plans.registry import query
 from waterspark.plans.spatial_queries import REQUIRED, grid, required_inputs, water
 

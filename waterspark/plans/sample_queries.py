@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waterspark.functions import geometry as G
 from waterspark.operators import catalog, context, imagery, samples, search, upsert
-from waterspark.plans.fixtures import HIT, OVERLAP, cte, fixture, m_table, with_boxes
-from waterspark.plans.imagery_queries import _NEED, PAIRS, resolved, tables
+from waterspark.plans.fixtures import HIT, OVERLAP, cte, fixture, m_table
+from waterspark.plans.imagery_queries import PAIRS, resolved, tables
 from waterspark.plans.registry import query
 from waterspark.plans.spatial_queries import refs, required_inputs, water
 from waterspark.session import new_shared_path

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waterspark.functions import geometry as G
 from waterspark.operators import imagery, upsert
-from waterspark.plans.fixtures import cte, fixture, with_boxes
+from waterspark.plans.fixtures import cte, fixture
 from waterspark.plans.registry import query
 from waterspark.plans.spatial_queries import grid, water
 from waterspark.session import new_shared_path
