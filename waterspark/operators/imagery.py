@@ -13,6 +13,7 @@ from waterspark.functions import clean as C
 from waterspark.functions import geometry as G
 from waterspark.operators import context
 from waterspark.operators import spatial_join as S
+from waterspark.session import cut_lineage
 
 PAYLOAD = ["product", "product_id", "date", "source", "lake_id", "cloud_cover", "valid_ratio", "safe_path", "tci_path"]
 MISSING_CLOUD = 101.0
@@ -247,7 +248,7 @@ def rank_for_bodies(
     bodies: DataFrame, products: DataFrame, footprints: DataFrame, limit: int, key: str = "lake_uid", padding: float = 0.8
 ) -> DataFrame:
     """Best catalogue products per body by body coverage, area-of-interest coverage,
-    cloud and date.
+    cloud and date; products without coverage come last.
 
     Products share footprints, and coverage depends on the footprint only: the best
     ``limit`` products of each footprint are enough for the best of a body, so bodies
@@ -263,9 +264,24 @@ def rank_for_bodies(
     )
     near = context.coverage_pairs(areas, footprints, key, "foot", balance=False).select(key, "foot", F.col("coverage").alias("aoi_coverage"))
     own = context.coverage_pairs(bodies, footprints, key, "foot", balance=False).select(key, "foot", F.col("coverage").alias("lake_coverage"))
-    ranked = near.join(own, [key, "foot"], "left").na.fill(0.0, ["lake_coverage"]).join(short, "foot")
+    short = cut_lineage(short)
+    met = cut_lineage(near.join(own, [key, "foot"], "left").na.fill(0.0, ["lake_coverage"]))
     order = Window.partitionBy(key).orderBy(F.round("lake_coverage", 9).desc(), F.round("aoi_coverage", 9).desc(), *tie)
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    ranked = met.join(short, "foot").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    # Fewer than limit covered products lie on fewer than limit footprints, so the best
+    # 2 x limit footprints hold every product that can follow them.
+    first = short.groupBy("foot").agg(F.min(F.struct(*[t.alias(f"_t{i}") for i, t in enumerate(tie)])).alias("_best"))
+    first = first.orderBy("_best", "foot").limit(2 * limit).select("foot")
+    spare = short.join(first, "foot", "left_semi")
+    counted = bodies.select(key).join(ranked.groupBy(key).agg(F.count(F.lit(1)).alias("_have")), key, "left")
+    needy = counted.withColumn("_have", F.coalesce("_have", F.lit(0))).where(F.col("_have") < limit)
+    # At most 2 x limit footprints, read as one value, each once for every such body.
+    listed = first.agg(F.collect_list("foot").alias("_feet")).scalar()
+    open_ = needy.withColumn("_feet", listed).select(key, "_have", F.explode("_feet").alias("foot")).join(met.select(key, "foot"), [key, "foot"], "left_anti")
+    zero = F.lit(0.0)
+    later = open_.join(spare, "foot").withColumns({"aoi_coverage": zero, "lake_coverage": zero})
+    later = later.withColumn("rank", F.col("_have").cast("int") + F.row_number().over(Window.partitionBy(key).orderBy(*tie)))
+    return ranked.unionByName(later.where(F.col("rank") <= limit).select(*ranked.columns))
 
 
 def mosaic_meta(rows: DataFrame, boxes: DataFrame, key: str = "lake_uid") -> DataFrame:

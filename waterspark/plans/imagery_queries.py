@@ -255,7 +255,8 @@ def catalogue_query(spark: SparkSession, sf: str) -> DataFrame:
         },
     )
     + """SELECT lake_uid, product AS name, cast(rank AS INT) AS rank, round(lc, 6) AS lake_coverage, round(ac, 6) AS aoi_coverage FROM
-    (SELECT c.lake_uid, p.product, c.lc, c.ac, row_number() OVER (PARTITION BY c.lake_uid ORDER BY round(lc, 9) DESC, round(ac, 9) DESC, coalesce(cloud_cover, 101), day, product) AS rank FROM cov c JOIN top p ON p.tile = c.tile) WHERE rank <= 4""",
+    (SELECT lake_uid, product, lc, ac, row_number() OVER (PARTITION BY lake_uid ORDER BY round(lc, 9) DESC, round(ac, 9) DESC, coalesce(cloud_cover, 101), day, product) AS rank FROM
+    (SELECT a.lake_uid, p.product, p.cloud_cover, p.day, coalesce(c.lc, 0) AS lc, coalesce(c.ac, 0) AS ac FROM a0 a CROSS JOIN top p LEFT JOIN cov c ON c.lake_uid = a.lake_uid AND c.tile = p.tile)) WHERE rank <= 4""",
 )
 def catalogue_rank(spark: SparkSession, sf: str) -> DataFrame:
     products = fixture(spark, sf, "fx_products").select(
