@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from waterspark.functions import clean as C
 from waterspark.functions import geometry as G
 from waterspark.operators import raster, regions
-from waterspark.plans.fixtures import cte, fixture, with_boxes
+from waterspark.plans.fixtures import cte, fixture, with_boxes, m_table
 from waterspark.plans.registry import query
+from waterspark.session import cut_lineage
 
 
 def pixels(spark: SparkSession, sf: str) -> DataFrame:
@@ -301,6 +302,24 @@ def simplify_polygons(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("k", F.size(F.col("g")[0][0]).alias("points"), F.size("g").alias("parts"))
 
 
+@query(
+    "smooth_layers",
+    cte("fx_water", more={"a0": m_table("fx_water")})
+    + f"""SELECT k, CASE WHEN m2/1e6 > {G.BIG_BODY_KM2} THEN 5 ELSE 17 END AS points, 1 AS parts, round(m2/1e6*CASE WHEN m2/1e6 > {G.BIG_BODY_KM2} THEN 1 ELSE 27/32e0 END, 6) AS area FROM a0""",
+)
+def smooth_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """The smoothing of the layers on rectangles with a speck: large bodies keep their
+    corners, small ones lose 5/32 with them, and the speck goes from both."""
+    df = with_boxes(fixture(spark, sf, "fx_water"))
+    w, s = F.col("bbox_west"), F.col("bbox_south")
+    speck = G.box_polygon(w - 2e-5, s - 2e-5, w - 1e-5, s - 1e-5)
+    ready = df.select("k", F.concat(F.col("geometry"), speck).alias("geometry"), G.area_km2(F.col("geometry")).alias("area_km2"))
+    smooth = cut_lineage(cut_lineage(ready).select("k", regions.smooth_water(F.col("geometry"), F.col("area_km2")).alias("g")))
+    return smooth.select(
+        "k", F.size(F.col("g")[0][0]).alias("points"), F.size("g").alias("parts"), F.round(G.area_km2(F.col("g")), 6).alias("area")
+    )
+
+
 @query(
     "thresholds_available",
     """WITH s AS (SELECT DISTINCT p_size % 40 AS body, 5*(p_partkey % 19) + 5 AS t FROM part)
