@@ -21,6 +21,15 @@ def test_cases(page, text):
     assert page_text(page) == text
 
 
+@pytest.mark.parametrize("tag", ["script", "STYLE", "title", "textarea", "xmp", "iframe"])
+def test_letters_that_grow_in_lower_case(tag):
+    seen = tag in ("textarea", "xmp")
+    for before, inside in (("\u0130stanbul", "x"), ("\u0130" * 20, "x"), ("a", "\u0130\u0130"), ("\u0130\u0130", "\u0130y")):
+        page = f"<body>{before}<{tag}>{inside}</{tag.swapcase()}><p>rest</p></body>"
+        words = page_text(page).replace(before, before + " ", 1).split()
+        assert words == [before, *([inside] if seen else []), "rest"]
+
+
 @pytest.mark.parametrize("page", ["<div>" * 50_000 + "x", "<p>" * 50_000, "<table><tr><td>" * 2000 + "z", "<" * 100_000, '<a "' * 20_000, "<!--" * 20_000, "<script>" * 20_000, "<ul><li>" * 3000 + "k"])
 def test_broken_pages_end_soon(page):
     began = time.time()

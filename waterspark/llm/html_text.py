@@ -19,6 +19,8 @@ TABLE_DEPTH = 12
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
 RAW_TEXT = frozenset("title textarea".split())
+# Searched in the page itself: lower-casing a page can change its length.
+RAW_END = {tag: re.compile(f"(?ai)</{tag}") for tag in RAW | RAW_TEXT}
 HIDDEN = frozenset("head title script style template noscript iframe noembed noframes audio video canvas object datalist area base link meta param source track".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -130,7 +132,7 @@ class Tree:
 def parse(page: str) -> Node:
     """The tree of a page. Comments, declarations and raw text elements end where browsers
     end them; a tag that the page's end cuts off is dropped. Linear in the page."""
-    tree, at, low = Tree(), 0, page.lower()
+    tree, at = Tree(), 0
     ends: dict[str, int] = {}
     while at < len(page):
         left = page.find("<", at)
@@ -173,8 +175,8 @@ def parse(page: str) -> Node:
             tree.start(tag, attributes, False)
             if tag in RAW or tag in RAW_TEXT:
                 if ends.get(tag, 0) < at:  # where the element of this name ends next
-                    right = low.find(f"</{tag}", at)
-                    ends[tag] = len(page) if right < 0 else right
+                    found = RAW_END[tag].search(page, at)
+                    ends[tag] = found.start() if found else len(page)
                 body = page[at : ends[tag]]
                 tree.text(html.unescape(body) if tag in RAW_TEXT else body)
                 at = ends[tag]
