@@ -106,6 +106,38 @@ def test_one_of_each_component_stays(odd_docs, odd_rows):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(least.values())
 
 
+def test_similarity_decides_exactly(spark):
+    """Pairs around 0.8, and a crowd of copies at about the threshold, against all pairs."""
+    random.seed(3)
+    rows = []
+    for size in (6, 9, 24, 84, 204, 604):
+        for _ in range(12):
+            text = [f"w{random.randrange(10**6)}" for _ in range(size)]
+            other = list(text)
+            at = random.randrange(1, size)
+            cut = random.randint(0, max(1, size // 4))
+            other[at : at + cut] = ["x"] * len(other[at : at + cut])
+            rows += [text, other]
+    centre = [f"c{i}" for i in range(104)]
+    for i in range(60):
+        copy = list(centre)
+        for at in random.sample(range(104), 2):
+            copy[at] = f"new{i}-{at}"
+        rows.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    sets, group = [frozenset(brute_shingles(t)) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if group[i] != group[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    assert 20 < len(set(group)) < len(rows) - 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for piece in (4096, 3):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs, piece=piece).collect()}
+        assert [got[i] for i in range(len(rows))] == group
+
+
 def brute_shingles(text, words=5):
     w = (text or "").encode().lower().split()
     return [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
