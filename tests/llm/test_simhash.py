@@ -106,6 +106,14 @@ def test_one_of_each_component_stays(odd_docs, odd_rows):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(least.values())
 
 
+def test_unlike_rows_without_an_id_or_with_the_same_id_stay(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3] + " more"), (9, texts[3]), (8, texts[4]), (None, texts[4]), (8, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["text"].split()[0]) for r in simhash.keep_one_of_near(docs).collect())
+    assert got == Counter([(None, "a0"), (None, "b0"), (7, "c0"), (7, "d0"), (8, "e0")])
+
+
 def test_similarity_decides_exactly(spark):
     """Pairs around 0.8, and a crowd of copies at about the threshold, against all pairs."""
     random.seed(3)

@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waterspark.llm.components import components
@@ -358,18 +358,17 @@ def similar_documents(
     return rows.join(least, "root").select("doc_id", "component_id")
 
 
+def row_key(id_col: str, digest: Column) -> Column:
+    """A row's id, which may be missing, and the digest of its text."""
+    return F.concat(F.coalesce(F.concat(F.lit("id "), F.col(id_col).cast("string")), F.lit("none")), F.lit(" "), F.hex(digest))
+
+
 def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay: of each component of similar documents the one with the
-    smallest id, whole; of rows with that id one. Rows without an id stay only if their
-    component has no id."""
-    kept = (
-        similar_documents(docs, id_col, text_col)
-        .filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key"))
-        .distinct()
-    )
-    keyed = docs.select(
-        F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_key"), F.xxhash64(text_of(text_col)).alias("_hash"), F.struct("*").alias("_row")
-    )
-    once = Window.partitionBy("_key").orderBy("_hash")
-    return keyed.join(kept, "_key", "left_semi").withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("_row.*")
+    """The documents that stay: of each component of similar documents one, whole: that with
+    the smallest id, and of rows with that id the text with the smallest digest. A row
+    without an id stays only if its component has no id."""
+    rows = similar_rows(docs, id_col, text_col, SIMILAR_WORDS, SIMILARITY, PIECE)
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("least")
+    kept = rows.groupBy("root").agg(least).select(row_key("least.doc_id", F.col("least.digest")).alias("_key"))
+    keyed = docs.select(row_key(id_col, digest_of(text_col)).alias("_key"), F.struct("*").alias("_row"))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
