@@ -67,6 +67,20 @@ def test_base_stays_and_secrets_are_added(spark, odd_docs, odd_rows, no_docs):
     assert pii.find_pii(no_docs, pii.train(no_docs)).collect() == []
 
 
+def test_named_numbers_and_long_values_are_found(spark):
+    random.seed(2)
+    long = "9f3c71ab" * 80
+    texts = {1: "please call 555-123-4567 today", 2: "phone (555) 123-4567", 3: "her ssn 123-45-6789 is here", 4: "licensed under version 2001 2002 2003", 5: f'token = "{long}"'}
+    rows = samples(400) + [(1000 + i, re.sub("[0-9]", lambda _: random.choice("23456789"), random.choice([texts[1], texts[2], texts[3], texts[4]]))) for i in range(400)]
+    trees = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {i: {(pii.KINDS[k], t[a:b]) for a, k, b in pii.all_spans(t, trees)[1]} for i, t in texts.items()}
+    assert ("contact", "555-123-4567") in found[1] and any(k == "contact" for k, _ in found[2])
+    assert any(w == "123-45-6789" for _, w in found[3]) and not found[4]
+    assert ("secret", long) in found[5]
+    digits = "1234567890" * 4
+    assert any(digits == t[a:b] and pii.KINDS[k] == "number" for t in (f"account {digits}.",) for a, k, b in pii.candidates(t, []))
+
+
 def test_redaction():
     text = "a b@c.de and 1.2.3.4"
     assert pii.redact(text, pii.base_spans(text)) == "a [email] and [ip]"

@@ -34,15 +34,21 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Generators of further candidates: they overlap, and find much that is no personal data.
 #: All but the spelled-out addresses need a digit in the text.
 GENERATORS = {
-    "secret": [re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,512}={0,2}(?![A-Za-z0-9+/_-])")],
+    "secret": [re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+={0,2}(?![A-Za-z0-9+/_-])")],
     "contact": [re.compile(r"(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")],
-    "number": [re.compile(r"(?<![0-9])[0-9](?:[ .-]?[0-9]){6,24}(?![0-9])"), re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}\b")],
+    "number": [re.compile(r"(?<![0-9])[0-9](?:[ .-]?[0-9]){6,24}(?![0-9])"), re.compile(r"(?<![0-9])[0-9]{26,}+"), re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}\b")],
 }
 SPELLED = re.compile(r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{2,64} ?[\[( ](?:at|@)[\]) ] ?[a-z0-9-]{2,64}(?: ?[\[( ]dot[\]) ] ?|\.)[a-z]{2,24}\b")
 SPELLED_HINT = re.compile(r"(?i)[\[( ]dot[\]) ]|[\[( ]@[\]) ]|[\[(]at[\])]")
 ASSIGNED = re.compile(r"(?i)(?:pass(?:word|wd)?|pwd|token|secret|api[_-]?key|key|auth)[\"']?\s*[=:]\s*[\"']?$")
 WORDS_AROUND = re.compile(r"(?i)\b(?:call|tel|phone|fax|mobile|card|visa|account|iban|ssn|id|mail|contact|version|licen[sc]ed?|isbn|page|key|token|password|secret|login|user)\b")
+#: Words right before a telephone or an identity number, and before other numbers.
+CALLED = re.compile(r"(?i)\b(?:call|tel|telephone|phone|fax|mobile|cell)\b[^0-9\n]{0,20}$")
+HELD = re.compile(r"(?i)\b(?:ssn|social security|account|acct|iban|passport|tax id)\b[^0-9\n]{0,20}$")
+PLAIN = re.compile(r"(?i)\b(?:version|licen[sc]ed?|isbn|page|order|part)\b[^0-9\n]{0,20}$")
 CONTEXT = 40
+#: Held-out candidates from which a kind has a threshold of its own.
+CALIBRATE = 20
 
 
 def digits(text: str) -> int:
@@ -127,16 +133,21 @@ def features(text: str, start: int, kind: int, end: int) -> list[float]:
 
 def weak_label(text: str, start: int, kind: int, end: int) -> int:
     """What rules alone are sure of: a base span is personal data; so is an assigned value
-    or an access key of high entropy."""
+    or an access key of high entropy, and a number that is named as a telephone or an identity
+    number. Numbers in groups that nothing names are not sure, which is -1."""
     if kind < len(BASE):
         return 1
-    word = text[start:end]
+    word, before = text[start:end], text[max(0, start - CONTEXT) : start]
     if KINDS[kind] == "secret":
         strong = digits(word) >= 3 and entropy(word) >= 2.8
-        return int(strong and (bool(ASSIGNED.search(text[max(0, start - CONTEXT) : start])) or re.fullmatch(r"A[KS]IA[0-9A-Z]{16}", word) is not None or (len(word) >= 24 and digits(word) >= 6)))
-    if KINDS[kind] == "contact":
-        return int("@" in word or bool(re.search(r"(?i)\bat\b.*\bdot\b", word)))
-    return int(bool(re.match(r"[A-Z]{2}[0-9]{2}", word)))
+        return int(strong and (bool(ASSIGNED.search(before)) or re.fullmatch(r"A[KS]IA[0-9A-Z]{16}", word) is not None or (len(word) >= 24 and digits(word) >= 6)))
+    if KINDS[kind] == "contact" and ("@" in word or re.search(r"(?i)\bat\b.*\bdot\b", word)) or re.match(r"[A-Z]{2}[0-9]{2}", word):
+        return 1
+    if PLAIN.search(before):
+        return 0
+    if (CALLED if KINDS[kind] == "contact" else HELD).search(before):
+        return 1
+    return -1 if KINDS[kind] == "contact" or re.search("[ -]", word) else 0
 
 
 @dataclass
@@ -148,6 +159,7 @@ class Trees:
     start: float = 0.0
     curve: tuple[float, float] = (1.0, 0.0)
     threshold: float = 0.5
+    thresholds: dict[int, float] = field(default_factory=dict)
 
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, i], side="right") for i, e in enumerate(self.edges)], axis=1)
@@ -206,11 +218,27 @@ class Trees:
             move = np.clip(np.linalg.solve(hess, g), -1, 1)
             a, b = a + move[0], b + move[1]
         self.curve = (max(float(a), 0.05), float(b))
-        p = self.probability(x[held])
-        order = np.argsort(-p, kind="stable")
-        right = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
-        enough = np.flatnonzero(right >= PRECISION)
-        self.threshold = float(np.clip(p[order[enough[-1]]], 0.5, 0.99)) if len(enough) else 0.99
+        self.threshold = lowest(self.probability(x[held]), truth)
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """A threshold for each kind with enough of the candidates that ``fit`` held out."""
+        held = np.arange(len(y)) % 3 == 0
+        kinds, p, truth = x[held, 0].astype(int), self.probability(x[held]), y[held]
+        for kind in range(len(BASE), len(KINDS)):
+            own = kinds == kind
+            if own.sum() >= CALIBRATE:
+                self.thresholds[kind] = lowest(p[own], truth[own])
+
+    def limit(self, kind: int) -> float:
+        return self.thresholds.get(kind, self.threshold)
+
+
+def lowest(p: np.ndarray, truth: np.ndarray) -> float:
+    """The probability from which ``PRECISION`` of the candidates are right."""
+    order = np.argsort(-p, kind="stable")
+    right = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
+    enough = np.flatnonzero(right >= PRECISION)
+    return float(np.clip(p[order[enough[-1]]], 0.5, 0.99)) if len(enough) else 0.99
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES) -> Trees:
@@ -227,8 +255,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         keys, rows = [], []
         for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for start, kind, end in candidates(text, base_spans(text)):
-                keys.append(f"{at}:{start}:{kind}:{end}")
-                rows.append([*features(text, start, kind, end), float(weak_label(text, start, kind, end))])
+                label = weak_label(text, start, kind, end)
+                if label >= 0:
+                    keys.append(f"{at}:{start}:{kind}:{end}")
+                    rows.append([*features(text, start, kind, end), float(label)])
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(rows, pa.list_(pa.float64()))], names=["key", "x"])
 
     rows = (
@@ -241,6 +271,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     table = np.array([r["x"] for r in rows], dtype=np.float64)
     if len(table) >= 50 and len(np.unique(table[:, -1])) == 2:
         trees.fit(table[:, :-1], table[:, -1])
+        trees.calibrate(table[:, :-1], table[:, -1])
     return trees
 
 
@@ -262,8 +293,8 @@ def all_spans(text: str, trees: Trees) -> tuple[list[tuple[int, int, int]], list
     p = trees.probability(np.array([features(text, *c) for c in more]))
     taken: list[tuple[int, int, int]] = []  # apart from each other, by start
     for i in sorted(range(len(more)), key=lambda i: (-p[i], more[i])):
-        if p[i] < trees.threshold:
-            break
+        if p[i] < trees.limit(more[i][1]):
+            continue
         at = bisect.bisect_left(taken, (more[i][2],))
         if not (at and taken[at - 1][2] > more[i][0]):
             taken.insert(at, more[i])
