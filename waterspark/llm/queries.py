@@ -15,6 +15,7 @@ from waterspark.llm.pitman_yor import language_scores
 from waterspark.llm.registry import ORACLES, QUERIES, query
 from waterspark.llm.shared import crc_fold, table
 from waterspark.llm.simhash import near_duplicates
+from waterspark.llm.vector_join import near_vectors
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -135,3 +136,33 @@ def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_pitman_yor")
 def op7_pitman_yor(spark: SparkSession, sf: str) -> DataFrame:
     return language_scores(table(spark, sf, "documents"), crc_fold("doc_id", 7) == 2)
+
+
+@query(
+    "op13_vector_join",
+    """
+    WITH RECURSIVE v AS (
+        SELECT row_number() OVER () AS node, vec_id, embedding::DOUBLE[] AS e,
+               embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                   AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fine
+        FROM embeddings
+    ), u AS (
+        SELECT node, e, len(e) AS dims, sqrt(list_inner_product(e, e)) AS norm FROM v WHERE fine
+    ), links AS (
+        SELECT a.node AS a, b.node AS b FROM u a JOIN u b ON a.node <> b.node AND a.dims = b.dims
+        WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+    ), reach AS (
+        SELECT node AS a, node AS b FROM v
+        UNION
+        SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+    ), least AS (
+        SELECT a, min(vec_id) AS component_id FROM reach JOIN v ON v.node = reach.b GROUP BY a
+    ), n AS (
+        SELECT a, count(*) AS n_links FROM links GROUP BY a
+    )
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+    FROM v JOIN least ON least.a = v.node LEFT JOIN n ON n.a = v.node
+    """,
+)
+def op13_vector_join(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(table(spark, sf, "embeddings"))
