@@ -349,8 +349,9 @@ def finished(rows: DataFrame, nodes: DataFrame | None, found: DataFrame | None)
         stars = components(found.filter("node != other"), "node", "other")
         # Copies link among themselves too.
         rooted = nodes.join(stars, "node", "left").join(links, "node", "left")
-        rooted = rooted.select("node", "least", F.coalesce("root", "node").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-        least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        rooted = stored(rooted.select("node", "least", F.coalesce("root", "node").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "rooted-vectors")
+        # Written, so that the join deals out a crowd's root anew and can split it.
+        least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least-vectors")
         named = rooted.join(least, "root").select("node", "n_links", "component_id")
         alone = rows.filter("node is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
         out = rows.filter("node is not null").join(named, "node").select("id", "n_links", "component_id").union(alone)
