@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waterspark.llm import pii, quality, url_filter
+from waterspark.llm.alignment import align
 from waterspark.llm.exact_dedup import exact_duplicates
 from waterspark.llm.html_text import extract_text
 from waterspark.llm.knn import top_k
@@ -20,11 +21,11 @@ from waterspark.llm.vector_join import near_vectors
 __all__ = ["ORACLES", "QUERIES"]
 
 
-def tokenizer_path() -> str:
-    """The public model; another path can be given to the operator."""
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """A public model; another path can be given to the operator."""
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 @query(
@@ -166,3 +167,8 @@ def op7_pitman_yor(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op13_vector_join(spark: SparkSession, sf: str) -> DataFrame:
     return near_vectors(table(spark, sf, "embeddings"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return align(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
