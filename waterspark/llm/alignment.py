@@ -80,20 +80,32 @@ class Pair:
         self.counts, self.begin = np.zeros((0, 3), dtype=np.int64), np.zeros(1, dtype=np.int64)
         self.links = np.zeros(0, dtype=np.int64)
 
+    def laid(self, a: list[list[int]], b: list[list[int]], whole: list[bytes]) -> tuple:
+        """Ids of both sides in one line and where each ends, where chunks end, and whether
+        both sides give every chunk back."""
+        sides = [np.fromiter(chain.from_iterable(x), dtype=np.int64) for x in (a, b)]
+        ends = np.cumsum(list(map(len, whole)))
+        out, same, line = [], True, b"".join(whole)
+        for given, ids, size, entries in zip((a, b), sides, (self.a_size, self.b_size), (self.a_bytes, self.b_bytes)):
+            out.append(np.cumsum(size[ids]))
+            stops = np.cumsum(list(map(len, given)))
+            same &= bool(len(ids) and stops[0] and (out[-1][stops - 1] == ends).all()) and b"".join(map(entries.__getitem__, ids.tolist())) == line
+        return *sides, *out, ends, same
+
     def learn(self, chunks: list[str]) -> None:
         """Aligns new chunks; one whose bytes differ gets the place -1."""
         whole = [(" " + c).encode() for c in chunks]
         a = [e.ids for e in self.first.encode_batch([" " + c for c in chunks], add_special_tokens=False)]
         b = self.second.encode(chunks, num_threads=1)
-        fine = [b"".join(map(self.a_bytes.__getitem__, x)) == w == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, w in zip(a, b, whole)]
-        self.place.update((c, -1) for c, ok in zip(chunks, fine) if not ok)
-        if not any(fine):
-            return
-        good = [i for i, ok in enumerate(fine) if ok]
-        a, b = [a[i] for i in good], [b[i] for i in good]
-        a_ids, b_ids = (np.fromiter(chain.from_iterable(x), dtype=np.int64) for x in (a, b))
-        a_ends, b_ends = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
-        ends = np.cumsum([len(whole[i]) for i in good])
+        a_ids, b_ids, a_ends, b_ends, ends, same = self.laid(a, b, whole)
+        good = range(len(chunks))
+        if not same:
+            good = [i for i, w in enumerate(whole) if b"".join(map(self.a_bytes.__getitem__, a[i])) == w == b"".join(map(self.b_bytes.__getitem__, b[i]))]
+            self.place.update((chunks[i], -1) for i in set(range(len(chunks))).difference(good))
+            if not good:
+                return
+            a, b = [a[i] for i in good], [b[i] for i in good]
+            a_ids, b_ids, a_ends, b_ends, ends, _ = self.laid(a, b, [whole[i] for i in good])
         common = np.intersect1d(a_ends, b_ends, assume_unique=True)
         # Between two neighbouring cuts of either side lies exactly one overlapping pair.
         cuts = np.union1d(a_ends, b_ends)
