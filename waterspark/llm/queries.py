@@ -16,6 +16,7 @@ from waterspark.llm.pitman_yor import language_scores
 from waterspark.llm.registry import ORACLES, QUERIES, query
 from waterspark.llm.shared import crc_fold, table
 from waterspark.llm.simhash import near_duplicates
+from waterspark.llm.turns import damage, repair_conversations
 from waterspark.llm.vector_join import near_vectors
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -172,3 +173,68 @@ def op13_vector_join(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_token_alignment")
 def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return align(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+
+
+@query(
+    "op11_turn_repair",
+    """
+    WITH RECURSIVE crc AS (
+        SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+    ), given AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT) AS named
+        FROM conversations
+    ), fated AS (
+        SELECT given.*, xor(list_reduce(list_prepend(4294967295, named), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 20 AS fate FROM given, crc
+    ), damaged AS (
+        SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+               CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy
+        FROM fated WHERE fate <> 0
+    ), ordered AS (
+        SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM damaged
+    ), faults AS (
+        SELECT conv_id, turn, i, role, text, role[1] AS initial,
+               CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault,
+               lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair
+        FROM ordered
+    ), inserts(s, t, roles) AS (
+        VALUES (0, 0, []::VARCHAR[]), (0, 2, ['user']), (0, 3, ['user', 'assistant']), (1, 1, []), (1, 2, ['user']), (1, 3, ['user', 'assistant']),
+               (2, 2, []), (2, 3, ['assistant']), (3, 3, []), (3, 2, ['user'])
+    ), leads(s, initial, t) AS (
+        VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)
+    ), moves AS (
+        SELECT s, roles, 'D' AS edit, NULL AS initial, t FROM inserts
+        UNION ALL SELECT i.s, roles, 'K', initial, l.t FROM inserts i JOIN leads l ON l.s = i.t
+        UNION ALL SELECT i.s, roles, 'R', initial, l.t FROM inserts i JOIN leads l ON l.s = i.t WHERE initial <> 's'
+    ), solve AS (
+        SELECT conv_id, 0::BIGINT AS i, 0 AS s, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS way FROM (SELECT DISTINCT conv_id FROM conversations)
+        UNION ALL
+        SELECT w.conv_id, f.i, m.t, min({
+            'cost': way.cost + 3 * len(roles) + CASE edit WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END,
+            'audit': way.audit || repeat('I', len(roles)) || edit,
+            'lines': list_concat(list_concat(way.lines, list_transform(roles, lambda r: r || ':')),
+                CASE edit WHEN 'K' THEN [role || ':' || text] WHEN 'R' THEN [CASE m.initial WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text] ELSE [] END)})
+        FROM solve w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN moves m ON m.s = w.s
+        WHERE edit = 'D' OR (coalesce(fault, '') NOT IN ('blank', 'duplicate') AND (edit = 'R' OR m.initial = f.initial))
+        GROUP BY w.conv_id, f.i, m.t
+    ), sums AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+               count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+               count(*) FILTER (i > 1 AND coalesce(pair, '') NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+        FROM faults GROUP BY conv_id
+    ), ends AS (
+        SELECT w.conv_id, min({'cost': way.cost + 3 * len(roles), 'audit': way.audit || repeat('I', len(roles)), 'lines': list_concat(way.lines, list_transform(roles, lambda r: r || ':'))}) AS way
+        FROM solve w LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM w.conv_id JOIN inserts m ON m.s = w.s AND m.t IN (0, 3)
+        WHERE w.i = coalesce(n, 0) GROUP BY w.conv_id
+    )
+    SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, way.cost AS cost, way.audit AS audit, sha256(array_to_string(way.lines, chr(10))) AS repaired_sha256
+    FROM ends e LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM e.conv_id
+    """,
+)
+def op11_turn_repair(spark: SparkSession, sf: str) -> DataFrame:
+    given = table(spark, sf, "conversations")
+    return repair_conversations(damage(given), given)
