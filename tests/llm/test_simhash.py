@@ -73,79 +73,3 @@ def test_local_roots():
     fp = np.array([0, 1, 3, 7 << 40, (7 << 40) + 1, 0, 255], dtype=np.uint64)
     group = np.array([1, 1, 1, 1, 1, 2, 2])
     assert simhash.joined_roots(fp, group, 1).tolist() == [0, 0, 0, 3, 3, 5, 6]
-
-
-def test_similar_documents(spark):
-    """Copies with a few words changed are linked, texts that share half are not."""
-    random.seed(12)
-    vocabulary = [f"w{i}" for i in range(3000)]
-    rows = []
-    for i in range(120):
-        text = random.choices(vocabulary, k=random.choice([60, 200, 600]))
-        near = list(text)
-        near[len(near) // 3] = "changed"
-        half = text[: len(text) // 2] + random.choices(vocabulary, k=len(text) // 2)
-        rows += [(3 * i, " ".join(text)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(half))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for piece in (4096, 3):
-        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs, piece=piece).collect()}
-        linked = [got[3 * i + 1] == 3 * i for i in range(120)]
-        assert sum(linked) >= 115 and all(got[3 * i + 2] == 3 * i + 2 for i in range(120))
-
-
-def test_one_of_each_component_stays(odd_docs, odd_rows):
-    kept = simhash.keep_one_of_near(odd_docs)
-    assert kept.schema == odd_docs.schema
-    shingles = [frozenset(brute_shingles(t)) for _, t, _ in odd_rows]
-    group = list(range(len(odd_rows)))
-    for i, a in enumerate(shingles):
-        for j in range(i):
-            if len(a & shingles[j]) >= 0.8 * len(a | shingles[j]):
-                group = [group[j] if g == group[i] else g for g in group]
-    least = {g: min((r[0] for r, h in zip(odd_rows, group) if h == g and r[0] is not None), default=-1) for g in set(group)}
-    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(least.values())
-
-
-def test_unlike_rows_without_an_id_or_with_the_same_id_stay(spark):
-    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
-    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3] + " more"), (9, texts[3]), (8, texts[4]), (None, texts[4]), (8, texts[4])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = Counter((r["doc_id"], r["text"].split()[0]) for r in simhash.keep_one_of_near(docs).collect())
-    assert got == Counter([(None, "a0"), (None, "b0"), (7, "c0"), (7, "d0"), (8, "e0")])
-
-
-def test_similarity_decides_exactly(spark):
-    """Pairs around 0.8, and a crowd of copies at about the threshold, against all pairs."""
-    random.seed(3)
-    rows = []
-    for size in (6, 9, 24, 84, 204, 604):
-        for _ in range(12):
-            text = [f"w{random.randrange(10**6)}" for _ in range(size)]
-            other = list(text)
-            at = random.randrange(1, size)
-            cut = random.randint(0, max(1, size // 4))
-            other[at : at + cut] = ["x"] * len(other[at : at + cut])
-            rows += [text, other]
-    centre = [f"c{i}" for i in range(104)]
-    for i in range(60):
-        copy = list(centre)
-        for at in random.sample(range(104), 2):
-            copy[at] = f"new{i}-{at}"
-        rows.append(copy)
-    rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
-    sets, group = [frozenset(brute_shingles(t)) for _, t in rows], list(range(len(rows)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if group[i] != group[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
-                old, new = max(group[i], group[j]), min(group[i], group[j])
-                group = [new if g == old else g for g in group]
-    assert 20 < len(set(group)) < len(rows) - 20
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for piece in (4096, 3):
-        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs, piece=piece).collect()}
-        assert [got[i] for i in range(len(rows))] == group
-
-
-def brute_shingles(text, words=5):
-    w = (text or "").encode().lower().split()
-    return [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waterspark.llm.shared import stored
+from waterspark.llm.shared import discard, stored
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -29,4 +29,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.union(least.toDF("u", "v")).distinct(), "edges")
+        before, now = now, stored(small.union(least.toDF("u", "v")).distinct(), "edges")
+        discard(before, large)

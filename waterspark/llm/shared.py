@@ -27,7 +27,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     path = new_shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._scratch = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables from ``stored`` that nothing lazy reads any more."""
+    for made in tables:
+        spark = made.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(made._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(column: str) -> Column:

@@ -3,14 +3,12 @@ distance.
 
 ``near_duplicates`` links 64-bit fingerprints a few bits apart, exactly, by the pigeonhole
 principle. Texts of a Jaccard similarity of 0.8 are some ten of 64 bits apart, too many for
-that. ``similar_documents`` therefore takes candidates from shared shingles, of which similar
-texts have one among their smallest, leaves out those whose wide fingerprints lie far apart,
-and links by the exact similarity of the shingle sets.
+that. ``similar_documents`` (module ``similar``) therefore links by the exact similarity of
+the shingle sets.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
@@ -31,12 +29,6 @@ SHARED = 2
 #: A crowded block value is compared in pieces of so many fingerprints.
 PIECE = 4096
 SLICE_CHARS = 1_000_000
-#: Documents of this similarity (of the sets of their shingles of so many words) are linked.
-SIMILAR_WORDS, SIMILARITY = 5, 0.8
-#: Candidates have fingerprints of ``LANES`` x 64 bits no more than ``SLACK`` standard
-#: deviations farther apart than texts at the threshold are on average; that lets through
-#: what is similar by half, and the exact similarity decides.
-LANES, SLACK = 8, 8.0
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -72,18 +64,6 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int.from_bytes(majority(shingle_hashes(text, words)), "little", signed=True)
 
 
-def wide_fingerprint(hashes: np.ndarray, lanes: int = LANES) -> bytes:
-    """SimHash of a set of shingle hashes in ``lanes`` x 64 bits, each lane from hashes of
-    its own."""
-    out = []
-    for lane in range(1, lanes + 1):
-        x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority(x ^ (x >> np.uint64(31))))
-    return b"".join(out)
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, fp) of every row over its whole text; null text counts as empty."""
 
@@ -199,76 +179,6 @@ def by_group(compare: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> C
     return work
 
 
-def near(rows: pa.RecordBatch, distance: int, similarity: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Which places a and b of rows (fp, grp, wide, size, ...) are candidates."""
-    bits = np.frombuffer(b"".join(rows.column(2).to_pylist()), dtype=np.uint64).reshape(rows.num_rows, LANES)
-    size = rows.column(3).to_numpy()
-
-    def candidates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        fits = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
-        fits[fits] = np.bitwise_count(bits[a[fits]] ^ bits[b[fits]]).sum(axis=1, dtype=np.int64) <= distance
-        return fits
-
-    return candidates
-
-
-def to_first(rows: pa.RecordBatch, distance: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Candidates of each group's first row with the others."""
-    group = rows.column(1).to_numpy()
-    starts = np.append(0, np.flatnonzero(np.diff(group)) + 1)
-    first = np.repeat(starts, np.diff(np.append(starts, len(group))))
-    at = np.flatnonzero(first != np.arange(len(group)))
-    at = at[near(rows, distance, similarity)(at, first[at])]
-    yield linked(rows.column(0).to_numpy(), at, first[at])
-
-
-def across(rows: pa.RecordBatch, distance: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """All candidates of a group that have unlike roots; rows (fp, grp, wide, size, root)."""
-    fp, group, root = (rows.column(i).to_numpy() for i in (0, 1, 4))
-    candidates = near(rows, distance, similarity)
-    ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
-    end = np.repeat(ends, np.diff(np.append(0, ends)))
-    active, step = np.arange(len(group)), 1
-    while True:
-        active = active[active + step < end[active]]
-        if not len(active):
-            return
-        at = active[root[active] != root[active + step]]
-        at = at[candidates(at, at + step)]
-        if len(at):
-            yield linked(fp, at, at + step)
-        step += 1
-
-
-def verified(docs: DataFrame, text_col: str, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the candidates (fp, other) whose shingle sets reach the similarity exactly.
-    Each text is opened once; a pair meets the two sets of its ends."""
-
-    def opened(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["fp", "shingles"])
-
-    def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
-        return batch.select(["fp", "other"]).filter(pa.array(keep, pa.bool_()))
-
-    ends = pairs.select("fp").union(pairs.select("other")).distinct()
-    wanted = nodes.join(ends, "fp").select("fp", "digest")
-    texts = docs.select(digest_of(text_col).alias("digest"), text_of(text_col).alias("text"))
-    once = texts.join(wanted, "digest").dropDuplicates(["digest"]).select("fp", "text")
-    sets = stored(map_slices(once, "text", SLICE_CHARS, "fp long, shingles binary", opened), "shingle-sets")
-    met = pairs.join(sets.withColumnRenamed("shingles", "mine"), "fp").join(sets.toDF("other", "theirs"), "other")
-    return stored(map_slices(met.select("fp", "other", "mine", "theirs"), "mine", SLICE_CHARS, "fp long, other long", alike), "similar-pairs")
-
-
-def digest_of(text_col: str) -> Column:
-    return F.unhex(F.md5(text_of(text_col).cast("binary")))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id): fingerprint of every row, and the smallest id that links
     of at most ``distance`` differing bits lead to, its own included.
@@ -290,85 +200,3 @@ def with_components(marked: DataFrame, nodes: DataFrame, pairs: DataFrame) -> Da
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp")
-
-
-def similar_rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, piece: int) -> DataFrame:
-    """(doc_id, digest, root) of every row: the digest of its text, and a number that the
-    rows of a component share.
-
-    A node is a distinct set of shingles. Of two sets of the similarity t each has a shingle
-    of the other among the ``n - ceil(t n) + 1`` smallest of its own n, so no pair is missed
-    by meeting on those. First each node meets the first of every group, which connects
-    crowds of copies with few pairs; then all pairs meet that share a group and are not yet
-    connected. Groups of more than ``piece`` nodes are cut.
-    """
-    bits = LANES * 64
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    distance = int(bits * share + SLACK * math.sqrt(bits * share * (1 - share)))
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        import xxhash
-
-        sets = [np.unique(shingle_hashes(t, words)) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-        fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), 7) for h in sets], dtype=np.uint64).view(np.int64)
-        first = [h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64) for h in sets]
-        ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
-        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first)))
-        wide, size = pa.array([wide_fingerprint(h) for h in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), wide, size, keys], names=["doc_id", "digest", "fp", "wide", "size", "keys"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("doc_id"), digest_of(text_col).alias("digest"), text_of(text_col).alias("text"))
-    marked = stored(map_slices(slim, "text", SLICE_CHARS, f"doc_id {kind}, digest binary, fp long, wide binary, size long, keys array<long>", work), "shingled")
-    nodes = stored(
-        marked.groupBy("fp").agg(F.min("digest").alias("digest"), *[F.first(c).alias(c) for c in ("wide", "size", "keys")]), "distinct-shingled"
-    )
-    members = nodes.select("fp", F.explode("keys").alias("key"))
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = stored(members.join(sizes, "key"), "shared-shingles")
-    outline = nodes.select("fp", "wide", "size")
-
-    def candidates(placed: DataFrame, compare: Callable, *more: str) -> DataFrame:
-        rows = placed.join(outline, "fp").select("fp", "grp", "wide", "size", *more).repartition("grp").sortWithinPartitions("grp", "fp")
-        found = rows.mapInArrow(by_group(partial(compare, distance=distance, similarity=similarity)), "fp long, other long")
-        return stored(found.select(F.least("fp", "other").alias("fp"), F.greatest("fp", "other").alias("other")).distinct(), "candidates")
-
-    part = F.pmod(F.xxhash64("fp", "key"), F.ceil(F.col("n") / piece).cast("long"))
-    near_first = candidates(shared.select("fp", F.xxhash64("key", part).alias("grp")), to_first)
-    pairs = verified(docs, text_col, nodes, near_first, words, similarity)
-    stars = components(pairs, "fp", "other")
-    rooted = shared.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key")
-    unlike = candidates(in_pieces(rooted.join(apart, "key", "left_semi"), piece), across, "root")
-    pairs = pairs.union(verified(docs, text_col, nodes, unlike.join(near_first, ["fp", "other"], "left_anti"), words, similarity))
-    stars = components(pairs, "fp", "other")
-    return marked.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "digest", F.coalesce("root", "fp").alias("root"))
-
-
-def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, piece: int = PIECE
-) -> DataFrame:
-    """(doc_id, component_id): the smallest id that links of similar documents lead to.
-
-    Nulls, empty texts, copies and missing ids count as in ``near_duplicates``. Two texts
-    are linked if their sets of shingles have at least this similarity.
-    """
-    rows = similar_rows(docs, id_col, text_col, words, similarity, piece)
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select("doc_id", "component_id")
-
-
-def row_key(id_col: str, digest: Column) -> Column:
-    """A row's id, which may be missing, and the digest of its text."""
-    return F.concat(F.coalesce(F.concat(F.lit("id "), F.col(id_col).cast("string")), F.lit("none")), F.lit(" "), F.hex(digest))
-
-
-def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay: of each component of similar documents one, whole: that with
-    the smallest id, and of rows with that id the text with the smallest digest. A row
-    without an id stays only if its component has no id."""
-    rows = similar_rows(docs, id_col, text_col, SIMILAR_WORDS, SIMILARITY, PIECE)
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("least")
-    kept = rows.groupBy("root").agg(least).select(row_key("least.doc_id", F.col("least.digest")).alias("_key"))
-    keyed = docs.select(row_key(id_col, digest_of(text_col)).alias("_key"), F.struct("*").alias("_row"))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
