@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -33,11 +34,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables from ``stored`` that nothing lazy reads any more."""
+    """Delete tables from ``stored`` that nothing lazy reads any more, and let Spark's cleaner
+    see which shuffles have no reader left."""
+    gc.collect()
     for made in tables:
         spark = made.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(made._scratch)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark._jvm.System.gc()
 
 
 def text_of(column: str) -> Column:

@@ -29,6 +29,8 @@ SHARED = 2
 #: A crowded block value is compared in pieces of so many fingerprints.
 PIECE = 4096
 SLICE_CHARS = 1_000_000
+#: Groups are compared in runs of about so many rows or bytes.
+HELD_ROWS, HELD_BYTES = 100_000, 1 << 23
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -166,7 +168,7 @@ def by_group(compare: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> C
             if not batch.num_rows:
                 continue
             held.append(batch)
-            if sum(b.num_rows for b in held) >= 100_000:
+            if sum(b.num_rows for b in held) >= HELD_ROWS or sum(b.nbytes for b in held) >= HELD_BYTES:
                 # The last group may go on in the next batch.
                 whole, last = pa.Table.from_batches(held).combine_chunks().to_batches()[0], batch.column(1)[-1].as_py()
                 cut = int(np.flatnonzero(whole.column(1).to_numpy() == last)[0])
