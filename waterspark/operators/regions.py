@@ -8,21 +8,29 @@ one. No step gathers a whole region except its final outline, which is one row a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waterspark.functions import geometry as G
 from waterspark.functions import kernels as K
+from waterspark.operators import distance as D
+from waterspark.operators import raster as R
 from waterspark.operators import spatial_join as S
 from waterspark.operators.grouped import map_groups
 from waterspark.session import cut_lineage
 
 BLOCK = 256
+# --- fixed values -----------------------------------------------------------
+OPEN_M, CLOSE_M = 5.0, 8.0
+OCCURRENCE_SHARE, LANDCOVER_SHARE = 0.2, 0.15
+# ----------------------------------------------------------------------------
 LABEL_STRIDE = 1 << 31
 
 
@@ -336,10 +344,35 @@ def smooth_water(geom: Column, area_km2: Column) -> Column:
     """Layer smoothing: large bodies drop small parts and are simplified; small ones are
     simplified, lose specks and get rounded corners. Lon/lat in and out.
 
-    Opening and closing by a few metres belong to the raster step (``morphology``)."""
+    Opening and closing by a few metres belong to the raster step (``rounded_masks``)."""
     return F.when(geom.isNotNull(), _smoothed(F.struct(geom.alias("g"), area_km2.cast("double").alias("a"))))
 
 
+@dataclass(frozen=True)
+class Rounding:
+    """Opening and closing of small bodies' layers, in metres: ``size`` are columns over
+    the mask's raster that give its pixel's width and height."""
+
+    size: tuple[Column, Column]
+    open_m: float = OPEN_M
+    close_m: float = CLOSE_M
+    split: int = 1
+    small_km2: float = G.BIG_BODY_KM2
+
+
+def rounded_masks(
+    bodies: DataFrame, labelled: DataFrame, mapping: DataFrame | None, by: list[str], kept: DataFrame, how: Rounding, block: int = BLOCK
+) -> DataFrame:
+    """Pixels ``by, prow, pcol`` of the kept regions after opening and closing; those of
+    large bodies as they are. Both come in pixels divided by ``how.split``."""
+    key = by[0]
+    wet = with_region(labelled, mapping, by).join(kept.select(*by, "region"), [*by, "region"], "left_semi")
+    wet = wet.select(*by, "prow", "pcol", how.size[0].cast("double").alias("dx_m"), how.size[1].cast("double").alias("dy_m"))
+    large = bodies.where(F.col("area_km2") > how.small_km2).select(key)
+    rounded = D.opened_and_closed(wet.join(large, key, "left_anti"), by, by[:2], how.open_m, how.close_m, how.split, block)
+    return rounded.unionByName(D.split_pixels(wet.join(large, key, "left_semi"), how.split)).select(*by, "prow", "pcol")
+
+
 def water_layers(
     bodies: DataFrame,
     masks: DataFrame,
@@ -348,17 +381,24 @@ def water_layers(
     origin: Column,
     smooth: bool = True,
     block: int = BLOCK,
+    metres: Rounding | None = None,
 ) -> DataFrame:
     """One layer per body and threshold: ``geometry`` and ``state`` (ok or empty).
 
     ``origin`` is a struct ``(x0, y0, dx, dy)`` per raster that maps pixel corners to
-    lon/lat. There is no size limit: large bodies are many blocks.
+    lon/lat. There is no size limit: large bodies are many blocks. With ``metres``, the
+    regions of small bodies are opened and closed before they are outlined.
     """
     labelled, mapping, by = label_water(masks, key, block=block)
-    shapes = outlines(labelled, mapping, by, regions_on_body(labelled, mapping, by), block).withColumn("o", origin)
+    kept, split = regions_on_body(labelled, mapping, by), 1
+    if metres is not None:
+        split = metres.split
+        labelled = cut_lineage(label_blocks(rounded_masks(bodies, labelled, mapping, by, kept, metres, block), by, block))
+        mapping, kept = region_map(labelled, by, block), None
+    shapes = outlines(labelled, mapping, by, kept, block).withColumn("o", origin)
     placed = G.map_points(
         F.col("geometry"),
-        lambda p: G.point(F.col("o.x0") + p["x"] * F.col("o.dx"), F.col("o.y0") + p["y"] * F.col("o.dy")),
+        lambda p: G.point(F.col("o.x0") + p["x"] * (F.col("o.dx") / split), F.col("o.y0") + p["y"] * (F.col("o.dy") / split)),
     )
     joined = (
         shapes.withColumn("geometry", placed)
@@ -370,3 +410,50 @@ def water_layers(
     if smooth:
         out = out.withColumn("geometry", smooth_water(F.col("geometry"), F.col("area_km2")))
     return out.withColumn("state", F.when(F.col("geometry").isNull(), "empty").otherwise("ok"))
+
+
+def landcover_layers(
+    bodies: DataFrame, clip: DataFrame, key: str, origin: Column, smooth: bool = True, block: int = BLOCK, metres: Rounding | None = None
+) -> DataFrame:
+    """The land-cover layer of each body: regions of the water class in its clip (pixels
+    from ``pixels_near``, usually of ``LANDCOVER_SHARE``). The class stands as threshold."""
+    wet = clip.where(R.class_mask(F.col("value")) == 1).withColumn("threshold", F.lit(R.WATER_CLASS))
+    return water_layers(bodies, wet, key, [R.WATER_CLASS], origin, smooth, block, metres)
+
+
+def built_layers(sink: DataFrame | None, bodies: DataFrame, key: str, thresholds: list[int]) -> DataFrame:
+    """The (key, threshold) that a sink lacks."""
+    wanted = bodies.select(key, F.explode(F.array(*[F.lit(int(t)) for t in thresholds])).alias("threshold")).distinct()
+    return wanted if sink is None else wanted.join(sink.select(key, "threshold"), [key, "threshold"], "left_anti")
+
+
+def layer_sink(spark: SparkSession, path: str) -> DataFrame | None:
+    """The layers written so far, or None."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def pregenerate(
+    bodies: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, key: str, thresholds: list[int], batches: int = 1
+) -> int:
+    """Build and store the layers that the sink lacks; returns how many.
+
+    ``build(bodies)`` gives the layers (key, threshold, state, ...) of some bodies; empty
+    ones are stored too, so that they are not tried again. Bodies are dealt to ``batches``
+    by their key, each committed as a whole: a job that ends early goes on from there, and
+    one with nothing to do writes nothing. One job at a time writes to a sink.
+    """
+    spark, written = bodies.sparkSession, 0
+    for batch in range(batches):
+        own = bodies.where(F.pmod(F.xxhash64(key), F.lit(batches)) == batch)
+        todo = cut_lineage(built_layers(layer_sink(spark, path), own, key, thresholds))
+        count = todo.count()
+        if count:
+            layers = build(own.join(todo.select(key).distinct(), key, "left_semi"))
+            layers.join(todo, [key, "threshold"], "left_semi").write.mode("append").partitionBy("threshold").parquet(path)
+            written += count
+    return written

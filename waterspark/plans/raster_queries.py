@@ -10,7 +10,7 @@ from waterspark.functions import geometry as G
 from waterspark.operators import raster, regions
 from waterspark.plans.fixtures import cte, fixture, with_boxes, m_table
 from waterspark.plans.registry import query
-from waterspark.session import cut_lineage
+from waterspark.session import cut_lineage, new_shared_path
 
 
 def pixels(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,14 +199,20 @@ def placed_pixels(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def layer_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    bodies = with_boxes(fixture(spark, sf, "fx_water")).withColumn("area_km2", G.area_km2(F.col("geometry")))
+def layer_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    return with_boxes(fixture(spark, sf, "fx_water")).withColumn("area_km2", G.area_km2(F.col("geometry")))
+
+
+MASK = ["k", "threshold", "raster_id", "prow", "pcol", "touches"]
+
+
+def layer_inputs(spark: SparkSession, sf: str, bodies: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    bodies = layer_bodies(spark, sf) if bodies is None else bodies
     clip = regions.pixels_near(bodies, placed_pixels(spark, sf), "k", 0.21, (PX / 2, PY / 2), 0.25)
-    masks = raster.threshold_masks(clip, "value", [50, 90]).select("k", "threshold", "raster_id", "prow", "pcol", "touches")
-    return bodies, clip, masks
+    return bodies, clip, raster.threshold_masks(clip, "value", [50, 90]).select(*MASK)
 
 
-_CLIP = f"""SELECT k, raster_id, prow, pcol, occurrence, px + {PX / 2} >= w AND px - {PX / 2} <= e AND py + {PY / 2} >= s AND py - {PY / 2} <= n AS touches FROM
+_CLIP = f"""SELECT k, raster_id, prow, pcol, occurrence, landcover, px + {PX / 2} >= w AND px - {PX / 2} <= e AND py + {PY / 2} >= s AND py - {PY / 2} <= n AS touches FROM
     (SELECT *, {WEST}e0 + 3e0*raster_id + (pcol + 0.5e0)*{PX} AS px, {NORTH}e0 - (prow + 0.5e0)*{PY} AS py FROM fx_pixels) q JOIN
     (SELECT k, w100/100e0 AS w, s100/100e0 AS s, (w100+dx)/100e0 AS e, (s100+dy)/100e0 AS n, greatest(dx, dy)/100e0*0.21e0 AS d FROM fx_water) b
     ON px >= w - d AND px <= e + d AND py >= s - d AND py <= n + d WHERE sqrt(pow(greatest(0, w - px, px - e), 2) + pow(greatest(0, s - py, py - n), 2)) <= d"""
@@ -218,19 +224,20 @@ def layer_clip(spark: SparkSession, sf: str) -> DataFrame:
     return clip.groupBy("k", "raster_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("touches").alias("touching"))
 
 
-_REGIONS = _recursive(
-        cte(
-            "fx_pixels",
-            "fx_water",
-            more={
-                "c": _CLIP,
-                "px": "SELECT k, threshold, raster_id, prow, pcol, touches, prow*2147483648 + pcol AS id FROM c JOIN (SELECT unnest([50, 90]) AS threshold) ON occurrence BETWEEN threshold AND 100",
-                "walk": """SELECT k, threshold, raster_id, prow, pcol, id AS root FROM px UNION SELECT p.k, p.threshold, p.raster_id, p.prow, p.pcol, w.root FROM walk w JOIN px p ON p.k = w.k AND p.threshold = w.threshold AND p.raster_id = w.raster_id
-                  AND ((p.prow = w.prow AND (p.pcol = w.pcol + 1 OR p.pcol = w.pcol - 1)) OR (p.pcol = w.pcol AND (p.prow = w.prow + 1 OR p.prow = w.prow - 1))) WHERE w.root < p.id""",
-                "comp": "SELECT w.k, w.threshold, w.raster_id, w.prow, w.pcol, cast(min(root) AS BIGINT) AS region, bool_or(p.touches) AS touches FROM walk w JOIN px p USING (k, threshold, raster_id, prow, pcol) GROUP BY 1, 2, 3, 4, 5",
-            },
-        )
-    )
+def _regions_of(clip: str, wet: str) -> str:
+    """SQL of each body's regions: ``wet`` picks thresholds and water of the clip."""
+    walk = """SELECT k, threshold, raster_id, prow, pcol, id AS root FROM px UNION SELECT p.k, p.threshold, p.raster_id, p.prow, p.pcol, w.root FROM walk w JOIN px p ON p.k = w.k AND p.threshold = w.threshold AND p.raster_id = w.raster_id
+        AND ((p.prow = w.prow AND (p.pcol = w.pcol + 1 OR p.pcol = w.pcol - 1)) OR (p.pcol = w.pcol AND (p.prow = w.prow + 1 OR p.prow = w.prow - 1))) WHERE w.root < p.id"""
+    steps = {
+        "c": clip,
+        "px": f"SELECT k, threshold, raster_id, prow, pcol, touches, prow*2147483648 + pcol AS id FROM c JOIN {wet}",
+        "walk": walk,
+        "comp": "SELECT w.k, w.threshold, w.raster_id, w.prow, w.pcol, cast(min(root) AS BIGINT) AS region, bool_or(p.touches) AS touches FROM walk w JOIN px p USING (k, threshold, raster_id, prow, pcol) GROUP BY 1, 2, 3, 4, 5",
+    }
+    return _recursive(cte("fx_pixels", "fx_water", more=steps | {"a0": m_table("fx_water")}))
+
+
+_REGIONS = _regions_of(_CLIP, "(SELECT unnest([50, 90]) AS threshold) ON occurrence BETWEEN threshold AND 100")
 
 
 @query(
@@ -252,17 +259,93 @@ def layer_regions(spark: SparkSession, sf: str) -> DataFrame:
 )
 def layer_shapes(spark: SparkSession, sf: str) -> DataFrame:
     """The layers before smoothing: state, polygons and area in pixels."""
-    layers = layers_of(spark, sf, smooth=False)
+    return in_pixels(layers_of(spark, sf, smooth=False))
+
+
+def origin() -> Column:
+    return F.struct((F.lit(WEST) + 3.0 * F.col("raster_id")).alias("x0"), F.lit(NORTH).alias("y0"), F.lit(PX).alias("dx"), F.lit(-PY).alias("dy"))
+
+
+def layers_of(spark: SparkSession, sf: str, smooth: bool, bodies: DataFrame | None = None, metres: regions.Rounding | None = None) -> DataFrame:
+    bodies, _, masks = layer_inputs(spark, sf, bodies)
+    return regions.water_layers(bodies, masks, "k", [50, 90], origin(), smooth=smooth, metres=metres)
+
+
+def in_pixels(layers: DataFrame) -> DataFrame:
+    """State, polygons and area in pixels of unsmoothed layers."""
     area = F.round(G.planar_area(F.col("geometry")) / (PX * PY)).cast("long")
     return layers.select("k", "threshold", "state", F.coalesce(F.size("geometry"), F.lit(0)).alias("parts"), F.coalesce(area, F.lit(0).cast("long")).alias("n_pixels"))
 
 
-def layers_of(spark: SparkSession, sf: str, smooth: bool) -> DataFrame:
-    bodies, _, masks = layer_inputs(spark, sf)
-    origin = F.struct(
-        (F.lit(WEST) + 3.0 * F.col("raster_id")).alias("x0"), F.lit(NORTH).alias("y0"), F.lit(PX).alias("dx"), F.lit(-PY).alias("dy")
-    )
-    return regions.water_layers(bodies, masks, "k", [50, 90], origin, smooth=smooth)
+#: Opening and closing at the scale of the fixture: by one pixel of a row, then by two and
+#: by one of a column.
+DX_M, DY_M, OPEN_M, CLOSE_M, SMALL_KM2 = 2600, 5200, 2700, 5300, 4000
+
+
+def _disk_sql(radius: int) -> str:
+    return f"(SELECT i, j FROM (SELECT unnest(range(-9, 10)) AS i) CROSS JOIN (SELECT unnest(range(-9, 10)) AS j) WHERE pow(j*{DX_M}, 2) + pow(i*{DY_M}, 2) <= pow({radius}, 2))"
+
+
+def _grown(source: str, disk: str) -> str:
+    return f"SELECT DISTINCT k, threshold, raster_id, prow + i AS prow, pcol + j AS pcol FROM {source} CROSS JOIN {disk}"
+
+
+def _shrunk(source: str, disk: str) -> str:
+    return f"""SELECT k, threshold, raster_id, prow, pcol FROM (SELECT a.k, a.threshold, a.raster_id, a.prow, a.pcol, count(*) AS n FROM {source} a CROSS JOIN {disk} d
+        JOIN {source} b ON b.k = a.k AND b.threshold = a.threshold AND b.raster_id = a.raster_id AND b.prow = a.prow + i AND b.pcol = a.pcol + j GROUP BY 1, 2, 3, 4, 5) WHERE n = (SELECT count(*) FROM {disk})"""
+
+
+@query(
+    "layers_opened",
+    _REGIONS
+    + f""", r AS (SELECT k, threshold, raster_id, region FROM comp GROUP BY k, threshold, raster_id, region HAVING bool_or(touches)),
+    wet AS (SELECT k, threshold, raster_id, prow, pcol FROM comp JOIN r USING (k, threshold, raster_id, region)),
+    s AS (SELECT * FROM wet WHERE k IN (SELECT k FROM a0 WHERE m2/1e6 <= {SMALL_KM2})),
+    e AS ({_shrunk("s", _disk_sql(OPEN_M))}), opened AS ({_grown("e", _disk_sql(OPEN_M))}),
+    base AS (SELECT * FROM opened UNION ALL SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM opened o WHERE o.k = s.k AND o.threshold = s.threshold)),
+    g AS ({_grown("base", _disk_sql(CLOSE_M))}), closed AS ({_shrunk("g", _disk_sql(CLOSE_M))}),
+    whole AS (SELECT * FROM closed UNION ALL SELECT * FROM wet WHERE k IN (SELECT k FROM a0 WHERE m2/1e6 > {SMALL_KM2})),
+    n AS (SELECT k, threshold, count(*) AS n FROM whole GROUP BY k, threshold)
+    SELECT b.k, t.threshold, CASE WHEN n.k IS NULL THEN 'empty' ELSE 'ok' END AS state, cast(coalesce(n.n, 0) AS BIGINT) AS n_pixels
+    FROM fx_water b CROSS JOIN (SELECT unnest([50, 90]) AS threshold) t LEFT JOIN n ON n.k = b.k AND n.threshold = t.threshold""",
+)
+def layers_opened(spark: SparkSession, sf: str) -> DataFrame:
+    """Layers whose small bodies are opened and closed by metres before they are traced."""
+    how = regions.Rounding((F.lit(DX_M), F.lit(DY_M)), OPEN_M, CLOSE_M, small_km2=SMALL_KM2)
+    return in_pixels(layers_of(spark, sf, smooth=False, metres=how)).drop("parts")
+
+
+_STATES = """, r AS (SELECT k, threshold, raster_id, region, count(*) AS n FROM comp GROUP BY k, threshold, raster_id, region HAVING bool_or(touches)), g AS (SELECT k, threshold, count(*) AS parts, sum(n) AS n FROM r GROUP BY k, threshold)
+    SELECT b.k, t.threshold, CASE WHEN g.k IS NULL THEN 'empty' ELSE 'ok' END AS state, cast(coalesce(g.parts, 0) AS INT) AS parts, cast(coalesce(g.n, 0) AS BIGINT) AS n_pixels
+    FROM fx_water b CROSS JOIN (SELECT unnest({thresholds}) AS threshold) t LEFT JOIN g ON g.k = b.k AND g.threshold = t.threshold"""
+
+
+@query(
+    "landcover_layers",
+    _regions_of(_CLIP.replace("0.21e0", "0.16e0"), f"(SELECT {raster.WATER_CLASS} AS threshold) ON landcover = threshold") + _STATES.format(thresholds=f"[{raster.WATER_CLASS}]"),
+)
+def landcover_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """Layers of the land-cover raster: its water class, in a narrower clip."""
+    bodies = layer_bodies(spark, sf)
+    cover = placed_pixels(spark, sf).withColumn("value", F.col("landcover"))
+    # A centre exactly at the clip's edge would depend on rounding, so the share is odd.
+    clip = regions.pixels_near(bodies, cover, "k", 0.16, (PX / 2, PY / 2), 0.25)
+    return in_pixels(regions.landcover_layers(bodies, clip, "k", origin(), smooth=False))
+
+
+@query("pregenerate_layers", _REGIONS + _STATES.format(thresholds="[50, 90]") .replace("SELECT b.k", "SELECT cast(0 AS BIGINT) AS again, b.k"))
+def pregenerate_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored layers of all bodies after three jobs: one threshold, both in two
+    batches, and both again, which has nothing to do."""
+    bodies, path = layer_bodies(spark, sf), new_shared_path(spark, "layers")
+
+    def build(own: DataFrame) -> DataFrame:
+        return in_pixels(layers_of(spark, sf, smooth=False, bodies=own))
+
+    regions.pregenerate(bodies, build, path, "k", [50])
+    regions.pregenerate(bodies, build, path, "k", [50, 90], batches=2)
+    again = regions.pregenerate(bodies, build, path, "k", [50, 90])
+    return regions.layer_sink(spark, path).withColumn("again", F.lit(again).cast("long"))
 
 
 @query("water_layers")
