@@ -58,55 +58,6 @@ def valid_ratio(pixels: DataFrame, by: list[str], bands: list[str]) -> DataFrame
     return pixels.groupBy(*by).agg((F.count_if(hit) / F.count(F.lit(1))).alias("valid_ratio"))
 
 
-def mosaic_first(pixels: DataFrame, order: str, value: str, bounds: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """One value per target pixel ``(grow, gcol)``: the first source wins."""
-    kept = pixels
-    if bounds is not None:
-        r0, c0, r1, c1 = bounds
-        kept = kept.where(F.col("grow").between(r0, r1) & F.col("gcol").between(c0, c1))
-    return kept.groupBy("grow", "gcol").agg(F.min_by(value, order).alias(value))
-
-
-def mosaic_priority(pixels: DataFrame, bands: list[str], source: str, per_band: bool = False) -> DataFrame:
-    """Per target pixel the non-zero image with the highest valid ratio.
-
-    ``per_band`` fills every band on its own, as the clip variant does.
-    """
-    rank = F.struct(F.col("valid_ratio").alias("v"), (-F.col(source)).alias("s"))
-    if per_band:
-        picks = [F.coalesce(F.max_by(F.when(F.col(b) != 0, F.col(b)), F.when(F.col(b) != 0, rank)), F.lit(0)).alias(b) for b in bands]
-        return pixels.groupBy("grow", "gcol").agg(*picks)
-    filled = F.lit(False)
-    for b in bands:
-        filled = filled | (F.col(b) != 0)
-    best = pixels.where(filled).groupBy("grow", "gcol").agg(F.max_by(F.struct(*bands, source), rank).alias("b"))
-    return best.select("grow", "gcol", "b.*")
-
-
-def warp(target: DataFrame, source: DataFrame, value: str, method: str = "nearest") -> DataFrame:
-    """Resample ``source`` onto ``target`` pixels that carry source coordinates.
-
-    ``target`` has ``grow, gcol, raster_id`` and ``sx, sy`` in source pixel units (centres
-    at .5). Each target pixel meets its one or four source pixels by an equi-join.
-    """
-    cells = source.select("raster_id", "prow", "pcol", F.col(value).cast("double").alias("_v"))
-    if method == "nearest":
-        hit = target.withColumns({"prow": F.floor("sy").cast("long"), "pcol": F.floor("sx").cast("long")})
-        return hit.join(cells, ["raster_id", "prow", "pcol"]).select("grow", "gcol", "raster_id", F.col("_v").alias(value))
-    x, y = F.col("sx") - 0.5, F.col("sy") - 0.5
-    corner = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (0, 1) for dx in (0, 1)])
-    spread = target.withColumns({"fx": x - F.floor(x), "fy": y - F.floor(y), "c": F.explode(corner)}).withColumns(
-        {
-            "prow": (F.floor(y) + F.col("c.dy")).cast("long"),
-            "pcol": (F.floor(x) + F.col("c.dx")).cast("long"),
-            "w": F.when(F.col("c.dx") == 1, F.col("fx")).otherwise(1 - F.col("fx"))
-            * F.when(F.col("c.dy") == 1, F.col("fy")).otherwise(1 - F.col("fy")),
-        }
-    )
-    met = spread.where("w > 0").join(cells, ["raster_id", "prow", "pcol"])
-    return met.groupBy("grow", "gcol", "raster_id").agg((F.sum(F.col("w") * F.col("_v")) / F.sum("w")).alias(value))
-
-
 def band_choice(source: Column, count: Column) -> Column:
     """Display bands: 3, 2, 1 for local images with three bands, else 1, 2, 3."""
     reverse = F.array(F.lit(3), F.lit(2), F.lit(1))
@@ -154,14 +105,6 @@ def output_size(width: Column, height: Column, size: Column, most: int = 1400) -
     )
 
 
-# ------------------------------------------------------------------ block table
-def to_blocks(pixels: DataFrame, by: list[str], bands: list[str], block: int = 256) -> DataFrame:
-    """Pixel table to block table: ``brow, bcol`` and parallel pixel arrays per block."""
-    keyed = pixels.withColumns({"brow": F.floor(F.col("prow") / block), "bcol": F.floor(F.col("pcol") / block)})
-    entry = F.struct("prow", "pcol", *bands)
-    return keyed.groupBy(*by, "brow", "bcol").agg(F.sort_array(F.collect_list(entry)).alias("pixels"))
-
-
 # ----------------------------------------------------------- binary morphology
 def _disk(radius: float) -> list[tuple[int, int]]:
     n = int(np.floor(radius))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waterspark.functions import clean as C
 from waterspark.functions import geometry as G
-from waterspark.operators import raster, regions
+from waterspark.operators import blocks, raster, regions
 from waterspark.plans.fixtures import cte, fixture, with_boxes, m_table
 from waterspark.plans.registry import query
 from waterspark.session import cut_lineage, new_shared_path
@@ -55,8 +55,19 @@ def threshold_mask(spark: SparkSession, sf: str) -> DataFrame:
     + """SELECT prow AS grow, g AS gcol, arg_min(occurrence, raster_id) AS occurrence FROM (SELECT *, pcol + 64*raster_id AS g FROM fx_pixels) WHERE prow BETWEEN 5 AND 120 AND g BETWEEN 10 AND 150 GROUP BY prow, g""",
 )
 def mosaic_first(spark: SparkSession, sf: str) -> DataFrame:
-    p = pixels(spark, sf).select("raster_id", "occurrence", F.col("prow").alias("grow"), (F.col("pcol") + 64 * F.col("raster_id")).alias("gcol"))
-    return raster.mosaic_first(p, "raster_id", "occurrence", (5, 10, 120, 150))
+    packed = blocks.pack(pixels(spark, sf), ["raster_id"], ["occurrence"], 48)
+    made = blocks.mosaic(packed, ["occurrence"], "raster_id", ["raster_id"], "first", F.lit(0), 64 * F.col("raster_id"), (5, 10, 120, 150), 64)
+    return as_target(made, ["occurrence"])
+
+
+def as_target(made: DataFrame, bands: list[str], kinds: dict[str, str] | None = None) -> DataFrame:
+    return blocks.unpack(made, [], bands, kinds).withColumnsRenamed({"prow": "grow", "pcol": "gcol"})
+
+
+def ranked_mosaic(spark: SparkSession, sf: str, rule: str) -> DataFrame:
+    """Mosaic of the images by their valid ratio, the smaller id first among equals."""
+    packed = blocks.pack(spark.sql(_PRIO, p=pixels(spark, sf)), ["raster_id", "valid_ratio"], ["band1", "band2"], 48)
+    return blocks.mosaic(packed, ["band1", "band2"], "raster_id", [F.desc("valid_ratio"), "raster_id"], rule, F.lit(0), F.lit(0), block=64)
 
 
 _PRIO = "SELECT *, prow AS grow, pcol AS gcol, CASE raster_id WHEN 0 THEN 0.25e0 ELSE 0.75e0 END AS valid_ratio, CASE WHEN occurrence > 60 THEN occurrence ELSE 0 END AS band2 FROM {p}"
@@ -68,8 +79,8 @@ _PRIO = "SELECT *, prow AS grow, pcol AS gcol, CASE raster_id WHEN 0 THEN 0.25e0
     + """SELECT grow, gcol, raster_id, band1, band2 FROM (SELECT *, row_number() OVER (PARTITION BY grow, gcol ORDER BY valid_ratio DESC, raster_id) AS rn FROM q WHERE band1 <> 0 OR band2 <> 0) WHERE rn = 1""",
 )
 def mosaic_priority(spark: SparkSession, sf: str) -> DataFrame:
-    q = spark.sql(_PRIO, p=pixels(spark, sf))
-    return raster.mosaic_priority(q, ["band1", "band2"], "raster_id")
+    made = as_target(ranked_mosaic(spark, sf, "filled"), ["source", "band1", "band2"], {"source": "<i8"})
+    return made.withColumn("raster_id", F.col("source").cast("int")).drop("source")
 
 
 @query(
@@ -78,8 +89,7 @@ def mosaic_priority(spark: SparkSession, sf: str) -> DataFrame:
     + """SELECT grow, gcol, coalesce(arg_max(band1, valid_ratio) FILTER (band1 <> 0), 0) AS band1, coalesce(arg_max(band2, valid_ratio) FILTER (band2 <> 0), 0) AS band2 FROM q GROUP BY grow, gcol""",
 )
 def mosaic_per_band(spark: SparkSession, sf: str) -> DataFrame:
-    q = spark.sql(_PRIO, p=pixels(spark, sf))
-    return raster.mosaic_priority(q, ["band1", "band2"], "raster_id", per_band=True)
+    return as_target(ranked_mosaic(spark, sf, "band"), ["band1", "band2"])
 
 
 @query(
@@ -104,9 +114,15 @@ _TARGET = "SELECT DISTINCT raster_id, l_suppkey % 100 AS grow, l_partkey % 100 A
     + """SELECT grow, gcol, t.raster_id, cast(p.occurrence AS DOUBLE) AS occurrence FROM t JOIN fx_pixels p ON p.raster_id = t.raster_id AND p.prow = floor((grow+0.5)*1.25) AND p.pcol = floor((gcol+0.5)*1.25)""",
 )
 def warp_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    t = spark.sql(_TARGET, lineitem=spark.read.parquet(f"{sf}/lineitem.parquet"))
-    t = t.withColumns({"sx": (F.col("gcol") + 0.5) * 1.25, "sy": (F.col("grow") + 0.5) * 1.25})
-    return raster.warp(t, pixels(spark, sf), "occurrence")
+    return warped(spark, sf, "nearest")
+
+
+def warped(spark: SparkSession, sf: str, method: str) -> DataFrame:
+    target = spark.sql(_TARGET, lineitem=spark.read.parquet(f"{sf}/lineitem.parquet")).withColumnsRenamed({"grow": "prow", "gcol": "pcol"})
+    grid, source = blocks.pack(target, ["raster_id"], [], 64), blocks.pack(pixels(spark, sf), ["raster_id"], ["occurrence"], 48)
+    affine = F.struct(*[F.lit(v).alias(c) for c, v in (("xc", 1.25), ("xr", 0.0), ("x0", 0.0), ("yc", 0.0), ("yr", 1.25), ("y0", 0.0))])
+    made = blocks.warp(grid, source, "occurrence", affine, method, block=48)
+    return blocks.unpack(made, ["raster_id"], ["occurrence"], {"occurrence": "<f8"}).withColumnsRenamed({"prow": "grow", "pcol": "gcol"})
 
 
 @query(
@@ -117,16 +133,14 @@ def warp_nearest(spark: SparkSession, sf: str) -> DataFrame:
     SELECT grow, gcol, w.raster_id, round(sum(wt*p.occurrence)/sum(wt), 6) AS occurrence FROM w JOIN fx_pixels p ON p.raster_id = w.raster_id AND p.prow = floor(y) + dy AND p.pcol = floor(x) + dx WHERE wt > 0 GROUP BY grow, gcol, w.raster_id""",
 )
 def warp_bilinear(spark: SparkSession, sf: str) -> DataFrame:
-    t = spark.sql(_TARGET, lineitem=spark.read.parquet(f"{sf}/lineitem.parquet"))
-    t = t.withColumns({"sx": (F.col("gcol") + 0.5) * 1.25, "sy": (F.col("grow") + 0.5) * 1.25})
-    return raster.warp(t, pixels(spark, sf), "occurrence", "bilinear").withColumn("occurrence", F.round("occurrence", 6))
+    return warped(spark, sf, "bilinear").withColumn("occurrence", F.round("occurrence", 6))
 
 
 @query("block_table", cte("fx_pixels") + "SELECT raster_id, cast(floor(prow/32) AS BIGINT) AS brow, cast(floor(pcol/32) AS BIGINT) AS bcol, count(*) AS n, cast(sum(occurrence) AS BIGINT) AS total FROM fx_pixels GROUP BY 1, 2, 3")
 def block_table(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = raster.to_blocks(pixels(spark, sf), ["raster_id"], ["occurrence"], 32)
-    total = F.aggregate("pixels", F.lit(0).cast("bigint"), lambda a, p: a + p["occurrence"])
-    return blocks.select("raster_id", "brow", "bcol", F.size("pixels").cast("bigint").alias("n"), total.alias("total"))
+    packed = blocks.pack(pixels(spark, sf), ["raster_id"], ["occurrence"], 32)
+    back = blocks.unpack(packed, ["raster_id", "brow", "bcol"], ["occurrence"])
+    return back.groupBy("raster_id", "brow", "bcol").agg(F.count(F.lit(1)).alias("n"), F.sum("occurrence").alias("total"))
 
 
 _OPEN = """, m AS (SELECT raster_id, prow, pcol FROM fx_pixels WHERE occurrence >= 40), d AS (SELECT * FROM (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)) v(i,j)),
