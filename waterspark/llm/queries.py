@@ -195,9 +195,9 @@ def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
         SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM damaged
     ), faults AS (
         SELECT conv_id, turn, i, role, text, role[1] AS initial,
-               CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+               CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
                     WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
-                    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault,
+                    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' END AS fault,
                lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair
         FROM ordered
     ), inserts(s, t, roles) AS (
