@@ -30,7 +30,7 @@ SHARED = 2
 PIECE = 4096
 SLICE_CHARS = 1_000_000
 #: Groups are compared in runs of about so many rows or bytes.
-HELD_ROWS, HELD_BYTES = 100_000, 1 << 23
+HELD_ROWS, HELD_BYTES = 100_000, 1 << 22
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
