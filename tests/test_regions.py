@@ -79,7 +79,67 @@ def test_large_regions_stay_one_polygon(spark):
         assert len(whole[0].geometry[0]) == 3
 
 
+def unit_sides(cells):
+    """Outline sides of a mask, one by one: the water pixel on the left."""
+    wet = set(cells)
+    for r, c in cells:
+        for beyond, a, b in (((r + 1, c), (c, -r - 1), (c + 1, -r - 1)), ((r, c + 1), (c + 1, -r - 1), (c + 1, -r)), ((r - 1, c), (c + 1, -r), (c, -r)), ((r, c - 1), (c, -r), (c, -r - 1))):
+            if beyond not in wet:
+                yield (a, b)
+
+
+def drawn_sides(geometry):
+    for ring in (ring for part in geometry for ring in part):
+        for p, q in zip(ring, ring[1:]):
+            n = int(abs(p.x - q.x) + abs(p.y - q.y))
+            dx, dy = (q.x - p.x) / n, (q.y - p.y) / n
+            yield from (((p.x + i * dx, p.y + i * dy), (p.x + i * dx + dx, p.y + i * dy + dy)) for i in range(n))
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_outlines_are_all_sides_once_and_do_not_depend_on_blocks(spark, seed):
+    rnd = random.Random(seed)
+    cells = [(r - 9, c - 7) for r in range(26) for c in range(26) if rnd.random() < 0.62]
+    want = sorted(unit_sides(cells))
+    seen = []
+    for block in (2, 5, 64):
+        rows = regions.region_outlines(mask(spark, cells), BY, block=block).collect()
+        assert all(len(row.geometry) == 1 for row in rows)
+        assert sorted(side for row in rows for side in drawn_sides(row.geometry)) == want
+        seen.append(sorted(sorted(tuple((p.x, p.y) for p in ring) for part in row.geometry for ring in part) for row in rows))
+    assert seen[1:] == seen[:-1]
+
+
+def test_one_ring_over_very_many_blocks(spark):
+    """A spiral of one region: its outline is one ring of several hundred chains."""
+    cells, r, c, dr, dc, seen = [], 0, 0, 0, 1, set()
+    n = 41
+    while True:
+        cells.append((r, c))
+        seen.add((r, c))
+        for _ in range(2):
+            a, b = r + dr, c + dc
+            if 0 <= a < n and 0 <= b < n and (a, b) not in seen and (a + dr, b + dc) not in seen:
+                break
+            dr, dc = dc, -dr
+        else:
+            break
+        r, c = r + dr, c + dc
+    got = regions.region_outlines(mask(spark, cells), BY, block=3).collect()
+    assert len(got) == 1 and len(got[0].geometry) == 1 and len(got[0].geometry[0]) == 1
+    assert sorted(drawn_sides(got[0].geometry)) == sorted(unit_sides(cells))
+
+
+def test_chains_of_unlike_keys_and_regions_stay_apart(spark):
+    cells = [(r, c) for r in range(9) for c in range(9) if (r + c) % 3]
+    both = mask(spark, cells, 0).unionAll(mask(spark, [(c, r) for r, c in RING], 1))
+    rows = regions.region_outlines(both, BY, block=2).collect()
+    for raster_id, own in ((0, cells), (1, RING)):
+        assert sorted(s for row in rows if row.raster_id == raster_id for s in drawn_sides(row.geometry)) == sorted(unit_sides(own))
+
+
 def test_empty_mask(spark):
+    assert regions.region_outlines(mask(spark, [(0, 0)]).where("prow > 5"), BY).count() == 0
     assert regions.mask_regions(mask(spark, [(0, 0)]).where("prow > 5"), BY).count() == 0
 
 

@@ -148,32 +148,145 @@ def mask_regions(mask: DataFrame, by: list[str], block: int = BLOCK) -> DataFram
 
 
 # ------------------------------------------------------------------- outlines
-def block_edges(labelled: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
-    """Directed unit edges around each block's water, interior on the left.
+#: Sides of a pixel, counter-clockwise: offset of the pixel beyond, then the corners from
+#: and to which the outline runs, as (column, row) offsets. The pixel lies on the left.
+SIDES = (((1, 0), (0, 1), (1, 1)), ((0, 1), (1, 1), (1, 0)), ((-1, 0), (1, 0), (0, 0)), ((0, -1), (0, 0), (0, 1)))
+
+
+def with_rim(labelled: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
+    """Labelled pixels, and copies of those at block borders for the blocks that they touch
+    (``own`` is false there)."""
+    own = labelled.select(*by, "brow", "bcol", "prow", "pcol", "label").withColumn("own", F.lit(True))
+    at_border = [F.pmod(c, F.lit(block)).isin(0, block - 1) for c in ("prow", "pcol")]
+    around = F.array_distinct(
+        F.array(*[F.struct(F.floor((F.col("prow") + i) / block).alias("brow"), F.floor((F.col("pcol") + j) / block).alias("bcol")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    )
+    copies = (
+        labelled.where(at_border[0] | at_border[1])
+        .select(*by, F.col("brow").alias("r"), F.col("bcol").alias("c"), "prow", "pcol", "label", F.explode(around).alias("to"))
+        .where((F.col("to.brow") != F.col("r")) | (F.col("to.bcol") != F.col("c")))
+        .select(*by, "to.brow", "to.bcol", "prow", "pcol", "label", F.lit(False).alias("own"))
+    )
+    return own.unionByName(copies)
+
+
+def _block_chains(r: np.ndarray, c: np.ndarray, label: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    """Outline chains of a block's own pixels: label, first side, side that follows the
+    last one, whether the chain is closed, and its corners.
+
+    After a side comes the next side of the same pixel if that is outline too, else the
+    same side of the pixel beyond, else the side before of the diagonal pixel: parts that
+    meet only in a corner stay apart. The rule looks at neighbours only, so chains of
+    different blocks meet without a search.
+    """
+    low = r.min() - 1, c.min() - 1
+    wet = np.zeros((r.max() - low[0] + 2, c.max() - low[1] + 2), dtype=bool)
+    mine = np.full(wet.shape, -1)
+    wet[r - low[0], c - low[1]] = True
+    pr, pc, lab = r[own], c[own], label[own]
+    mine[pr - low[0], pc - low[1]] = np.arange(len(pr))
+
+    def at(grid: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return grid[i - low[0], j - low[1]]
+
+    rows, cols, side, after = [], [], [], []
+    for s, ((di, dj), _, _) in enumerate(SIDES):
+        on = ~at(wet, pr + di, pc + dj)
+        i, j = pr[on], pc[on]
+        ni, nj = SIDES[(s + 1) % 4][0]
+        ahead = at(wet, i + ni, j + nj)
+        turned = ahead & at(wet, i + ni + di, j + nj + dj)
+        rows.append(i)
+        cols.append(j)
+        side.append(np.full(len(i), s))
+        after.append(np.stack([i + ni * ahead + di * turned, j + nj * ahead + dj * turned, np.where(turned, s + 3, np.where(ahead, s, s + 1)) % 4]))
+    rows, cols, side, after = np.concatenate(rows), np.concatenate(cols), np.concatenate(side), np.concatenate(after, axis=1)
+    number = np.full((len(pr), 4), -1)
+    pixel = at(mine, rows, cols)
+    number[pixel, side] = np.arange(len(side))
+    there = at(mine, after[0], after[1])
+    follow = np.where(there >= 0, number[there, after[2]], -1)
+    ident = (rows * LABEL_STRIDE + cols) * 4 + side
+    beyond = (after[0] * LABEL_STRIDE + after[1]) * 4 + after[2]
+    x = cols + np.array([a[0] for _, a, _ in SIDES])[side]
+    y = -(rows + np.array([a[1] for _, a, _ in SIDES])[side])
+
+    reached = np.zeros(len(side), dtype=bool)
+    reached[follow[follow >= 0]] = True
+    # Open chains first, from their first sides; what they leave is closed.
+    begins = np.concatenate([np.flatnonzero(~reached), np.argsort(ident)])
+    n_open = int((~reached).sum())
+    steps, used, found = follow.tolist(), bytearray(len(side)), []
+    for k, begin in enumerate(begins.tolist()):
+        chain, e = [], begin
+        while e >= 0 and not used[e]:
+            used[e] = 1
+            chain.append(e)
+            e = steps[e]
+        if not chain:
+            continue
+        chain = np.array(chain)
+        bend = side[chain] != np.roll(side[chain], 1)
+        if k < n_open:
+            bend[0] = True
+        found.append((lab[pixel[begin]], ident[begin], beyond[chain[-1]], k >= n_open, x[chain[bend]], y[chain[bend]]))
+    flat = [np.array([f[i] for f in found], dtype=kind) for i, kind in enumerate((np.int64, np.int64, np.int64, bool))]
+    for i in (4, 5):
+        column = np.empty(len(found), dtype=object)
+        for k, f in enumerate(found):
+            column[k] = f[i]
+        flat.append(column)
+    return flat
+
+
+def outline_chains(labelled: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
+    """Outlines of each block's water as chains of corners, water on the left:
+    ``by, label, first, following, closed, xs, ys``.
 
     Corners are in pixel units with y down the rows negated, so that areas are positive.
+    A side's number holds for row and column numbers below 2^29.
     """
-    out = [
-        T.StructField("label", T.LongType()),
-        *[T.StructField(c, T.IntegerType()) for c in ("x1", "y1", "x2", "y2")],
-        T.StructField("border", T.BooleanType()),
-    ]
+    longs = [T.StructField(c, T.LongType()) for c in ("label", "first", "following")]
+    corners = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("xs", "ys")]
+    out = [*longs, T.StructField("closed", T.BooleanType()), *corners]
 
     def work(head: dict, v: dict[str, np.ndarray]) -> list[np.ndarray]:
-        r, c, lab = v["prow"].astype(np.int64), v["pcol"].astype(np.int64), v["label"]
-        i, j = r - head["brow"] * block + 1, c - head["bcol"] * block + 1
-        low, high = (i.min() - 1, j.min() - 1), (i.max() + 1, j.max() + 1)
-        grid = np.zeros((high[0] - low[0] + 1, high[1] - low[1] + 1), dtype=bool)
-        grid[i - low[0], j - low[1]] = True
-        found = []
-        # neighbour offset, then the edge from corner to corner (column, row offsets)
-        for di, dj, a, b in ((1, 0, (0, 1), (1, 1)), (0, 1, (1, 1), (1, 0)), (-1, 0, (1, 0), (0, 0)), (0, -1, (0, 0), (0, 1))):
-            on = ~grid[i + di - low[0], j + dj - low[1]]
-            outside = (i + di < 1) | (i + di > block) | (j + dj < 1) | (j + dj > block)
-            found.append((lab[on], c[on] + a[0], -(r[on] + a[1]), c[on] + b[0], -(r[on] + b[1]), outside[on]))
-        return [np.concatenate(part) for part in zip(*found)]
-
-    return map_groups(labelled, [*by, "brow", "bcol"], ["prow", "pcol", "label"], out, work)
+        return _block_chains(v["prow"].astype(np.int64), v["pcol"].astype(np.int64), v["label"], v["own"].astype(bool))
+
+    made = map_groups(with_rim(labelled, by, block), [*by, "brow", "bcol"], ["prow", "pcol", "label", "own"], out, work)
+    return made.drop("brow", "bcol")
+
+
+def rank_rings(links: DataFrame, by: list[str]) -> DataFrame:
+    """Rings of the links ``by, first, following``, ranked by pointer jumping: ``by, first,
+    ring, back`` with the smallest ``first`` of the ring and the steps up to it.
+
+    In each round a chain learns the smallest number among twice as many followers, so a
+    ring of n chains takes log2(n) rounds of one equi-join on unique keys. A round without
+    change ends it. No step gathers a ring.
+    """
+    state = cut_lineage(links.select(*by, "first", F.col("following").alias("ahead"), F.col("first").alias("ring"), F.lit(0).cast("long").alias("back")))
+
+    def mark(df: DataFrame) -> object:
+        return df.agg(F.sum(F.col("ring").cast("decimal(38,0)"))).first()[0]
+
+    span, seen = 1, mark(state)
+    while True:
+        other = state.select(*by, F.col("first").alias("ahead"), F.col("ahead").alias("_ahead"), F.col("ring").alias("_ring"), F.col("back").alias("_back"))
+        nearer = F.col("ring") <= F.col("_ring")
+        state = cut_lineage(
+            state.join(other, [*by, "ahead"]).select(
+                *by,
+                "first",
+                F.col("_ahead").alias("ahead"),
+                F.least("ring", "_ring").alias("ring"),
+                F.when(nearer, F.col("back")).otherwise(F.col("_back") + span).alias("back"),
+            )
+        )
+        now = mark(state)
+        if now == seen:
+            return state.select(*by, "first", "ring", "back")
+        span, seen = 2 * span, now
 
 
 def region_outlines(mask: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
@@ -187,30 +300,43 @@ def outlines(
 ) -> DataFrame:
     """Polygons of labelled regions: ``by, region, geometry``, one row per region.
 
-    ``keep`` optionally lists the regions wanted. Edges that two blocks both report along
-    their common border cancel.
+    ``keep`` optionally lists the regions wanted. Blocks turn their unit sides into chains
+    of corners; chains that leave their block are ranked into rings; a task then holds the
+    corners of one ring, and at last those of the one row that the polygon is.
     """
-    edges = with_region(block_edges(labelled, by, block), mapping, by).drop("label")
+    chains = with_region(outline_chains(labelled, by, block), mapping, by).drop("label")
     if keep is not None:
-        edges = edges.join(keep.select(*by, "region").distinct(), [*by, "region"], "left_semi")
-    ends = ["x1", "y1", "x2", "y2"]
-    inner = edges.where(~F.col("border")).select(*by, "region", *ends)
-    line = F.array_sort(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))))
-    met = edges.where("border").groupBy(*by, line.alias("line")).agg(F.collect_list(F.struct("region", *ends)).alias("sides"))
-    # One side: a true outline. Two sides: inside the region.
-    outer = met.where(F.size("sides") == 1).select(*by, F.explode("sides").alias("s")).select(*by, "s.*")
-    pack = F.collect_list(F.struct(*ends)).alias("edges")
-    return inner.unionByName(outer).groupBy(*by, "region").agg(pack).withColumn("geometry", _traced("edges")).drop("edges")
+        chains = chains.join(keep.select(*by, "region").distinct(), [*by, "region"], "left_semi")
+    chains = cut_lineage(chains)
+    rings = chains.where("closed").select(*by, "region", F.col("first").alias("ring"), "xs", "ys")
+    parts = chains.where(~F.col("closed"))
+    if not parts.isEmpty():
+        ranked = parts.join(rank_rings(parts, by), [*by, "first"])
+        # Every step goes one nearer to the ring's smallest number.
+        whole = ranked.groupBy(*by, "region", "ring").agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "xs", "ys"))).alias("c"))
+        rings = rings.unionByName(whole.select(*by, "region", "ring", F.flatten("c.xs").alias("xs"), F.flatten("c.ys").alias("ys")))
+    pack = F.array_sort(F.collect_list(F.struct("ring", "xs", "ys"))).alias("rings")
+    return rings.groupBy(*by, "region").agg(pack).withColumn("geometry", _assembled("rings")).drop("rings")
+
+
+def _closed_ring(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """A ring of its true corners that begins at the smallest one, however it was cut."""
+    points = np.column_stack([xs, ys]).astype(np.float64)
+    ring = K.drop_collinear(np.vstack([points, points[:1]]))[:-1]
+    begin = np.lexsort((ring[:, 1], ring[:, 0]))[0]
+    ring = np.roll(ring, -begin, axis=0)
+    return np.vstack([ring, ring[:1]])
 
 
 @F.arrow_udf(G.GEOMETRY_TYPE)
-def _traced(edges: pa.Array) -> pa.Array:
-    """Unit edges of outlines to polygons."""
-    flat, off = edges.flatten(), S.list_offsets(edges)
-    pts = np.column_stack([flat.field(c).to_numpy() for c in ("x1", "y1", "x2", "y2")]).astype(np.float64)
-    return S.geometry_array(
-        [K.rings_to_polygons(K.link_rings(pts[off[i] : off[i + 1]])) for i in range(len(edges))]
-    )
+def _assembled(rings: pa.Array) -> pa.Array:
+    """Rings of each region to its polygons."""
+    made = []
+    for row in range(len(rings)):
+        cells = rings[row].values
+        xs, ys, off = cells.field("xs").flatten().to_numpy(), cells.field("ys").flatten().to_numpy(), S.list_offsets(cells.field("xs"))
+        made.append(K.rings_to_polygons([_closed_ring(xs[off[i] : off[i + 1]], ys[off[i] : off[i + 1]]) for i in range(len(cells))]))
+    return S.geometry_array(made)
 
 
 # ------------------------------------------------------------- layers per body
