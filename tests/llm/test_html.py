@@ -1,3 +1,5 @@
+import random
+import re
 import time
 
 import pytest
@@ -37,6 +39,51 @@ def test_broken_pages_end_soon(page):
     assert time.time() - began < 20
 
 
+BLOWING = [
+    "<table><tr><td>" + "x" * 160_000 + "<td>y" + "<tr><td>a<td>b" * 1_600 + "</table>",  # one wide cell, many rows
+    "<table>" + "<tr><td colspan=1000>a<td>b" * 2_000 + "</table>",  # wide spans
+    "<table><tr>" + "<td>" * 3_000 + "a<td>" + "b<br>" * 3_000 + "</table>",  # many cells, one high
+    "<table>" + "<tr><td>" + "w" * 100 + "<td>v" + "<tr><td>a<td>b" * 3_000 + "</table>",  # narrow below a wide one
+    "<table><tr><td>" + "k" * 110 + "<td>" + "<table><tr><td>a<td>" * 11 + "<br>b" * 5_000,  # nested
+    "<table><tr><td colspan=1000>a<td>b</table>" * 2_000,  # many small ones
+]
+
+
+@pytest.mark.parametrize("page", BLOWING)
+def test_tables_do_not_grow(page):
+    began = time.time()
+    text = page_text(page)
+    assert len(text) <= 8 * len(page) and time.time() - began < 20
+    plain = "".join(re.sub("<[^>]*>", "", page).split())
+    assert sorted("".join(text.split())) == sorted(plain)
+
+
+def test_the_long_cell_costs_no_padding():
+    page = BLOWING[0]
+    assert len(page_text(page)) < 2 * len(page)
+    rows = page_text(page).split("\n")
+    assert rows[0] == "x" * 160_000 + "  y" and set(rows[1:]) == {"a  b"}
+
+
+def test_random_tables_as_laid_out_cell_by_cell():
+    """Plain layout of small tables: every cell by itself, padded to its column."""
+    rnd = random.Random(5)
+    for _ in range(300):
+        table = [["".join(rnd.choice("abc中 ") for _ in range(rnd.randint(0, 9))).strip() for _ in range(rnd.randint(2, 4))] for _ in range(rnd.randint(1, 5))]
+        table = [[re.sub(" +", " ", cell) for cell in row] for row in table]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td>{cell}" for cell in row) for row in table) + "</table>"
+        seen = [row for row in table if any(row)]
+        wide = [max(sum(2 if ch == "中" else 1 for ch in row[c]) for row in seen if c < len(row)) for c in range(max(map(len, seen), default=0))]
+        lines = []
+        for row in seen:
+            line = ""
+            for c, cell in enumerate(row):
+                line += cell + " " * (wide[c] - sum(2 if ch == "中" else 1 for ch in cell)) + "  "
+            lines.append(line.rstrip())
+        # Indentation of a first empty cell is part of the layout.
+        assert page_text(page) == "\n".join(lines), page
+
+
 def test_odd_rows(spark):
     rows = [(i, page) for i, (page, _) in enumerate(CASES)] + [(None, "<p>x"), (3, None), (3, None)]
     pages = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "'t' AS text", "'u' AS url").repartition(3)

@@ -69,3 +69,17 @@ def test_odd_rows(labelled, odd_docs, odd_rows, no_docs):
     assert len({round(r["score"], 9) for r in quality.score_quality(odd_docs, plain).collect()}) == 1
     none = quality.train(docs, labels.filter("doc_id < 0"))
     assert {r["score"] for r in quality.score_quality(odd_docs, none).collect()} == {0.5}
+
+
+def test_one_id_on_most_rows_is_one_row_of_the_sample(labelled, spark, monkeypatch):
+    docs, labels, truth = labelled
+    crowd = spark.range(0, 3000, 1, 7).selectExpr("0L AS doc_id", "concat('!! text ', id % 50) AS text")
+    taken = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda own, lengths, counts, y: taken.append(len(counts)) or fit(own, lengths, counts, y))
+    model = quality.train(docs.unionByName(crowd), labels)
+    assert taken == [len(truth)]
+    # The large ids are still learned from: their kinds are told apart.
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, model).collect()}
+    assert np.mean([(got[i] >= quality.THRESHOLD) == (y == 1) for i, y in truth.items() if i]) >= 0.95
+    assert quality.train(docs.unionByName(crowd).repartition(3), labels).score([b"calm lake"]).tolist() == model.score([b"calm lake"]).tolist()

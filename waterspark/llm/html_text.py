@@ -15,6 +15,11 @@ from waterspark.llm.shared import map_slices, text_of
 SLICE_CHARS = 1_000_000
 #: Tables within more tables than this are laid out as blocks.
 TABLE_DEPTH = 12
+#: Cells wider than this do not widen their column: they end the alignment of their row.
+WIDEST = 120
+#: A table whose aligned form is longer than so many times its visible signs and cells is
+#: not aligned: its cells stand two spaces apart.
+PADDED = 8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
@@ -310,7 +315,12 @@ def rows_of(table: Node) -> list[list[tuple[Node, int]]]:
 
 
 def lay_table(table: Node, depth: int) -> list[str]:
-    """Lines of a table with its columns aligned, two spaces apart."""
+    """Lines of a table with its columns aligned, two spaces apart.
+
+    Columns are as wide as their widest cell of at most ``WIDEST``. Padding is bounded by
+    the table's visible signs and cells, whatever its spans and cell heights: beyond that bound the
+    table keeps all its text, row by row, without alignment.
+    """
     laid = [[(render(cell, depth + 1).split("\n"), span) for cell, span in row] for row in rows_of(table)]
     laid = [row for row in laid if any(line for lines, _ in row for line in lines)]
     widths: dict[int, int] = {}
@@ -318,21 +328,46 @@ def lay_table(table: Node, depth: int) -> list[str]:
         column = 0
         for lines, span in row:
             if span == 1 and len(row) > 1:
-                widths[column] = max(widths.get(column, 0), *map(width, lines))
+                widest = max(map(width, lines))
+                widths[column] = max(widths.get(column, 0), widest if widest <= WIDEST else 0)
             column += span
-    out = []
+    rooms, aligned, signs, cells = [], 0, 0, 0
+    upto = [0]
+    for c in range(max((sum(span for _, span in row) for row in laid), default=0)):
+        upto.append(upto[-1] + widths.get(c, 0) + 2)
     for row in laid:
+        column, own = 0, []
+        for _, span in row:
+            own.append(upto[column + span] - upto[column] - 2)
+            column += span
+        rooms.append(own)
+        cells += len(row)
+        aligned += (sum(own) + 2 * len(own)) * max(len(lines) for lines, _ in row)
+        signs += sum(len(line) - line.count(" ") for lines, _ in row for line in lines)
+    if aligned > PADDED * (signs + cells):
+        return [line for row in laid for line in unaligned([lines for lines, _ in row])]
+    out = []
+    for row, own in zip(laid, rooms):
         for n in range(max(len(lines) for lines, _ in row)):
-            parts, column = [], 0
-            for lines, span in row:
+            parts = []
+            for (lines, _), room in zip(row, own):
                 line = lines[n] if n < len(lines) else ""
-                room = sum(widths.get(c, 0) + 2 for c in range(column, column + span)) - 2
                 parts.append(line + " " * max(0, room - width(line)))
-                column += span
             out.append("  ".join(parts).rstrip(" "))
     return out
 
 
+def unaligned(cells: list[list[str]]) -> list[str]:
+    """Lines of a row whose cells stand two spaces apart, empty ones left out. The work is
+    that of the lines there are, not of cells times the highest one."""
+    out: list[list[str]] = [[] for _ in range(max(map(len, cells)))]
+    for lines in cells:
+        for n, line in enumerate(lines):
+            if line:
+                out[n].append(line)
+    return ["  ".join(parts) for parts in out]
+
+
 def render(root: Node, depth: int = 0) -> str:
     """Visible text below a node: blocks on lines of their own, list items marked and
     indented, tables aligned. Works along a stack, so nesting has no limit."""
@@ -401,7 +436,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """(page_id, text) of every row: all visible text of the whole page.
 
     A null or empty page has an empty text; repeated rows repeat; other columns do not
-    matter; broken markup never fails. Row by row in Arrow slices, without a shuffle.
+    matter; broken markup never fails; a text is of the order of its page's size, as tables
+    that would need more padding are not aligned. Row by row in Arrow slices, without a shuffle.
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -162,7 +162,11 @@ def fit(own: np.ndarray, lengths: np.ndarray, counts: np.ndarray, good: np.ndarr
         return LineModel(np.zeros(4 * WIDTH + 1), np.zeros((2, 2)), (0.0, float(np.log(share / (1 - share)))))
     x = with_neighbours(own, counts)
     line_doc = np.repeat(np.arange(len(counts)), counts)
-    train = np.arange(len(counts)) % 4 != 0
+    # Every fourth document of each label is left for the curve, whatever the order.
+    turn = np.empty(len(counts), dtype=np.int64)
+    for c in (0, 1):
+        turn[good == c] = np.arange((good == c).sum())
+    train = turn % 4 != 3
     rate = np.array([1 / max(1, (good[train] == c).sum()) for c in (0, 1)])
     weight = np.where(train, rate[good], 0.0)
     share = good[line_doc]
@@ -220,8 +224,9 @@ def train(
 
     ``labels`` holds ids and labels 0 or 1 that may be learned from; others, and null ids,
     are left out; an id labelled twice counts as bad if any label does. The sample is
-    chosen among ids, so only its texts are turned into features, and only those come to
-    the driver.
+    chosen among ids; of the rows of one id that with the smallest hash of its text is
+    taken, so the bound holds for rows too, and one id on most rows is one row. Only its
+    texts are turned into features, and only those come to the driver.
     """
     chosen = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
@@ -232,8 +237,10 @@ def train(
         .limit(sample_docs)
     )
     slim = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text"))
-    # The chosen ids are at most sample_docs rows.
-    known = slim.join(F.broadcast(chosen), "_id").select("_id", "text", "_label")
+    # The chosen ids are at most sample_docs rows, and so are their texts' smallest hashes.
+    hashed = slim.withColumn("_hash", F.xxhash64("text"))
+    one = hashed.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("_hash").alias("_hash"), F.min("_label").alias("_label"))
+    known = hashed.join(F.broadcast(one), ["_id", "_hash"]).select("_id", "text", "_label")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, lengths, counts = line_features(batch.column(1).cast(pa.binary()).to_pylist())
@@ -247,8 +254,10 @@ def train(
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["_id", "_label", "lines"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = map_slices(known, "text", SLICE_CHARS, f"_id {kind}, _label int, lines binary", work).collect()
-    rows = sorted(rows, key=lambda r: (r["_id"], bytes(r["lines"])))[: 2 * sample_docs]
+    made = map_slices(known, "text", SLICE_CHARS, f"_id {kind}, _label int, lines binary", work)
+    # Rows that repeat a text of an id are one.
+    rows = made.groupBy("_id").agg(F.min("_label").alias("_label"), F.min("lines").alias("lines")).collect()
+    rows = sorted(rows, key=lambda r: r["_id"])
     parts = [np.frombuffer(bytes(r["lines"]), dtype=np.float32).reshape(-1, WIDTH + 1).astype(np.float64) for r in rows]
     lines = np.concatenate(parts) if parts else np.zeros((0, WIDTH + 1))
     counts = np.array([len(p) for p in parts], dtype=np.int64)
@@ -273,7 +282,12 @@ def score_quality(docs: DataFrame, model: LineModel, id_col: str = "doc_id", tex
 
 
 def keep_good(docs: DataFrame, model: LineModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score reaches the threshold, whole rows in one pass."""
+    """The documents whose score reaches the threshold, whole rows in one pass.
+
+    A null or empty text is scored as one empty line and stays or goes by that score; rows
+    that repeat a text share its decision; ids and other columns, of whatever name or null,
+    play no part and stay as they are; an empty table stays empty.
+    """
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
