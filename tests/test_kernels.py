@@ -143,3 +143,72 @@ def test_crossing_test_as_all_pairs_and_fast_on_long_outlines():
     began = time.time()
     assert not K.crosses_itself(K.ring_edges([coast]))
     assert time.time() - began < 20
+
+
+def wheel(n, radius, x, y=0.0, waves=0):
+    t = np.linspace(0, 2 * np.pi, n + 1)
+    r = radius * (1 + 0.2 * np.sin(waves * t))
+    ring = np.column_stack([x + r * np.cos(t), y + r * np.sin(t)])
+    ring[-1] = ring[0]
+    return ring
+
+
+def all_pairs(a, b):
+    origin = np.minimum(a.reshape(-1, 2).min(axis=0), b.reshape(-1, 2).min(axis=0))
+    shift = np.hstack([origin, origin])
+    e, f = np.repeat(a, len(b), axis=0), np.tile(b, (len(a), 1))
+    return max(K._overlap_terms(e - shift, f - shift).sum(), 0.0), K.segment_distance_sq(e, f).min()
+
+
+def measured(a, b):
+    area, square = K.pair_measures(a, np.array([0, len(a)]), b, np.array([0, len(b)]), True)
+    return area[0], square[0]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(70, 300), st.integers(70, 300), st.floats(0, 4), st.floats(-3, 3), st.integers(0, 9))
+def test_swept_pairs_are_those_of_all_edges(n, m, x, y, waves):
+    a, b = K.ring_edges([wheel(n, 1, 0, waves=waves)]), K.ring_edges([wheel(m, 0.7, x, y, waves)])
+    assert len(a) * len(b) > K.SWEEP_FROM
+    area, square = measured(a, b)
+    want, near = all_pairs(a, b)
+    assert area == pytest.approx(want, abs=1e-11)
+    assert square == (0.0 if area > 0 else pytest.approx(near, rel=1e-12))
+
+
+def test_pairs_of_all_sizes_keep_their_rows():
+    shapes = [K.ring_edges([wheel(n, 1, x)]) for n, x in ((5, 0), (200, 0.5), (8, 1), (300, 5))]
+    others = [K.ring_edges([wheel(n, 1, x)]) for n, x in ((6, 0.2), (90, 0), (7, 9), (80, 1))]
+    off = [np.concatenate([[0], np.cumsum([len(s) for s in side])]) for side in (shapes, others)]
+    area, square = K.pair_measures(np.concatenate(shapes), off[0], np.concatenate(others), off[1], True)
+    for k in range(4):
+        want, near = all_pairs(shapes[k], others[k])
+        assert area[k] == pytest.approx(want, abs=1e-12)
+        if want == 0:
+            assert square[k] == pytest.approx(near, rel=1e-12)
+
+
+def test_long_outlines_in_one_cell_take_seconds():
+    import time
+
+    n = 100_000
+    a, b, far = (K.ring_edges([wheel(n, 1000.0, x)]) for x in (0.0, 1000.0, 2500.0))
+    begin = time.time()
+    area, _ = measured(a, b)
+    apart, square = measured(a, far)
+    assert area == pytest.approx(1e6 * (2 * np.pi / 3 - np.sqrt(3) / 2), rel=1e-6)
+    assert apart == 0.0 and np.sqrt(square) == pytest.approx(500.0, rel=1e-6)
+    assert time.time() - begin < 20
+
+
+def test_trapezoids_of_a_star_wound_twice():
+    """A pentagram's middle is wound twice, so it is outside by the even-odd rule."""
+    t = np.pi / 2 + np.arange(6) * 4 * np.pi / 5
+    star = np.column_stack([np.cos(t), np.sin(t)])
+    star[-1] = star[0]
+    parts = K.even_odd_trapezoids(K.ring_edges([star]))
+    dent = np.cos(2 * np.pi / 5) / np.cos(np.pi / 5)
+    whole, middle = 5 * dent * np.sin(np.pi / 5), 2.5 * dent * dent * np.sin(2 * np.pi / 5)
+    assert sum(K.signed_area(p) for p in parts) == pytest.approx(whole - middle, abs=1e-9)
+    wide = K.even_odd_trapezoids(K.ring_edges([wheel(3000, 1, 0, waves=3)]))
+    assert sum(K.signed_area(p) for p in wide) == pytest.approx(K.signed_area(wheel(3000, 1, 0, waves=3)), rel=1e-9)

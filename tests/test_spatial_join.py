@@ -80,6 +80,20 @@ def test_crowded_cells_give_the_same_pairs(spark, monkeypatch):
     assert pairs(S.near_pairs(a, b, "a", "b", 25.0, cell_m=100.0).select("a", "b", "overlap_m2")) == far
 
 
+def test_one_sided_crowds_are_split(spark, monkeypatch):
+    """Many rows against one are few pairs, but one task would hold them all."""
+    rows = [(i, [[box(i % 40, i % 30, i % 40 + 8, i % 30 + 5)]]) for i in range(90)]
+    a, b = metric(frame(spark, rows, "a")), metric(frame(spark, [(1, [[box(5, 5, 30, 20)]])], "b"))
+    plain = pairs(S.overlap_pairs(a, b, "a", "b", cell_m=1000.0, balance=False))
+    assert S.crowded_cells(a, b, "geometry", "geometry", 1000.0).isEmpty()
+    monkeypatch.setattr(S, "SIDE_BUDGET", 50)
+    monkeypatch.setattr(S, "SALT_ROWS", 1)
+    [hot] = S.crowded_cells(a, b, "geometry", "geometry", 1000.0).collect()
+    assert (hot.sa, hot.sb) == (6, 1)
+    assert pairs(S.overlap_pairs(a, b, "a", "b", cell_m=1000.0)) == plain
+    assert pairs(S.overlap_pairs(b, a, "b", "a", cell_m=1000.0).select("a", "b", "overlap_m2")) == plain
+
+
 def test_tile_partition_sums_to_area(spark):
     k = 1000.0
     body = metric(frame(spark, [(1, [[ring((0.3 * k, 0.2 * k), (2.9 * k, 0.7 * k), (1.1 * k, 2.95 * k))]])], "a"))

@@ -10,9 +10,13 @@ operations.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 EDGE_PAIR_CHUNK = 2_000_000
+SWEEP_FROM = 4_096
+RUN = 64
 
 
 # --------------------------------------------------------------------- rings
@@ -71,6 +75,29 @@ def crosses_itself(edges: np.ndarray) -> bool:
         step += 1
 
 
+def range_pairs(a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of all ranges [lo, hi) of ``a`` and ``b`` that overlap, in bounded chunks.
+
+    Of two such ranges one begins inside the other, so begins are sorted and each range
+    looks up those inside it: the work follows the pairs found, not all pairs.
+    """
+    for lo, hi, begins, side in ((a_lo, a_hi, b_lo, "left"), (b_lo, b_hi, a_lo, "right")):
+        order = np.argsort(begins, kind="stable")
+        first = np.searchsorted(begins[order], lo, side)
+        count = np.maximum(np.searchsorted(begins[order], hi, "left") - first, 0)
+        done = np.cumsum(count)
+        at = 0
+        while at < len(count):
+            base = done[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(done, base + EDGE_PAIR_CHUNK, side="right")))
+            n = count[at:end]
+            if done[end - 1] > base:
+                own = np.repeat(np.arange(at, end), n)
+                met = order[first[own] + np.arange(done[end - 1] - base) - np.repeat(done[at:end] - n - base, n)]
+                yield (own, met) if side == "left" else (met, own)
+            at = end
+
+
 def even_odd_trapezoids(edges: np.ndarray) -> list[np.ndarray]:
     """Cover the even-odd interior of arbitrary edges by disjoint trapezoids."""
     x1, y1, x2, y2 = edges.T
@@ -81,30 +108,36 @@ def even_odd_trapezoids(edges: np.ndarray) -> list[np.ndarray]:
     flip = y1 > y2
     x1, x2 = np.where(flip, x2, x1), np.where(flip, x1, x2)
     y1, y2 = np.where(flip, y2, y1), np.where(flip, y1, y2)
-    levels = [y1, y2]
-    n = len(x1)
-    for i in range(n):
-        dx, dy = x2[i] - x1[i], y2[i] - y1[i]
-        ex, ey = x2[i + 1 :] - x1[i + 1 :], y2[i + 1 :] - y1[i + 1 :]
-        den = _cross(dx, dy, ex, ey)
+    dx, dy, levels = x2 - x1, y2 - y1, [y1, y2]
+    for i, j in range_pairs(y1, y2, y1, y2):
+        once = i < j
+        i, j = i[once], j[once]
+        meet = (np.minimum(x1[i], x2[i]) <= np.maximum(x1[j], x2[j])) & (np.minimum(x1[j], x2[j]) <= np.maximum(x1[i], x2[i]))
+        i, j = i[meet], j[meet]
+        den = _cross(dx[i], dy[i], dx[j], dy[j])
         with np.errstate(divide="ignore", invalid="ignore"):
-            t = _cross(x1[i + 1 :] - x1[i], y1[i + 1 :] - y1[i], ex, ey) / den
-            u = _cross(x1[i + 1 :] - x1[i], y1[i + 1 :] - y1[i], dx, dy) / den
+            t = _cross(x1[j] - x1[i], y1[j] - y1[i], dx[j], dy[j]) / den
+            u = _cross(x1[j] - x1[i], y1[j] - y1[i], dx[i], dy[i]) / den
         ok = (den != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
-        levels.append(y1[i] + t[ok] * dy)
+        levels.append(y1[i[ok]] + t[ok] * dy[i[ok]])
     ys = np.unique(np.concatenate(levels))
-    out = []
-    for lo, hi in zip(ys[:-1], ys[1:]):
-        on = (y1 <= lo) & (y2 >= hi)
-        if not on.any():
-            continue
-        slope = (x2[on] - x1[on]) / (y2[on] - y1[on])
-        xl, xh = x1[on] + slope * (lo - y1[on]), x1[on] + slope * (hi - y1[on])
-        order = np.argsort(xl + xh, kind="stable")
-        for a, b in zip(order[0::2], order[1::2]):
-            if xl[b] + xh[b] > xl[a] + xh[a]:
-                out.append(np.array([[xl[a], lo], [xl[b], lo], [xh[b], hi], [xh[a], hi], [xl[a], lo]]))
-    return out
+    # Every edge in every band it spans; inside a band edges do not cross, so those next
+    # to each other bound the inside in turn.
+    first = np.searchsorted(ys, y1)
+    count = np.searchsorted(ys, y2) - first
+    edge = np.repeat(np.arange(len(y1)), count)
+    band = first[edge] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    slope = dx[edge] / dy[edge]
+    xl, xh = x1[edge] + slope * (ys[band] - y1[edge]), x1[edge] + slope * (ys[band + 1] - y1[edge])
+    order = np.lexsort((edge, xl + xh, band))
+    band, xl, xh = band[order], xl[order], xh[order]
+    starts = np.append(True, band[1:] != band[:-1])
+    place = np.arange(len(band)) - np.flatnonzero(starts)[np.cumsum(starts) - 1]
+    left = np.flatnonzero(place[:-1] % 2 == 0)
+    left = left[(band[left] == band[left + 1]) & (xl[left + 1] + xh[left + 1] > xl[left] + xh[left])]
+    right, lo, hi = left + 1, ys[band[left]], ys[band[left] + 1]
+    corners = [(xl[left], lo), (xl[right], lo), (xh[right], hi), (xh[left], hi), (xl[left], lo)]
+    return list(np.stack([np.column_stack(c) for c in corners], axis=1))
 
 
 def is_box(rings: list[np.ndarray]) -> bool:
@@ -381,29 +414,31 @@ def pair_measures(
     """Overlap area and squared boundary distance of n polygon pairs.
 
     ``a_off``/``b_off`` hold n + 1 offsets into the edge arrays. Overlapping pairs have
-    distance 0. Work is done in chunks of a bounded number of edge pairs.
+    distance 0. Small pairs compare all edges, in chunks of a bounded number; larger ones
+    are swept one by one.
     """
     n = len(a_off) - 1
     overlap, dist = np.zeros(n), np.full(n, np.inf)
     na, nb = np.diff(a_off), np.diff(b_off)
+    swept = na * nb > SWEEP_FROM
+    for k in np.flatnonzero(swept):
+        overlap[k], dist[k] = _swept_pair(a_edges[a_off[k] : a_off[k + 1]], b_edges[b_off[k] : b_off[k + 1]], distance)
+    na = np.where(swept, 0, na)
     cost = np.cumsum(na * nb)
     lo = 0
     while lo < n:
         base = cost[lo - 1] if lo else 0
         hi = max(lo + 1, int(np.searchsorted(cost, base + EDGE_PAIR_CHUNK, side="right")))
         rows = slice(lo, hi)
-        if cost[hi - 1] - base > 4 * EDGE_PAIR_CHUNK:
-            _one_big_pair(a_edges, a_off, b_edges, b_off, lo, distance, overlap, dist)
-        else:
-            i, j, owner = _pair_index(na[rows], nb[rows], a_off[lo:hi], b_off[lo:hi])
-            e, f = a_edges[i], b_edges[j]
-            if len(e):
-                origin = _pair_origin(a_edges, a_off, b_edges, b_off, lo, hi)[owner]
-                shift = np.hstack([origin, origin])
-                overlap[rows] = np.bincount(owner, _overlap_terms(e - shift, f - shift), minlength=hi - lo)
-                if distance:
-                    d = segment_distance_sq(e, f)
-                    np.minimum.at(dist, lo + owner, d)
+        i, j, owner = _pair_index(na[rows], nb[rows], a_off[lo:hi], b_off[lo:hi])
+        e, f = a_edges[i], b_edges[j]
+        if len(e):
+            origin = _pair_origin(a_edges, a_off, b_edges, b_off, lo, hi)[owner]
+            shift = np.hstack([origin, origin])
+            overlap[rows] += np.bincount(owner, _overlap_terms(e - shift, f - shift), minlength=hi - lo)
+            if distance:
+                d = segment_distance_sq(e, f)
+                np.minimum.at(dist, lo + owner, d)
         lo = hi
     overlap = np.maximum(overlap, 0.0)
     return overlap, dist
@@ -430,17 +465,57 @@ def _pair_origin(a_edges, a_off, b_edges, b_off, lo, hi) -> np.ndarray:
     return np.where(np.isfinite(both), both, 0.0)
 
 
-def _one_big_pair(a_edges, a_off, b_edges, b_off, k, distance, overlap, dist) -> None:
-    a, b = a_edges[a_off[k] : a_off[k + 1]], b_edges[b_off[k] : b_off[k + 1]]
+def _swept_pair(a: np.ndarray, b: np.ndarray, distance: bool) -> tuple[float, float]:
+    """Overlap and squared distance of two outlines of many edges.
+
+    Only edges above a common stretch of the x axis have area under both of them. What is
+    left by rounding where nothing overlaps counts as no overlap.
+    """
     origin = np.minimum(a.reshape(-1, 2).min(axis=0), b.reshape(-1, 2).min(axis=0))
     shift = np.hstack([origin, origin])
-    step = max(1, EDGE_PAIR_CHUNK // max(1, len(b)))
-    for s in range(0, len(a), step):
-        part = a[s : s + step]
-        e, f = np.repeat(part, len(b), axis=0), np.tile(b, (len(part), 1))
-        overlap[k] += _overlap_terms(e - shift, f - shift).sum()
-        if distance:
-            dist[k] = min(dist[k], float(segment_distance_sq(e, f).min()))
+    e, f = ((s - shift)[s[:, 0] != s[:, 2]] for s in (a, b))
+    ends = [np.sort(s[:, [0, 2]], axis=1).T for s in (e, f)]
+    area = size = 0.0
+    for i, j in range_pairs(*ends[0], *ends[1]):
+        terms = _overlap_terms(e[i], f[j])
+        area, size = area + float(terms.sum()), size + float(np.abs(terms).sum())
+    area = area if area > 1e-12 * size else 0.0
+    if not distance:
+        return area, np.inf
+    return area, 0.0 if area > 0 else nearest_sq(a, b)
+
+
+def nearest_sq(a: np.ndarray, b: np.ndarray) -> float:
+    """Least squared distance of two sets of segments.
+
+    Runs of following segments have boxes. A pair of boxes bounds its distances from both
+    sides; pairs are opened from the nearest on until the next cannot be nearer.
+    """
+    boxes = []
+    for s in (a, b):
+        at = np.arange(0, len(s), RUN)
+        boxes.append((np.minimum.reduceat(np.minimum(s[:, :2], s[:, 2:]), at), np.maximum.reduceat(np.maximum(s[:, :2], s[:, 2:]), at)))
+    (a_lo, a_hi), (b_lo, b_hi) = boxes
+    bound, kept = np.inf, []
+    step = max(1, EDGE_PAIR_CHUNK // len(b_lo))
+    for s in range(0, len(a_lo), step):
+        over, under = b_lo - a_hi[s : s + step, None], a_lo[s : s + step, None] - b_hi
+        bound = min(bound, float((np.maximum(-over, -under) ** 2).sum(axis=2).min()))
+        gap = (np.maximum(np.maximum(over, under), 0.0) ** 2).sum(axis=2)
+        i, j = np.nonzero(gap <= bound)
+        kept.append((gap[i, j], s + i, j))
+    gap, i, j = (np.concatenate(k) for k in zip(*kept))
+    order = np.argsort(gap, kind="stable")
+    best, at, size = np.inf, 0, 8
+    reach = np.arange(RUN)
+    while at < len(order) and gap[order[at]] < best:
+        part = order[at : at + size]
+        e = a[np.minimum(i[part][:, None] * RUN + reach, len(a) - 1)]
+        f = b[np.minimum(j[part][:, None] * RUN + reach, len(b) - 1)]
+        pairs = np.repeat(e, RUN, axis=1).reshape(-1, 4), np.tile(f, (1, RUN, 1)).reshape(-1, 4)
+        best = min(best, float(segment_distance_sq(*pairs).min()))
+        at, size = at + size, min(2 * size, EDGE_PAIR_CHUNK // (RUN * RUN))
+    return best
 
 
 def polygon_overlap(a: list[np.ndarray], b: list[np.ndarray]) -> float:

@@ -25,6 +25,7 @@ CELL_M = 20_000.0
 TOUCH_TOLERANCE_M = 1e-6
 OVERLAP_DIGITS = 2
 PAIR_BUDGET = 20_000_000
+SIDE_BUDGET = 1_000_000
 SUBCELLS = 16
 SALT_ROWS = 4_096
 
@@ -202,8 +203,8 @@ def cell_span(lo: Column, hi: Column, cell_m: float) -> Column:
 def crowded_cells(
     a: DataFrame, b: DataFrame, geom_a: str, geom_b: str, cell_m: float, reach: Column | None = None
 ) -> DataFrame:
-    """Cells whose candidate pairs exceed the budget, counted from boxes only; those of
-    ``a`` grown by ``reach`` metres.
+    """Cells whose candidate pairs, or whose rows of one side that meet any of the other,
+    exceed their budget, counted from boxes only; those of ``a`` grown by ``reach`` metres.
 
     No geometry leaves the JVM for this. A crowded cell needs thousands of rows, so the
     result stays small next to the inputs.
@@ -227,7 +228,8 @@ def crowded_cells(
     counts = cells(a, geom_a, 1, none if reach is None else F.coalesce(reach, none)).unionAll(cells(b, geom_b, 0, none)).groupBy("cx", "cy").agg(
         F.sum("na").alias("na"), F.sum("nb").alias("nb")
     )
-    return counts.where(F.col("na").cast("double") * F.col("nb") > PAIR_BUDGET).select(
+    one_sided = (F.greatest("na", "nb") > SIDE_BUDGET) & (F.least("na", "nb") > 0)
+    return counts.where((F.col("na").cast("double") * F.col("nb") > PAIR_BUDGET) | one_sided).select(
         "cx",
         "cy",
         F.ceil(F.col("na") / (SALT_ROWS * SUBCELLS)).cast("int").alias("sa"),
