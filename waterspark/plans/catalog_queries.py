@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waterspark.operators import catalog, search
+from waterspark.operators import catalog, search, search_store
 from waterspark.plans.fixtures import HIT, OVERLAP, cte, fixture, m_table, with_boxes
 from waterspark.plans.registry import query
 from waterspark.plans.scalar_queries import _TYPE_SQL
 from waterspark.plans.spatial_queries import grid, refs
+from waterspark.session import new_shared_path
 
 
 def raw_osm(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,3 +224,58 @@ def id_alias_lookup(spark: SparkSession, sf: str) -> DataFrame:
     cust = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct()
     forms = F.array(*[F.concat(F.lit(p), "o_custkey") for p in ("hn_osm_", "osm_", "gansu_mu_osm_")])
     return search.find_bodies(clean(spark, sf), cust.select(F.explode(forms).alias("key"))).select("key", "lake_uid")
+
+
+_SHOWN = """source_feature_id AS lake_id, uid AS object_id, display_name AS name, round(akm, 6) AS area_km2, water_type, CASE WHEN sentinel_tiles = '' THEN 0 ELSE len(string_split(sentinel_tiles, ',')) END AS n_tiles,
+    has_tci = 1 AS has_tci"""
+_FOUND = """(contains(lower(uid), 'osm_1') OR contains(lower(display_name), 'osm_1') OR contains(source_feature_id, 'osm_1') OR contains(coalesce(cast(hylak_id AS VARCHAR), ''), 'osm_1')
+    OR contains(coalesce(wid, ''), 'osm_1'))"""
+
+
+def stored(spark: SparkSession, water: DataFrame) -> str:
+    """The folder of a stored search table of these rows."""
+    path = new_shared_path(spark, "search")
+    search_store.write_store(water, path, part_rows=2_000)
+    return path
+
+
+@query(
+    "search_index_page",
+    cte("fx_water", "fx_tiles", "fx_ref", more=_BUILD) + f"SELECT {_SHOWN} FROM full_table WHERE {_FOUND} ORDER BY round(akm, 6) DESC, uid LIMIT 50 OFFSET 20",
+)
+def search_index_page(spark: SparkSession, sf: str) -> DataFrame:
+    """A search page of the built table by its stored postings."""
+    found = search_store.find(spark, stored(spark, built(spark, sf)), " OSM_1 ")
+    return search.summary(search.page(found, 20, 50)).select(
+        "lake_id", "object_id", "name", F.round("area_km2", 6).alias("area_km2"), "water_type",
+        F.size("tiles").cast("bigint").alias("n_tiles"), "has_tci",
+    )
+
+
+@query(
+    "search_index_total",
+    cte("fx_water", "fx_tiles", "fx_ref", more=_BUILD)
+    + f"SELECT count(*) AS total, cast(coalesce(sum(has_tci), 0) AS BIGINT) AS with_tci, (SELECT count(*) FROM full_table) AS n_rows FROM full_table WHERE {_FOUND}",
+)
+def search_index_total(spark: SparkSession, sf: str) -> DataFrame:
+    """The number beside that page, over the built table, next to the number of all rows."""
+    path = stored(spark, built(spark, sf))
+    none = F.lit(0).cast("long")
+    found = search_store.find(spark, path, "osm_1").select(F.lit(1).alias("total"), F.col("has_tci").alias("with_tci"), none.alias("n_rows"))
+    whole = search_store.total(spark, path).select(none.alias("total"), none.alias("with_tci"), F.col("total").alias("n_rows"))
+    return found.unionByName(whole).agg(*[F.sum(c).alias(c) for c in ("total", "with_tci", "n_rows")])
+
+
+@query(
+    "stored_pages",
+    cte("fx_water", more=_STEPS)
+    + """, ranked AS (SELECT uid, round(akm, 6) AS area, row_number() OVER (ORDER BY round(akm, 6) DESC, uid) AS rn FROM w)
+    SELECT 'at' AS kind, uid AS lake_uid, area AS area_km2 FROM ranked WHERE rn BETWEEN 1961 AND 2060 UNION ALL
+    SELECT 'after', uid, area FROM (SELECT * FROM ranked WHERE area < 100 OR (area = 100 AND uid > 'h') ORDER BY rn LIMIT 40)""",
+)
+def stored_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A page by its offset and one behind a known row, from the parts that hold them."""
+    path = stored(spark, clean(spark, sf))
+    at, after = search_store.page_at(spark, path, 1_960, 100), search_store.page_after(spark, path, 100.0, "h", 40)
+    shown = [at.withColumn("kind", F.lit("at")), after.withColumn("kind", F.lit("after"))]
+    return shown[0].unionByName(shown[1]).select("kind", "lake_uid", F.round("area_km2", 6).alias("area_km2"))
