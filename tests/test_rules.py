@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waterspark.functions import clean as C
+from waterspark.plans.scalar_queries import _power
 
 
 def one(spark, column, **values):
@@ -71,3 +72,19 @@ def test_aliases_and_defaults(spark):
     assert one(spark, C.nearest_threshold(F.lit(60), F.array(F.lit(50), F.lit(70))), a="") == 50
     assert one(spark, C.human_size(F.col("a")), a="1536") == "1.5KB"
     assert one(spark, C.default_window(F.lit("2024-04-30").cast("date")), a="").asDict() == {"start": "2024-02-29", "end": "2024-04-30"}
+
+
+@pytest.mark.parametrize("value", [1.25, 1.35, 0.25, 2.45, 0.95, 9.96, 1023.95, 0.05, 2.0**40 + 0.25, 2.0**40 + 0.75, 0.0, 7.0, 0.449999999999999956])
+def test_sizes_round_as_printf(spark, value):
+    for factor, unit in ((1.0, "B"), (1024.0**4, "TB")):
+        if unit == "TB" or value < 1024:
+            want = "%.1f%s" % (value, unit)
+            if unit == "TB" and value < 1:
+                continue
+            assert one(spark, C.human_size(F.col("a")), a=repr(value * factor)) == want
+
+
+def test_powers_are_rounded_once(spark):
+    """The power function of the JVM is off by one place for these."""
+    for n in (453540, 553528, 580492):
+        assert one(spark, C.human_size(_power(F.col("a").cast("long"), F.lit(4))), a=str(n)) == "%.1fTB" % (n**4 / 1024**4)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -294,6 +296,15 @@ def flags_numbers_lists(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _power(base: Column, times: Column) -> Column:
+    """``base`` to the power 1 to 4: a product of whole numbers, rounded to a double once."""
+    whole, out = base.try_cast("decimal(9,0)"), base.cast("double")
+    for n in (2, 3, 4):
+        product = reduce(lambda x, y: x * y, [whole] * n).cast("double")
+        out = F.when(times == n, F.coalesce(product, F.pow(base, F.lit(n)))).otherwise(out)
+    return out
+
+
 @query(
     "text_helpers",
     cte("fx_products")
@@ -307,7 +318,7 @@ def flags_numbers_lists(spark: SparkSession, sf: str) -> DataFrame:
 def text_helpers(spark: SparkSession, sf: str) -> DataFrame:
     df = fixture(spark, sf, "fx_products").withColumns(
         {
-            "sz": F.pow(F.col("ord") + 1, 1 + F.col("ord") % 4),
+            "sz": _power(F.col("ord") + 1, 1 + F.col("ord") % 4),
             "quality": F.when(F.col("ord") % 2 == 0, F.col("source")).otherwise(" "),
             "buffer_ratio": F.when(F.col("ord") % 3 == 0, F.col("valid_ratio").cast("string")),
         }
