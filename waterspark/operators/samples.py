@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waterspark.functions import clean as C
 from waterspark.functions import geometry as G
 from waterspark.operators import upsert
+from waterspark.operators.hot_keys import join_spread
 
 EDITABLE = C.EDITABLE_SAMPLE_COLUMNS
 
@@ -156,11 +157,13 @@ def sample_status(samples: DataFrame, inventory: DataFrame, bodies: DataFrame, l
         .join(missing("safe_path", "missing_safe"), "sample_id", "left")
         .join(label, "label_path", "left")
     )
+    names = bodies.select("lake_uid", F.col("display_name").alias("_shown"))
     if lookup is None:
-        out = out.withColumn("_uid", F.col("lake_id"))
+        names = names.withColumnRenamed("lake_uid", "lake_id")
     else:
-        out = out.join(lookup.select(F.col("key").alias("lake_id"), F.col("lake_uid").alias("_uid")), "lake_id", "left")
-    out = out.join(bodies.select(F.col("lake_uid").alias("_uid"), F.col("display_name").alias("_shown")), "_uid", "left")
+        names = lookup.select(F.col("key").alias("lake_id"), "lake_uid").join(names, "lake_uid").drop("lake_uid")
+    # Samples of no body share the empty id.
+    out = join_spread(out, names, "lake_id", counted=samples.select("lake_id"))
     lists = {}
     for many, one in (("imagery_asset_labels", "imagery_asset_label"), ("imagery_asset_types", "imagery_asset_type")):
         there = [F.col(c) for c in (many, one) if c in samples.columns]
@@ -177,7 +180,7 @@ def sample_status(samples: DataFrame, inventory: DataFrame, bodies: DataFrame, l
             "lake_display_name": C.first_present(F.col("_shown"), F.col("lake_name"), F.col("lake_id")),
             **lists,
         }
-    ).drop("_label", "_shown", "_uid")
+    ).drop("_label", "_shown")
 
 
 def sample_stats(samples: DataFrame) -> DataFrame:
