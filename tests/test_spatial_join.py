@@ -187,6 +187,49 @@ def test_context_stays_exact_under_hot_ids_and_stacked_copies(spark, case):
     assert got == want if case == "stacked" else len(got) == 3 and all(i % 10 == 0 for i in got)
 
 
+def test_context_looks_no_further_than_the_largest_it_needs(spark, monkeypatch):
+    """Tiers give the rows of one pass, and a crowd is not paired as a whole."""
+    k = 1000.0
+    bodies = [(i, [[box(30 * k * i, 0, 30 * k * i + 2 * k, 2 * k)]]) for i in range(3)]
+    crowd = [(100 + i, [[box(30 * k * (i % 2) + 3 * k, 0, 30 * k * (i % 2) + 3 * k + (i // 4 + 1) * 10, 2 * k)]]) for i in range(400)]
+    lone = [(900, [[box(62.2 * k, 0, 62.4 * k, 10)]])]
+
+    def table(rows):
+        sized = metric(frame(spark, rows, "other_id"))
+        return sized.withColumns({"area_km2": G.area_km2(F.col("geometry")), **G.bbox_columns(F.col("geometry"))})
+
+    body = table(bodies).withColumnRenamed("other_id", "k").withColumn("hylak_id", 498 + F.col("k"))
+    others, found, pairs, near_shapes = table(crowd + lone).cache(), [], [], S.near_shapes
+
+    def counted(*args, **kw):
+        made = near_shapes(*args, **kw)
+        pairs.append(made.count())
+        return made
+
+    monkeypatch.setattr(S, "near_shapes", counted)
+    for first in (16, 10_000):
+        monkeypatch.setattr(context, "FIRST_TIER", first)
+        pairs.clear()
+        got = context.context_reference(body, others, key="k", limit=3, min_area_km2=0.0, clip=True)
+        found.append([(r.k, r.rank, r.other_id, round(r.a, 6)) for r in got.withColumn("a", G.area_km2(F.col("geometry"))).orderBy("k", "rank").collect()])
+        assert (first, sum(pairs) < 100) in ((16, True), (10_000, False)), pairs
+    assert found[0] == found[1]
+    assert [f[2] for f in found[0]] == [496, 492, 494, 497, 493, 495, 900]
+
+
+def test_small_files_of_many_rows_are_not_broadcast(spark):
+    """A join is planned by the size of the rows, not of the compressed file."""
+    from waterspark.plans.fixtures import table
+
+    part = table(spark, "/root/testdata/sf0.01", "part")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60000")
+    try:
+        plan = part.join(part.select("p_partkey", "p_name"), "p_partkey")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" not in plan
+
+
 def test_box_filter_and_columns_reach_the_scan(spark, tmp_path):
     from waterspark.sources.readers import read_features
 
