@@ -164,3 +164,18 @@ def test_supersampling_splits_pixels(spark):
 def test_constant_band_is_only_clipped(spark):
     df = spark.createDataFrame([(0, 7), (0, 7), (0, 0)], "raster_id int, v int")
     assert sorted(r.shown for r in raster.stretch(df, "v", BY).collect()) == [0, 7, 7]
+
+
+def test_layers_are_built_once_per_shape(spark):
+    """Copies of a shape share one build, and every body gets its rows."""
+    rows = [(i, [[[{"x": x, "y": y} for x, y in ((w, 0.0), (w + 1, 0.0), (w + 1, 1.0), (w, 1.0), (w, 0.0))]]]) for i in range(12) for w in [float(i % 3)]]
+    bodies = spark.createDataFrame(rows, "k long, geometry array<array<array<struct<x:double,y:double>>>>")
+    seen = []
+
+    def build(own):
+        seen.append(sorted(r.k for r in own.collect()))
+        return own.select("k", F.explode(F.sequence(F.lit(1), F.col("k") + 1)).alias("n"))
+
+    got = sorted(tuple(r) for r in regions.per_shape(bodies, "k", build).select("k", "n").collect())
+    assert seen == [[0, 1, 2]]
+    assert got == [(k, n) for k in range(12) for n in range(1, k % 3 + 2)]
