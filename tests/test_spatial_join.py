@@ -132,6 +132,18 @@ def test_projection_area_and_utm(spark):
     assert 600_000 < got.u.easting < 650_000
 
 
+def test_utm_steps_are_worked_out_once(spark):
+    """The column grows with the series, not with its product."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    box = G.utm_box_footprint(*[F.col("id") + v for v in (300_000, 2_700_000, 310_980, 2_710_980)], F.lit(49), corners_only=True)
+    row = spark.range(1).select(box.alias("f")).first().f
+    corners = spark.range(1).select(*[G.utm_to_lonlat(F.lit(e), F.lit(n), F.lit(49)).alias(f"p{e}_{n}") for e in (300_000, 310_980) for n in (2_700_000, 2_710_980)]).first()
+    lons, lats = [p.lon for p in corners], [p.lat for p in corners]
+    assert (row.west, row.south, row.east, row.north) == pytest.approx((min(lons), min(lats), max(lons), max(lats)), abs=1e-12)
+    plan = spark.range(1).select(G.utm_to_lonlat(F.col("id"), F.col("id"), F.lit(49)).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("sinh(") + plan.lower().count("cosh(") <= 12
+
+
 def test_context_keeps_its_limit_with_copies_and_repeated_ids(spark):
     k = 1000.0
     own = [[box(0, 0, 2 * k, 2 * k)]]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from waterspark.functions import clean as C
 from waterspark.functions import geometry as G
 from waterspark.operators import catalog
-from waterspark.plans.fixtures import cte, fixture, m_table, table, with_boxes
+from waterspark.plans.fixtures import cte, fixture, m_table, spread, table, with_boxes
 from waterspark.plans.registry import query
 
 _RAW_TEXT = """CASE p_partkey % 6 WHEN 0 THEN concat('  ', p_name, ' ') WHEN 1 THEN 'NaN' WHEN 2 THEN ''
@@ -375,7 +375,7 @@ _UTM = "300000 + 1000*(p_partkey % 300) AS l, 2700000 + 1000*(p_partkey % 500) A
 
 @query("footprint_utm", f"SELECT p_partkey, {_utm_sql()} FROM (SELECT p_partkey, {_UTM} FROM part)")
 def footprint_utm(spark: SparkSession, sf: str) -> DataFrame:
-    df = table(spark, sf, "part").selectExpr("p_partkey", *[p.strip() for p in _UTM.split(", ")])
+    df = spread(spark, sf, "part").selectExpr("p_partkey", *[p.strip() for p in _UTM.split(", ")])
     box = G.utm_box_footprint(*[F.col(c) for c in ("l", "b", "r", "t", "zone")], corners_only=True)
     return df.select("p_partkey", box.alias("f")).select(
         "p_partkey", *[F.round(F.col(f"f.{c}"), 6).alias(c) for c in ("west", "south", "east", "north")]
