@@ -3,7 +3,8 @@ from collections import Counter
 
 import numpy as np
 
-from waterspark.llm import similar
+from waterspark.llm import similar, simhash
+from waterspark.llm.shared import stored
 
 
 def test_similar_documents(spark):
@@ -132,3 +133,16 @@ def test_bounds_never_refuse_a_similar_pair():
 def test_order_keeps_frequent_last():
     often, times = np.array([3, 7], dtype=np.uint64), np.array([9, 5])
     assert similar.in_common_order(np.array([1, 3, 5, 7, 8], dtype=np.uint64), often, times).tolist() == [1, 5, 8, 7, 3]
+
+
+def test_close_fingerprints_meet_first(spark, monkeypatch):
+    """What SimHash links is compared by its sets before any shingle is looked at."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"v{i}" for i in range(400))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    close = simhash.near_duplicates(docs).select("doc_id", "component_id").orderBy("doc_id").collect()
+    assert [r.component_id for r in close] == [0, 0, 2]
+    shared = similar.shared_shingles
+    monkeypatch.setattr(similar, "shared_shingles", lambda nodes: stored(shared(nodes).filter("false"), "none"))
+    got = similar.similar_documents(docs).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == [0, 0, 2]
