@@ -97,3 +97,52 @@ def test_parents():
     seen = py.parent_of(np.arange(py.CONTEXTS))
     assert seen.min() == 0 and seen.max() == py.PARENTS - 1 and (np.diff(seen) >= 0).all()
     assert py.context_of(b"of", 5) < py.context_of(b"water", 5) < py.CONTEXTS
+
+
+def test_words_of_one_class_are_contexts_apart(spark, monkeypatch):
+    monkeypatch.setattr(py, "LEAST_BLOCKS", 3)
+    assert py.context_of(b"sailing", 1) == py.context_of(b"failing", 2)
+    rows = [(i, ("sailing north " if i % 2 else "failing south ") * 20) for i in range(200)]
+    asked = [(1000, "sailing north"), (1001, "sailing south"), (1002, "failing south"), (1003, "failing north")]
+    docs = spark.createDataFrame(rows + asked, "doc_id long, text string").repartition(3)
+    made = py.language_scores(docs, F.col("doc_id") >= 1000).where("held_out").collect()
+    score = {r["doc_id"]: r["score"] for r in made}
+    assert score[1000] > score[1001] + 1 and score[1002] > score[1003] + 1
+
+
+def leaf_row(counts, classes):
+    """A shard of every context with every word."""
+    words, contexts = counts.shape
+    parts = {"spread": np.full(words, contexts, np.uint32), "classes": classes, "contexts": np.tile(np.arange(contexts, dtype=np.uint32), words), "counts": counts.astype(np.uint32).ravel()}
+    return {"shard": 0, **{k: py.pack(v) for k, v in parts.items()}}
+
+
+def test_word_contexts_sum_to_one():
+    counts = np.random.default_rng(3).integers(0, 9, size=(30, 6))
+    counts[3] = 0
+    leaves = py.Leaves(leaf_row(counts, np.array([0, 1, 1, 600, 600, py.CONTEXTS - 1], np.uint16)))
+    model = py.Model((0.7, 0.6, 0.5), [], int((counts.sum(axis=1) > 0).sum()), 3, 0.8)
+    width = py.CONTEXTS + py.PARENTS + 1
+    for n in range(4):
+        sums = leaves.sums()
+        totals, (customers, tables) = py.Totals.of(sums[:width], sums[width:-8]), leaves.own()
+        p = leaves.predict(model, totals, customers, tables).reshape(counts.shape)
+        assert np.allclose(p.sum(axis=0), 1)
+        assert ((leaves.tables <= leaves.count) & ((leaves.tables > 0) == (leaves.count > 0))).all()
+        again = py.Leaves(leaf_row(counts, np.array([0, 1, 1, 600, 600, py.CONTEXTS - 1], np.uint16)))
+        again.resume(leaves.state())
+        assert np.array_equal(again.predict(model, totals, customers, tables).reshape(counts.shape), p)
+        leaves.sweep(model, totals, tables.astype(np.int64), np.random.default_rng(n))
+
+
+def test_blocks_add_up_contexts_of_shards():
+    def row(shard, keys, customers, tables):
+        packed = py.pack(np.array(customers, np.uint32)), py.pack(np.array(tables, np.uint32))
+        return (0, 5, shard, py.pack_steps(np.array(keys, np.uint64)), *packed, None, None, None)
+
+    table = py.told([row(0, [3, 9, 2**63], [1, 2, 3], [1, 1, 1]), row(1, [9, 2**64 - 1], [5, 7], [2, 0])])
+    for _ in range(2):  # by keys, then by the numbers that they get
+        made = py.add_up(table).to_pylist()
+        assert [py.unpack(r["tables"]).tolist() for r in made] == [[1, 3, 1], [3, 0]]
+        assert [py.unpack_steps(r["ids"]).tolist() for r in made] == [[0, 1, 2], [1, 3]]
+        table = py.told([(0, 5, r["shard"], r["ids"], t[4], t[5], None, None, None) for r, t in zip(made, [row(0, [], [1, 2, 3], [1, 1, 1]), row(1, [], [5, 7], [2, 0])])])
