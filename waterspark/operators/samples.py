@@ -9,6 +9,7 @@ from waterspark.functions import clean as C
 from waterspark.functions import geometry as G
 from waterspark.operators import upsert
 from waterspark.operators.hot_keys import join_spread
+from waterspark.session import cut_lineage
 
 EDITABLE = C.EDITABLE_SAMPLE_COLUMNS
 
@@ -44,12 +45,23 @@ def body_detail(summary: DataFrame, osm_layer: DataFrame, reference: DataFrame,
 
 def create_samples(requests: DataFrame, ready: DataFrame, bodies: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sample rows for the requests of ready bodies with a label, and every other request
-    with the reason. ``ready`` is the readiness table, ``labels`` the label layers.
+    with the reason: the two parts of ``asked_samples``."""
+    every = asked_samples(requests, ready, bodies, labels)
+    refused = every.where(~F.col("ok")).select(F.col("lake_id").alias("lake_uid"), "label_source", "reason")
+    return every.where("ok").drop("ok", "reason"), refused
+
+
+def asked_samples(requests: DataFrame, ready: DataFrame, bodies: DataFrame, labels: DataFrame) -> DataFrame:
+    """The sample row of every request: ``ok`` for those of ready bodies with a label, else
+    with the ``reason`` against it, and then the other columns may be NULL. ``ready`` is the
+    readiness table, ``labels`` the label layers.
 
     Sources are known in any case; a threshold that is no number is the default, and
     numbers count as the nearest from 1 to 100.
     """
-    asked = C.with_label_defaults(requests).withColumns(label_key("label_source", "label_threshold"))
+    # Kept: conditions of the joins below would work the cleaned texts out many times over, and
+    # for a table of one file in one task.
+    asked = cut_lineage(C.with_label_defaults(requests).withColumns(label_key("label_source", "label_threshold")))
     box = ["bbox_west", "bbox_south", "bbox_east", "bbox_north"]
     known = bodies.select("lake_uid", "lake_name", *box, F.lit(True).alias("_known"))
     joined = asked.join(known, "lake_uid", "left").join(ready, "lake_uid", "left")
@@ -72,9 +84,15 @@ def create_samples(requests: DataFrame, ready: DataFrame, bodies: DataFrame, lab
     ok = F.coalesce("_known", F.lit(False)) & is_ready & F.coalesce("_label", F.lit(False))
     aoi = G.aoi_bounds(*[F.col(c) for c in box], F.col("buffer_ratio"))
     names = each("product")
-    rows = joined.where(ok).withColumns({"_names": names, "_aoi": aoi, "_tiles": each("tile")})
+    rows = joined.withColumns({"_names": names, "_aoi": aoi, "_tiles": each("tile")})
     sid = C.sample_id(F.col("lake_uid"), F.col("_names"), *[F.col(c) for c in ("label_source", "label_threshold", "label_scope", "mask_policy")])
-    made = rows.select(
+    reason = (
+        F.when(F.col("_known").isNull(), "unknown body")
+        .when(~is_ready, F.concat(F.lit("missing tiles: "), F.coalesce(F.array_join("missing_tiles", ", "), F.lit(""))))
+        .when(~F.col("_source").isin(C.LABEL_SOURCES), F.concat(F.lit("unknown label source: "), F.col("label_source")))
+        .otherwise("label source has no geometry")
+    )
+    return rows.select(
         sid.alias("sample_id"),
         F.col("lake_uid").alias("lake_id"),
         F.coalesce("lake_name", F.lit("")).alias("lake_name"),
@@ -97,14 +115,9 @@ def create_samples(requests: DataFrame, ready: DataFrame, bodies: DataFrame, lab
         (C.first_present(F.col("split"), default="") if "split" in requests.columns else F.lit("")).alias("split"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssZ").alias("created_at"),
         "notes",
+        ok.alias("ok"),
+        F.when(~ok, reason).alias("reason"),
     )
-    reason = (
-        F.when(F.col("_known").isNull(), "unknown body")
-        .when(~is_ready, F.concat(F.lit("missing tiles: "), F.coalesce(F.array_join("missing_tiles", ", "), F.lit(""))))
-        .when(~F.col("_source").isin(C.LABEL_SOURCES), F.concat(F.lit("unknown label source: "), F.col("label_source")))
-        .otherwise("label source has no geometry")
-    )
-    return made, joined.where(~ok).select("lake_uid", "label_source", reason.alias("reason"))
 
 
 def label_key(source: str, threshold: str) -> dict[str, Column]:

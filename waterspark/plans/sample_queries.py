@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waterspark.operators import catalog, context, imagery, samples, search, upsert
-from waterspark.plans.fixtures import HIT, OVERLAP, cte, fixture, m_table
+from waterspark.plans.fixtures import HIT, OVERLAP, cte, fixture, m_table, spread
 from waterspark.plans.imagery_queries import PAIRS, resolved, tables
 from waterspark.plans.registry import query
 from waterspark.plans.spatial_queries import refs, required_inputs, water
-from waterspark.session import new_shared_path
+from waterspark.session import cut_lineage, new_shared_path
 from waterspark.sources import sinks
 from waterspark.streaming import upserts
 
@@ -40,15 +40,15 @@ def label_layers(spark: SparkSession, sf: str) -> DataFrame:
     return layers(spark, sf).select("lake_uid", "label_source", "threshold")
 
 
-def made(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def asked(spark: SparkSession, sf: str, labels: DataFrame) -> tuple[DataFrame, ...]:
+    """Requests, readiness, bodies and label layers."""
     bodies, grid, feet = required_inputs(spark, sf)
     # Selections of every tile, so that a good part of the bodies is ready.
     base, user, active = tables(spark, sf)
     tiles = context.required_tiles(bodies, grid, feet)
     ready = imagery.readiness(tiles, base, user, active, bodies)
-    asked = spark.sql(_ASK, customer=spark.read.parquet(f"{sf}/customer.parquet"))
-    named = bodies.withColumn("lake_name", F.col("name"))
-    return samples.create_samples(asked, ready, named, layers(spark, sf))
+    requests = spark.sql(_ASK, customer=spread(spark, sf, "customer"))
+    return requests, ready, bodies.withColumn("lake_name", F.col("name")), labels
 
 
 _MADE = {
@@ -72,16 +72,13 @@ _MADE = {
     UNION ALL SELECT NULL, lake_uid, CASE WHEN known THEN coalesce(missing, '') ELSE '' END, NULL, label_source, NULL, CASE WHEN NOT known THEN 'unknown body' WHEN ready THEN 'no label' ELSE 'not ready' END FROM full_ask WHERE NOT (ready AND has_label)""",
 )
 def sample_create(spark: SparkSession, sf: str) -> DataFrame:
-    rows, refused = made(spark, sf)
-    cols = ["sample_id", "lake_id", "tiles", "products", "label_source", "aoi_west", "state"]
-    good = rows.withColumns({"aoi_west": F.round("aoi_west", 6), "state": F.lit("made")}).select(cols)
-    late = F.col("reason").startswith("missing tiles")
-    bad = refused.select(
-        F.lit(None).cast("string").alias("sample_id"), F.col("lake_uid").alias("lake_id"),
-        F.when(late, F.regexp_replace("reason", "^missing tiles: ", "")).otherwise("").alias("tiles"), F.lit(None).cast("string").alias("products"),
-        "label_source", F.lit(None).cast("double").alias("aoi_west"), F.when(late, "not ready").when(F.col("reason") == "unknown body", "unknown body").otherwise("no label").alias("state"),
-    )
-    return good.unionAll(bad)
+    ok, late = F.col("ok"), F.col("reason").startswith("missing tiles")
+    state = F.when(ok, "made").when(late, "not ready").when(F.col("reason") == "unknown body", "unknown body").otherwise("no label")
+    return samples.asked_samples(*asked(spark, sf, layers(spark, sf))).select(
+        F.when(ok, F.col("sample_id")).alias("sample_id"), "lake_id",
+        F.when(ok, F.col("tiles")).when(late, F.regexp_replace("reason", "^missing tiles: ", "")).otherwise("").alias("tiles"),
+        F.when(ok, F.col("products")).alias("products"), "label_source", F.when(ok, F.round("aoi_west", 6)).alias("aoi_west"), state.alias("state"),
+    )
 
 
 @query(
@@ -92,7 +89,9 @@ def sample_create(spark: SparkSession, sf: str) -> DataFrame:
 )
 def sample_store(spark: SparkSession, sf: str) -> DataFrame:
     """Samples stored into a table, and stored again: each stays once."""
-    rows, _ = made(spark, sf)
+    rows, _ = samples.create_samples(*asked(spark, sf, layers(spark, sf)))
+    # Made once: storing twice looks at the rows four times.
+    rows = cut_lineage(rows.select("sample_id", "lake_id", "created_at"))
     old = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("concat('old', s_suppkey) AS sample_id", "'' AS lake_id", "'x' AS created_at")
     twice = samples.store_samples(samples.store_samples(old, rows), rows)
     return twice.select("sample_id", "lake_id", F.when(F.col("created_at") == "x", "old").otherwise("made").alias("state"))
@@ -106,9 +105,10 @@ def sample_store(spark: SparkSession, sf: str) -> DataFrame:
 )
 def sample_labels(spark: SparkSession, sf: str) -> DataFrame:
     """The label feature of every sample, written and read back."""
-    rows, _ = made(spark, sf)
+    found = layers(spark, sf)
+    rows, _ = samples.create_samples(*asked(spark, sf, found))
     path = new_shared_path(spark, "labels")
-    labels = samples.label_rows(rows, layers(spark, sf))
+    labels = samples.label_rows(rows, found)
     labels.select("label_path", sinks.feature_line(F.col("geometry"), F.col("properties")).alias("value")).write.parquet(path)
     shape = "properties struct<lake_uid:string,source:string,threshold:int,label_scope:string,mask_policy:string>, geometry struct<type:string>"
     back = spark.read.parquet(path).withColumn("f", F.from_json("value", shape))
