@@ -146,3 +146,19 @@ def test_close_fingerprints_meet_first(spark, monkeypatch):
     monkeypatch.setattr(similar, "shared_shingles", lambda nodes: stored(shared(nodes).filter("false"), "none"))
     got = similar.similar_documents(docs).orderBy("doc_id").collect()
     assert [r.component_id for r in got] == [0, 0, 2]
+
+
+def test_what_simhash_links_stays_once(spark):
+    """Texts within 4 bits are near-duplicates in the pipeline, also where their sets are not
+    similar."""
+    passage = " ".join(f"p{i}" for i in range(31))
+    texts = [" ".join([passage] * 6 + [f"{c}{i}" for i in range(n)]) for c, n in (("a", 30), ("b", 30), ("c", 26))]
+    texts += [" ".join(f"d{i}" for i in range(60))]
+    sets = [frozenset(brute_shingles(t)) for t in texts]
+    assert all(len(a & b) < 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    docs = spark.createDataFrame([(i + 5, t) for i, t in enumerate(texts)] + [(None, texts[0] + " more")], "doc_id long, text string").repartition(3)
+    want = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert want == {5, 8}
+    assert sorted(r["doc_id"] for r in similar.keep_one_of_near(docs).collect()) == [5, 8]
+    # By their sets alone they are four.
+    assert {r["component_id"] for r in similar.similar_documents(docs).collect()} == {5, 6, 7, 8}
